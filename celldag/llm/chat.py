@@ -78,15 +78,14 @@ class Flattener:
         self.content.append(mark)
 
 
-def format_turn(role: str, parts: list[dict], first: bool) -> tuple[str, int, list[dict]]:
+def format_turn(role: str, parts: list[dict]) -> tuple[str, int, list[dict]]:
     """A turn's formatted text, how many tokens its placeholders add, and its attachments."""
     flat = Flattener()
     for part in parts:
         flat.visit(part)
     content = "".join(flat.content)
     body = f"{content}</s>" if role == "assistant" else f"[INST]{content}[/INST]"
-    text = f"{'<s>' * first}[ROLE]{escape(role)}[/ROLE]{body}"
-    return text, sum(a["tokens"] for a in flat.attachments), flat.attachments
+    return f"[ROLE]{escape(role)}[/ROLE]{body}", sum(a["tokens"] for a in flat.attachments), flat.attachments
 
 
 def parse(formatted: str) -> list[tuple[str, str, bool]]:
@@ -118,22 +117,23 @@ def text_parts(text: str = "text"):
 def format_chat(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, parts (array of PART's fields, kind and text at least) to conv_id, turn, pos and OUT, a row per turn.
 
-    Order in a conversation: turn, then role, then the parts as JSON; nulls come first, and a
-    null conv_id is a conversation of its own.  Repeated rows stay.  A null role is the empty
-    role, null parts are no parts.  pos counts turns from 0; it comes from a window that sorts on
-    disk, and only the flag "first" is used of it.
+    Order in a conversation: turn, then role, then formatted text; nulls come first, and a null
+    conv_id is a conversation of its own.  Repeated rows stay.  A null role is the empty role,
+    null parts are no parts.  pos counts turns from 0; an attachment's place counts code points
+    of its turn's content.  Turns are formatted where they lie; only then are they sorted.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json("parts"))
-    ranked = turns.select("conv_id", "turn", "role", "parts").withColumn("pos", F.row_number().over(order) - 1)
-    given = turns.select("conv_id", "turn").schema
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.select("conv_id", "turn").schema)
 
     def run(frames):
         for f in frames:
-            out = [format_turn(r if isinstance(r, str) else "", [dict(p.asDict() if hasattr(p, "asDict") else p) for p in (ps if ps is not None else [])], i == 0) for r, ps, i in zip(f["role"], f["parts"], f["pos"])]
-            yield f[["conv_id", "turn", "pos"]].assign(formatted=[o[0] for o in out], n_tokens_extra=[o[1] for o in out], attachments=[o[2] for o in out])
-
-    return ranked.mapInPandas(run, f"{kinds}, pos int, {OUT}")
+            out = [format_turn(r if isinstance(r, str) else "", list(ps) if ps is not None else []) for r, ps in zip(f["role"], f["parts"])]
+            yield f[["conv_id", "turn", "role"]].assign(formatted=[o[0] for o in out], n_tokens_extra=[o[1] for o in out], attachments=[o[2] for o in out])
+
+    done = turns.select("conv_id", "turn", "role", "parts").mapInPandas(run, f"{kinds}, role string, {OUT}")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted")
+    done = done.withColumn("pos", F.row_number().over(order) - 1)
+    opened = F.when(F.col("pos") == 0, F.concat(F.lit("<s>"), "formatted")).otherwise(F.col("formatted"))
+    return done.select("conv_id", "turn", "pos", opened.alias("formatted"), "n_tokens_extra", "attachments")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
