@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celldag.llm import bpe, chat, langid, toxicity
+from celldag.llm import bpe, chat, decontaminate, langid, toxicity
 from celldag.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,7 +34,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat_format, op4_toxicity, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op8_language_id)}
 
 #: Only where SQL can express the whole result.
 ORACLES: dict[str, str] = {}
