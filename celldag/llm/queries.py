@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celldag.llm import bpe, chat, decontaminate, langid, toxicity
+from celldag.llm import bpe, chat, decontaminate, langid, topk, toxicity
 from celldag.llm.common import table
 
 
@@ -30,11 +30,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op8_language_id)}
 
 #: Only where SQL can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE}
