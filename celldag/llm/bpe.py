@@ -30,7 +30,8 @@ from celldag.llm.common import slices, texts_of
 NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-MAX_WORDS = 1_000_000
+#: Words that a worker keeps, in each of two generations.
+MAX_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +41,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def token_names(spec: dict) -> list[str]:
+    """Each id's string, by id."""
+    by_id = {i: name for name, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the tokenizers library: word ends marked by a suffix, byte symbols."""
 
@@ -49,9 +61,7 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*self.vocab.values(), *self.added.values()])
-        self.names = [""] * size
-        for name, i in [*self.vocab.items(), *self.added.items()]:
-            self.names[i] = name
+        self.names = token_names(spec)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         ids = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], np.int64)
         self.rank_of = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in reversed(list(enumerate(ids)))}
@@ -70,20 +80,18 @@ class WordBpe:
         self.sound[merged] = grows & whole
         for c in merged[np.argsort(self.rank[merged])]:
             self.sound[c] &= self.sound[self.left[c]] & self.sound[self.right[c]]
-        self.all_sound = bool(self.sound.all())
         self.reach: dict[str, int] = {}  # longest entry that begins with these two characters
         for name in self.vocab:
             self.reach[name[:2]] = max(len(name), self.reach.get(name[:2], 0))
         self.bytes = byte_symbols()
         self.find = regex.compile(WORD).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {c: (i,) for c, i in self.added.items()}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
-        with open(path, encoding="utf-8") as file:
-            return cls(json.load(file))
+        return cls(read_spec(path))
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -155,19 +163,21 @@ class WordBpe:
             part = out
         return part
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that aren't known yet."""
-        words = list(words)
+    def learn(self, words: list[str]) -> None:
+        """Encode words and put them into the table of known ones."""
         symbols = [w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode("utf-8", "replace"))) for w in words]
-        guesses = [self._guess(s) for s in symbols]
-        unknown = list({p for g in guesses if g for p in zip(g, g[1:])} - self.pairs.keys())
-        if unknown:
-            a, b = np.array(unknown, np.int64).T
-            self.pairs.update(zip(unknown, self.compatible(a, b).tolist()))
-        good = self.pairs.__getitem__
-        for word, s, g in zip(words, symbols, guesses):
-            fits = g and all(map(good, zip(g, g[1:]))) and (self.all_sound or all(self.sound[t] for t in g))
-            self.known[word] = tuple(g if fits else self.merge(s))
+        guesses = [self._guess(s) or () for s in symbols]
+        size = np.fromiter(map(len, guesses), np.int64, len(guesses))
+        flat = np.fromiter(chain.from_iterable(guesses), np.int64, size.sum())
+        of = np.repeat(np.arange(len(words)), size)
+        failed = size == 0
+        failed[of[~self.sound[flat]]] = True
+        inside = np.flatnonzero(of[1:] == of[:-1])  # neighbours in one word
+        pairs, at = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
+        failed[of[inside[~self.compatible(pairs // self.size, pairs % self.size)[at]]]] = True
+        for i in np.flatnonzero(failed).tolist():
+            guesses[i] = self.merge(symbols[i])
+        self.known.update(zip(words, map(tuple, guesses)))
 
     def words(self, text: str) -> list[str]:
         """Words in order; strings of added tokens stand for themselves, before any normalisation."""
@@ -185,12 +195,12 @@ class WordBpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids begin (one more entry at the end)."""
         listed = [self.words(t) for t in texts]
-        new = set(chain.from_iterable(listed))
-        if len(self.known) + len(new) > MAX_WORDS or len(self.pairs) > 4 * MAX_WORDS:
-            self.known, self.pairs = {}, {}
-        self.known.update((c, (i,)) for c, i in self.added.items())
-        new -= self.known.keys()
-        self.learn(new)
+        if len(self.known) > MAX_WORDS:  # two generations: words still in use move on to the new one
+            self.known, self.older = {c: (i,) for c, i in self.added.items()}, self.known
+        new = set(chain.from_iterable(listed)) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(list(new - again))
         get = self.known.__getitem__
         parts = [list(chain.from_iterable(map(get, ws))) for ws in listed]
         begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -232,7 +242,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keep, ids))
 
     def run(batches):
-        names = pa.array(_tokenizer(path).names, pa.string())
+        names = pa.array(token_names(read_spec(path)), pa.string())
         for batch in slices(batches, 8 << 20):
             lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
             begin = lists.offsets
