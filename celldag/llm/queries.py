@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celldag.llm import bpe, chat, decontaminate, langid, topk, toxicity
+from celldag.llm import bpe, chat, decontaminate, html_extract, langid, topk, toxicity, url_filter
 from celldag.llm.common import table
 
 
@@ -34,11 +34,19 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op8_language_id)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op6_html_text, op8_language_id, op10_url_filter)}
 
 #: Only where SQL can express the whole result.
 ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE}
