@@ -31,7 +31,7 @@ NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps, in each of two generations.
-MAX_WORDS = 150_000
+MAX_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -68,6 +68,7 @@ class WordBpe:
         keys = ids[:, 0] * size + ids[:, 1]
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_rank, self.size = keys[order], order.astype(np.int64), size
+        self.made = ids[:, 2]  # the token that each merge makes
         self.rank = np.full(size, -1, np.int64)  # of the merge that makes a token; -1: a single symbol
         self.left, self.right = np.arange(size), np.arange(size)
         for r in range(len(ids) - 1, -1, -1):
@@ -75,6 +76,7 @@ class WordBpe:
             self.rank[c], self.left[c], self.right[c] = r, a, b
         merged = np.flatnonzero(self.rank >= 0)
         grows = (self.rank[self.left[merged]] < self.rank[merged]) & (self.rank[self.right[merged]] < self.rank[merged])
+        self.in_order = bool(grows.all())  # no merge comes before those that make its parts
         whole = self.compatible(self.left[merged], self.right[merged], self.rank[merged])
         self.sound = np.ones(size, bool)  # what the token's own string encodes to is the token
         self.sound[merged] = grows & whole
@@ -163,6 +165,35 @@ class WordBpe:
             part = out
         return part
 
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of many words at once: in each round every word does all merges of its lowest rank."""
+        if not self.in_order:
+            return [self.merge(w) for w in words]
+        vocab, suffix = self.vocab, self.suffix
+        ids = np.fromiter((vocab[c] for w in words for c in (*w[:-1], w[-1] + suffix)), np.int64)
+        word = np.repeat(np.arange(len(words)), list(map(len, words)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            rank = np.full(len(ids), NEVER)  # of an element with its right neighbour
+            inside = np.flatnonzero(word[1:] == word[:-1])
+            rank[inside] = self._ranks(ids[inside], ids[inside + 1])
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            low = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(ids))))
+            over = low == NEVER
+            done.append((word[over], ids[over]))
+            at = np.flatnonzero((rank == low) & ~over)
+            # In a row of equal tokens, pairs overlap: the leftmost is merged, then the next but one.
+            run = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else at
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            keep = ~over
+            keep[at + 1] = False
+            ids, word = ids[keep], word[keep]
+        word, ids = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(1, len(words)))
+        return [part.tolist() for part in np.split(ids[order], ends)]
+
     def learn(self, words: list[str]) -> None:
         """Encode words and put them into the table of known ones."""
         symbols = [w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode("utf-8", "replace"))) for w in words]
@@ -175,8 +206,9 @@ class WordBpe:
         inside = np.flatnonzero(of[1:] == of[:-1])  # neighbours in one word
         pairs, at = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         failed[of[inside[~self.compatible(pairs // self.size, pairs % self.size)[at]]]] = True
-        for i in np.flatnonzero(failed).tolist():
-            guesses[i] = self.merge(symbols[i])
+        wrong = np.flatnonzero(failed).tolist()
+        for i, right in zip(wrong, self.merge_all([symbols[i] for i in wrong]) if wrong else ()):
+            guesses[i] = right
         self.known.update(zip(words, map(tuple, guesses)))
 
     def words(self, text: str) -> list[str]:
@@ -197,14 +229,20 @@ class WordBpe:
         listed = [self.words(t) for t in texts]
         if len(self.known) > MAX_WORDS:  # two generations: words still in use move on to the new one
             self.known, self.older = {c: (i,) for c, i in self.added.items()}, self.known
-        new = set(chain.from_iterable(listed)) - self.known.keys()
+        seen = set(chain.from_iterable(listed))
+        new = seen - self.known.keys()
         again = new & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         self.learn(list(new - again))
-        get = self.known.__getitem__
-        parts = [list(chain.from_iterable(map(get, ws))) for ws in listed]
-        begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return np.fromiter(chain.from_iterable(parts), np.int32, begin[-1]), begin
+        place = {w: i for i, w in enumerate(seen)}
+        tokens = list(map(self.known.__getitem__, place))
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(chain.from_iterable(tokens), np.int32, size.sum())
+        word = np.fromiter(map(place.__getitem__, chain.from_iterable(listed)), np.int64, sum(map(len, listed)))
+        n = size[word]
+        stop = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat((np.cumsum(size) - size)[word] - stop[:-1], n) + np.arange(stop[-1])]
+        return ids, stop[np.append(0, np.cumsum(list(map(len, listed)), dtype=np.int64))].astype(np.int32)
 
 
 _loaded: dict[str, WordBpe] = {}
