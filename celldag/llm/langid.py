@@ -174,7 +174,8 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # bounded by train()'s parameters
-    schema = docs.select(*keep, "text").schema
+    read = list(dict.fromkeys([*keep, "text"]))
+    schema = docs.select(*read).schema
 
     def score(batches):
         m = shared.value
@@ -196,7 +197,7 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_pydict(cols)
 
     kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*read).mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:

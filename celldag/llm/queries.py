@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celldag.llm import bpe, chat, decontaminate, html_extract, jaccard_join, langid, topk, toxicity, url_filter
+from celldag.llm import bpe, chat, decontaminate, html_extract, jaccard_join, langid, licenses, topk, toxicity, url_filter
 from celldag.llm.common import table
 
 
@@ -46,11 +46,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op6_html_text, op7_jaccard_join, op8_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op6_html_text, op7_jaccard_join, op8_language_id, op9_license_scan, op10_url_filter)}
 
 #: Only where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op9_license_scan": licenses.ORACLE}

@@ -106,10 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     return ToxicityModel(vocab, w, b0, prior)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and predicted of every row's whole text; a null text counts as empty and gets the bias's score."""
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, then score and predicted of every row's whole text; a null text counts as empty and gets the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words words
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    read = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches):
         m = shared.value
@@ -117,9 +118,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in slices(batches):
             f = [m.bias + sum(m.weights[m.words[w]] for w in sorted(known & set(WORDS.findall(t.lower())))) for t in texts_of(batch, "text")]
             p = 1 / (1 + np.exp(-np.clip(np.array(f, float), -40, 40)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(*read).mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
