@@ -31,7 +31,7 @@ NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps, in each of two generations.
-MAX_WORDS = 300_000
+MAX_WORDS = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -255,21 +255,28 @@ def _tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _joined(names: pa.Array, ids: pa.Array, begin: pa.Array) -> pa.Array:
+    """Of each list of ids, the tokens' strings joined by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(begin, names.take(ids)), " ")
+
+
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and `out` (array<int>): the token ids of each whole text, without added special tokens.
 
+    decoded: a further column for what those ids decode to (see `decode`), made in the same pass.
     A null text counts as empty; empty texts have no ids.  Repeated rows are encoded each.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         bpe = _tokenizer(path)
-        for batch in slices(batches, 4 << 20):
-            ids, begin = bpe.encode(texts_of(batch, text))
-            cols = {c: batch.column(c) for c in keep} | {out: pa.ListArray.from_arrays(pa.array(begin), pa.array(ids))}
-            yield pa.RecordBatch.from_pydict(cols)
+        names = pa.array(bpe.names, pa.string())
+        for batch in slices(batches, 2 << 20):
+            flat, begin = map(pa.array, bpe.encode(texts_of(batch, text)))
+            cols = {c: batch.column(c) for c in keep} | {out: pa.ListArray.from_arrays(begin, flat)}
+            yield pa.RecordBatch.from_pydict(cols | ({decoded: _joined(names, flat, begin)} if decoded else {}))
 
-    return df.select(*keep, text).mapInArrow(run, f"{kinds}, `{out}` array<int>")
+    return df.select(*keep, text).mapInArrow(run, f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -282,12 +289,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     def run(batches):
         names = pa.array(token_names(read_spec(path)), pa.string())
         for batch in slices(batches, 8 << 20):
-            lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            begin = lists.offsets
-            start, stop = begin[0].as_py(), begin[len(begin) - 1].as_py()
-            tokens = names.take(lists.values.slice(start, stop - start))
-            joined = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(begin, pa.scalar(start, pa.int32())), tokens), " ")
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in (*keep, ids)} | {out: joined})
+            lists = batch.column(ids)
+            n = pc.fill_null(pc.list_value_length(lists), 0)
+            begin = pa.array(np.append(0, np.cumsum(n.to_numpy(zero_copy_only=False))).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in (*keep, ids)} | {out: _joined(names, lists.flatten(), begin)})
 
     return df.select(*keep, ids).mapInArrow(run, f"{kinds}, `{out}` string")
 
@@ -299,5 +304,5 @@ def ids_text(ids: str = "ids") -> Column:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
