@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import slices, texts_of
+from celldag.llm.common import give_back, slices, texts_of
 
 NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps, in each of two generations.
-MAX_WORDS = 120_000
+MAX_WORDS = 80_000
 
 
 def byte_symbols() -> list[str]:
@@ -88,6 +88,10 @@ class WordBpe:
         self.bytes = byte_symbols()
         self.find = regex.compile(WORD).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Words seen so far; those of added tokens are always known."""
         self.known: dict[str, tuple[int, ...]] = {c: (i,) for c, i in self.added.items()}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -275,6 +279,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
             flat, begin = map(pa.array, bpe.encode(texts_of(batch, text)))
             cols = {c: batch.column(c) for c in keep} | {out: pa.ListArray.from_arrays(begin, flat)}
             yield pa.RecordBatch.from_pydict(cols | ({decoded: _joined(names, flat, begin)} if decoded else {}))
+        bpe.forget()
+        give_back()
 
     return df.select(*keep, text).mapInArrow(run, f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 

@@ -11,7 +11,23 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; always read through Spark, so any store will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Bound what moves between Spark and Python at a time: texts are long, so few rows make a batch.
+
+    A setting that the session has changed already stays.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "8m")):
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+    return spark
+
+
+def give_back() -> None:
+    """Return memory that Arrow keeps for later; called at the end of tasks whose worker lives on."""
+    pa.default_memory_pool().release_unused()
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -77,14 +77,18 @@ def context_counts(labelled: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("lang", "k", "ctx", "sym").agg(F.sum("n").alias("n"))
 
 
-def build_model(counts: list, langs: list[str], order: int) -> PpmModel:
-    """Frozen tables from the rows (lang, k, ctx, sym, n) of the kept contexts."""
-    of = {x: i for i, x in enumerate(langs)}
-    nodes = sorted({(r["k"], r["ctx"]) for r in counts} | {(0, 0)})
+def build_model(counts: pa.Table, order: int) -> PpmModel | None:
+    """Frozen tables from the rows (lang, k, ctx, sym, n) of the kept contexts; None without rows."""
+    langs = sorted(set(counts.column("lang").unique().to_pylist()))
+    if not langs:
+        return None
+    k, ctx, sym = (counts.column(c).to_numpy().astype(np.int64) for c in ("k", "ctx", "sym"))
+    lang = np.searchsorted(np.array(langs), np.array(counts.column("lang").to_pylist()))
+    known, place = np.unique(np.column_stack([np.append(k, 0), np.append(ctx, 0)]), axis=0, return_inverse=True)
+    nodes = [tuple(x) for x in known.tolist()]
     at = {x: i for i, x in enumerate(nodes)}
     n = np.zeros((len(nodes), 256, len(langs)))
-    for r in counts:
-        n[at[r["k"], r["ctx"]], r["sym"], of[r["lang"]]] += r["n"]
+    np.add.at(n, (place.ravel()[:-1], sym, lang), counts.column("n").to_numpy())
     children: dict[int, dict[int, int]] = {}
     for i, (k, ctx) in enumerate(nodes):
         if k and (parent := at.get((k - 1, ctx >> 8))) is not None:
@@ -125,10 +129,9 @@ def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_cou
     counts = context_counts(sample, order).persist()
     kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
     kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
-    rows = counts.join(F.broadcast(kept), ["k", "ctx"]).collect()
+    rows = counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
     counts.unpersist()
-    langs = sorted({r["lang"] for r in rows})
-    return build_model(rows, langs, order) if langs else None
+    return build_model(rows, order)
 
 
 def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
