@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from celldag.queries import dag
+
+QUERIES: dict = {**dag.QUERIES}
+ORACLES: dict[str, str] = {**dag.ORACLES}
