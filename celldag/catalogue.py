@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from celldag.queries import dag
+from celldag.queries import builds, dag, relational
 
-QUERIES: dict = {**dag.QUERIES}
-ORACLES: dict[str, str] = {**dag.ORACLES}
+QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES}
+ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES}

@@ -6,6 +6,8 @@ unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ def _state(num: Column, text: Column, unit: Column) -> Column:
     return F.struct(num.cast("double").alias("num"), text.cast("string").alias("text"), unit.cast("string").alias("unit"))
 
 
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value named: an expression that is used several times isn't written out several times."""
+    return F.transform(F.array(value), made)[0]
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -54,10 +61,11 @@ def split_unit_suffix(s: Column, params: dict, units: Units) -> Column:
     pattern = r"^\s*([-+]?\d+(?:\.\d+)?)\s*([^\s\d]{1,8})\s*$"
     unit = units.canonical_column(F.regexp_extract(s["text"], pattern, 2))
     known = s["text"].rlike(pattern) & unit.isin(sorted({u for us in units.dimensions.values() for u in us}))
-    out = _to_number(_to_number(s, plain, F.trim(s["text"]).try_cast("double")), known, F.regexp_extract(s["text"], pattern, 1).try_cast("double"), unit)
+    number = F.regexp_extract(s["text"], pattern, 1).try_cast("double")
+    out = _to_number(s, plain | known, F.when(plain, F.trim(s["text"]).try_cast("double")).otherwise(number), F.when(~plain, unit))
     if params.get("allow_unknown"):
         loose = r"^\s*([-+]?\d+(?:\.\d+)?)\s*(\S{1,8})\s*$"
-        out = _to_number(out, out["text"].rlike(loose), F.regexp_extract(out["text"], loose, 1).try_cast("double"), F.regexp_extract(out["text"], loose, 2))
+        out = _bound(out, lambda o: _to_number(o, o["text"].rlike(loose), F.regexp_extract(o["text"], loose, 1).try_cast("double"), F.regexp_extract(o["text"], loose, 2)))
     return out
 
 
@@ -74,12 +82,16 @@ def validate_steps(steps: list) -> None:
             raise NormalizeError(f"params must be a mapping: {step!r}")
 
 
+def _applied(step: dict, units: Units) -> Callable[[Column], Column]:
+    return lambda s: CATALOG[step["op"]](s, step.get("params") or {}, units)
+
+
 def apply_steps(num: Column, text: Column, steps: list[dict], units: Units) -> Column:
     """struct(num, text, unit) after all steps; unit: what was last split off."""
     validate_steps(steps)
     state = _state(num, text, F.lit(None))
     for step in steps:
-        state = CATALOG[step["op"]](state, step.get("params") or {}, units)
+        state = _bound(state, _applied(step, units))
     return state
 
 

@@ -110,11 +110,13 @@ def value_normalize(fr: LFrame, cfg: dict, env: Env) -> LFrame:
     for rule in cfg.get("rules") or []:
         steps, nodes = rule.get("steps") or [], rule.get("node_ids") or []
         normalize.validate_steps(steps)
-        change = {}
-        for name in [c for c in (rule.get("columns") or fr.columns) if c in fr.columns]:
-            kind = kind_of(fr.df, name)
-            c = to_cell(F.col(f"`{name}`"), kind)
-            out = normalize.apply_steps(c["num"], c["text"], steps, env.units)
+        change, df = {}, fr.df
+        names = [c for c in (rule.get("columns") or fr.columns) if c in fr.columns]
+        for i, name in enumerate(names):
+            c = to_cell(F.col(f"`{name}`"), kind_of(fr.df, name))
+            df = df.withColumn(f"__s_{i}", normalize.apply_steps(c["num"], c["text"], steps, env.units))
+        for i, name in enumerate(names):
+            c, out = to_cell(F.col(f"`{name}`"), kind_of(fr.df, name)), F.col(f"__s_{i}")
             hit = ~(out["num"].eqNullSafe(c["num"]) & out["text"].eqNullSafe(c["text"]))
             if nodes and fr.lineage:
                 hit = hit & F.coalesce(F.col(f"`{ln(name)}`.node_id").isin(nodes), F.lit(False))
@@ -125,7 +127,7 @@ def value_normalize(fr: LFrame, cfg: dict, env: Env) -> LFrame:
                 mark = F.col(f"`{ln(name)}`")
                 done = with_fields(mark, unit=F.coalesce(mark["unit"], out["unit"]), normalized=F.array(*[F.lit(s["op"]) for s in steps]))
                 change[ln(name)] = F.when(hit & mark.isNotNull(), done).otherwise(mark)
-        fr = fr.with_df(fr.df.withColumns(change))
+        fr = fr.with_df(df.withColumns(change).drop(*[f"__s_{i}" for i in range(len(names))]))
     return fr
 
 

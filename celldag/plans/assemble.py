@@ -46,12 +46,12 @@ def scope_broadcast(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows whose key is base@x get the columns they lack from the region's rows of key base (or base#n); those rows then go."""
     scope = F.when(F.contains("key", F.lit("@")), F.substring_index("key", "@", 1))
     label = F.when(~F.contains("key", F.lit("@")), F.substring_index("key", "#", 1))
-    marked = rows.withColumns({"scope": scope, "label": label})
-    scopes = marked.where("scope is not null").select("region", F.col("scope").alias("label")).distinct()
-    of_label = marked.where("label is not null").groupBy("region", "label").agg(*[F.expr(f"min_by(`{f}`, pos) FILTER (WHERE `{f}` IS NOT NULL)").alias(f"__{f}") for f in fields])
-    kept = marked.join(scopes, ["region", "label"], "left_anti").select("region", "key", "pos", "scope", *fields)
-    filled = kept.join(of_label.withColumnRenamed("label", "scope"), ["region", "scope"], "left")
-    return filled.select("region", "key", "pos", *[F.coalesce(f, f"__{f}").alias(f) for f in fields])
+    marked = rows.withColumns({"__scope": scope, "__label": label})
+    scopes = marked.where("__scope is not null").select("region", F.col("__scope").alias("__label")).distinct()
+    of_label = marked.where("__label is not null").groupBy("region", F.col("__label").alias("__scope")).agg(*[F.expr(f"min_by(`{f}`, pos) FILTER (WHERE `{f}` IS NOT NULL)").alias(f"__of_{f}") for f in fields])
+    kept = marked.join(scopes, ["region", "__label"], "left_anti").select("region", "key", "pos", "__scope", *fields)
+    filled = kept.join(of_label, ["region", "__scope"], "left")
+    return filled.select("region", "key", "pos", *[F.coalesce(f, f"__of_{f}").alias(f) for f in fields])
 
 
 def assemble(selection: DataFrame, values: DataFrame, fields: list[str], regions: DataFrame | None = None) -> LFrame:

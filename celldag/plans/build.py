@@ -17,10 +17,11 @@ SOURCES = {"_source_document_id": "document_id", "_source_version_id": "version_
 def row_ids(df: DataFrame, order: list[str]) -> DataFrame:
     """`_row_id` 1..n in a total order without bringing all rows to one task.
 
-    Rows are range-partitioned and sorted; each partition's count gives the next one's offset.
+    Rows are range-partitioned and sorted; each partition's count gives the next one's offset.  The
+    sorted rows are kept (memory, then disk), as counting and numbering both read them.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).persist()
     counts = inside.groupBy("__part").agg(F.max("__n").alias("__c"))
     offset = counts.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__o"))  # one row per partition
     return inside.join(F.broadcast(offset), "__part").withColumn("_row_id", (F.col("__n") + F.col("__o")).cast("bigint")).drop("__part", "__n", "__o")
