@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; all other text is unlabelled.  With class prior q, the
 risk of a scorer f is q R_P(+) + max(0, R_U(-) - q R_P(-)): the unlabelled texts' risk as
 negatives, less the share that positives among them put there, never below zero (Kiryo et
-al., 2017).  f is linear over the presence of words, with logistic loss, fitted in numpy by
+al., 2017).  f is linear over the presence of words and their first letters, with logistic loss, fitted in numpy by
 Adam; where the corrected term is negative the step goes up its gradient instead.
 
 Everything learned is bounded by the parameters: how many texts of either kind, how many words.
@@ -13,16 +13,19 @@ The word statistics are counted in Spark over the sampled texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celldag.llm.common import fold, lowest_by_hash, slices, texts_of
 
 WORDS = re.compile(r"[^\W_]+")
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", i) | 1 for i in range(16)], np.uint64)
 
 
 @dataclass
@@ -33,6 +36,16 @@ class ToxicityModel:
     prior: float
 
 
+def features_of(words: list[str]) -> set[str]:
+    """The text's words; and of each 4 or 5 letters that longer ones begin with, whether one, two or three different words do.
+
+    Endings vary more than stems, and a stem that clean text has too tells more the more of its words are there.
+    """
+    whole = set(words)
+    stems = Counter(f"^{w[:n]}" for w in whole for n in (4, 5) if len(w) > n)
+    return whole.union(stems, (f"{s}+" for s, n in stems.items() if n > 1), (f"{s}++" for s, n in stems.items() if n > 2))
+
+
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from each text's sorted word numbers; positive marks the confirmed ones, all others are unlabelled."""
     lens = np.array([len(r) for r in rows])
@@ -55,12 +68,31 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: flo
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 3000, max_unlabelled: int = 6000, max_words: int = 4000, min_docs: int = 3, min_gain: float = 25.0) -> ToxicityModel:
+def _bands(words: list[str]) -> list[int]:
+    """Eight MinHash bands, of two hashes each, over the text's 3-word shingles."""
+    grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
+    low = (np.fromiter(grams, np.uint64, len(grams))[:, None] * _FACTORS[None, :]).min(0)
+    return (low[::2] ^ (low[1::2] >> np.uint64(7))).view(np.int64).tolist()
+
+
+def _without_copies(listed: DataFrame) -> DataFrame:
+    """One text of each group of copies, exact or near: words of a text that was copied often would look like words of its label.
+
+    A row stays if it is the first, by hash, of its sample's rows in each of its bands.
+    """
+    rank = F.struct(F.xxhash64("id").alias("h"), "id")
+    rows = listed.select("p", rank.alias("rank"), F.posexplode("bands").alias("i", "band"))
+    first = rows.groupBy("p", "i", "band").agg(F.min("rank").alias("first"))
+    copies = rows.join(first, ["p", "i", "band"]).where("rank <> first").select("p", F.col("rank.id").alias("id")).distinct()
+    return listed.join(copies, ["p", "id"], "left_anti").select("p", "words")
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 3000, max_unlabelled: int = 6000, max_words: int = 4000, min_docs: int = 3, min_gain: float = 18.0) -> ToxicityModel:
     """Learn from rows whose crc32(doc_id) mod folds is not 0.
 
     docs: doc_id, text.  labels: doc_id, toxic; a null or absent label is none.  The class prior
     is the share of toxic rows among the labelled ones.  At most max_positive confirmed texts and
-    max_unlabelled others (lowest id hash) teach; of their words, at most max_words whose
+    max_unlabelled others (lowest id hash) teach, one of each group of copies; of their words, at most max_words whose
     document frequencies differ most (log-likelihood ratio of min_gain or more, in min_docs
     texts).  With no positives the model gives every text the prior's score.
     """
@@ -70,15 +102,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     texts = docs.select("doc_id", "text").where(fold("doc_id", folds) != 0).where("length(text) > 0")
     chosen = lowest_by_hash(seen.where("toxic = 1"), "doc_id", max_positive, 1).select("id", F.lit(True).alias("p"))
     other = lowest_by_hash(texts, "doc_id", max_unlabelled, 2).select("id", F.lit(False).alias("p"))
-    ids = chosen.unionByName(other).groupBy("id").agg(F.max("p").alias("p"))  # bounded by the two parameters
-    sample = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "p").persist()
+    # A text may be in both samples: the unlabelled ones must keep their share of positives.  Bounded by the two parameters.
+    ids = chosen.unionByName(other)
+    sample = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "p").persist()
 
     def words(batches):
         for batch in slices(batches):
-            found = [sorted(set(WORDS.findall(t.lower()))) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_pydict({"p": batch.column("p"), "words": pa.array(found, pa.list_(pa.string()))})
+            found = [WORDS.findall(t.lower()) for t in texts_of(batch, "text")]
+            cols = {c: batch.column(c) for c in ("id", "p")}
+            yield pa.RecordBatch.from_pydict(cols | {"words": pa.array([sorted(features_of(f)) for f in found], pa.list_(pa.string())), "bands": pa.array(list(map(_bands, found)), pa.list_(pa.int64()))})
 
-    listed = sample.mapInArrow(words, "p boolean, words array<string>").persist()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    listed = _without_copies(sample.mapInArrow(words, f"id {kind}, p boolean, words array<string>, bands array<long>")).persist()
     n_p, n_u = (x or 0 for x in listed.agg(F.sum(F.col("p").cast("int")), F.sum((~F.col("p")).cast("int"))).first())
     if not n_p or not n_u:
         sample.unpersist()
@@ -116,7 +151,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
         m = shared.value
         known = m.words.keys()
         for batch in slices(batches):
-            f = [m.bias + sum(m.weights[m.words[w]] for w in sorted(known & set(WORDS.findall(t.lower())))) for t in texts_of(batch, "text")]
+            f = [m.bias + sum(m.weights[m.words[w]] for w in sorted(known & features_of(WORDS.findall(t.lower())))) for t in texts_of(batch, "text")]
             p = 1 / (1 + np.exp(-np.clip(np.array(f, float), -40, 40)))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 

@@ -105,7 +105,7 @@ def test_ppm_is_a_code_and_chunks_do_not_matter():
 
 
 def test_language_held_out_accuracy_and_edges(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", F.lit("x").alias("score"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", F.when(F.lit(True), "x").alias("score"))
     odd = spark.createDataFrame([(-1, None, "en", None, None), (-2, "", None, None, None), (-3, "12 34 !?", "de", None, None), (None, "the and of", None, None, None)], table.schema)
     got = langid.identify(table.unionByName(odd)).collect()
     truth = {r["doc_id"]: r["lang"] for r in table.collect()}
