@@ -47,25 +47,32 @@ def features_of(words: list[str]) -> set[str]:
 
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from each text's sorted word numbers; positive marks the confirmed ones, all others are unlabelled."""
+    """Weights and bias from each text's sorted word numbers; positive marks the confirmed ones, all others are unlabelled.
+
+    Steps shrink over time, and of all steps the one of least non-negative risk (with the penalty) counts.
+    """
     lens = np.array([len(r) for r in rows])
     col = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), lens)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
+    best = (np.inf, w, b)
     in_p, in_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
     for t in range(1, steps + 1):
         f = np.bincount(row, w[col], minlength=len(rows)) + b
         s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
         as_negative = np.logaddexp(0, f)
         corrected = in_u @ as_negative - prior * (in_p @ as_negative)
+        risk = prior * (in_p @ np.logaddexp(0, -f)) + max(0.0, corrected) + l2 / 2 * (w @ w)
+        if risk < best[0]:
+            best = (risk, w, b)
         g_negative = (in_u - prior * in_p) * s
         g = prior * in_p * (s - 1) + g_negative if corrected >= 0 else -g_negative
         grad = np.append(np.bincount(col, g[row], minlength=size) + l2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        change = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        change = rate / (1 + t / 150) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - change[:-1], b - change[-1]
-    return w, b
+    return best[1], float(best[2])
 
 
 def _bands(words: list[str]) -> list[int]:
