@@ -39,7 +39,7 @@ WIDTH = 5  # bytes of an n-gram's hash that go to a fragment's reducer, besides
 FLUSH = 2_000_000  # n-grams that a task gathers before it sends them
 FRAGMENT = 1_500_000  # n-grams that a fragment of step 1 is meant to hold
 SEGMENTS = 8  # fragments of step 3
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 _SALT = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(64)], np.uint64)
 
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     alive = counted.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
     sets = alive.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = sets.where("doc_id is not null").select("doc_id", "sig")
-    if wanted.count() <= BROADCAST_IDS:  # some 60 bytes each; beyond, the texts are shuffled
+    if wanted.count() <= BROADCAST_IDS:  # some 80 bytes each; beyond, the texts are shuffled
         wanted = F.broadcast(wanted)
     ordered = cut(ordered_sets(sets_of(docs, wanted, k), percent))
     found = components(ordered, percent)

@@ -307,3 +307,20 @@ def test_pipeline_stages(spark, sf_dir):
             assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(set(by_id.values()))
         before = after
     assert before.count() > 100 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(before.columns)
+
+
+def test_benchmark_in_several_blocks_gives_the_same(spark, sf_dir, monkeypatch):
+    table, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.leaks(table, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    several = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert one == several and decontaminate.clean(table, bench).count() == table.count() - len({d for d, _, _ in one})
+
+
+def test_shuffled_texts_give_the_same_components(spark, sf_dir, monkeypatch):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = sorted(map(tuple, jaccard_join.near_duplicates(table).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 5000)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 1000)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(table).collect())) == one
