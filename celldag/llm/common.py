@@ -19,8 +19,8 @@ def tuned(spark: SparkSession) -> SparkSession:
 
     A setting that the session has changed already stays.
     """
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "8m")):
-        if default is None or spark.conf.get(key, default) == default:
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key) == default:
             spark.conf.set(key, value)
     return spark
 
