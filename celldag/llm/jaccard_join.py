@@ -37,7 +37,7 @@ from celldag.llm.components import connected
 BITS = 8  # 64-bit words of the bit map
 WIDTH = 5  # bytes of an n-gram's hash that go to a fragment's reducer, besides the fragment's number
 FLUSH = 2_000_000  # n-grams that a task gathers before it sends them
-FRAGMENT = 1_500_000  # n-grams that a fragment of step 1 is meant to hold
+FRAGMENT, LARGEST = 1_500_000, 20_000_000  # n-grams that a fragment of step 1 is meant to hold: a thousandth of all, within these
 SEGMENTS = 8  # fragments of step 3
 BROADCAST_IDS = 500_000
 
@@ -102,7 +102,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, shared, sig) of every row: set size, how many of its n-grams another row has too, and the set's signature."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(8, -(-chars // (6 * FRAGMENT)))
+    fragments = max(8, -(-chars // (6 * min(LARGEST, max(FRAGMENT, chars // 6000)))))
     kind = docs.schema["doc_id"].dataType.simpleString()
     head = f"ids array<{kind}>, n array<int>, local array<int>, sigs array<string>"
     names = ("fragment", "task", "once", "owner", "many", "ids", "n", "local", "sigs")
@@ -122,8 +122,9 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
             local = np.bincount(owner[~single], minlength=len(sets))
             once, whose, many = token[single], owner[single], token[first & ~single]
             of = lambda t: ((t >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            edge = np.arange(fragments + 1)
-            cut_once, cut_many = np.searchsorted(of(once), edge), np.searchsorted(of(many), edge)
+            at_once, at_many = of(once), of(many)
+            used = np.union1d(at_once, at_many)
+            bounds = [np.searchsorted(x, used, side) for x in (at_once, at_many) for side in ("left", "right")]
             task = f"{part}-{sent}"
             rows = {x: [] for x in names}
 
@@ -131,10 +132,8 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 for x, v in zip(names, values):
                     rows[x].append(v)
 
-            for f in range(fragments):
-                a, b, c, d = *cut_once[f : f + 2], *cut_many[f : f + 2]
-                if b > a or d > c:
-                    add(f, task, _pack(once[a:b]), whose[a:b].tobytes(), _pack(many[c:d]), None, None, None, None)
+            for f, a, b, c, d in zip(used.tolist(), *bounds):
+                add(f, task, _pack(once[a:b]), whose[a:b].tobytes(), _pack(many[c:d]), None, None, None, None)
             # What the documents of this task are: sent along, to a reducer by its own key.
             add(-1 - (xxhash.xxh32_intdigest(task) & 0x7FFFFFFF), task, None, None, None, ids, [len(s) for s in sets], local.tolist(), [_signature(s) for s in sets])
             types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
