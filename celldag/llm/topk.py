@@ -101,7 +101,8 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         dim = t.column("dim")[0].as_py() if len(ids) else 0
         lists = t.column("x").combine_chunks() if len(ids) else None
         x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim) if len(ids) else np.zeros((0, 0))
-        keep = np.unique(np.column_stack([ids.astype(float), x]), axis=0, return_index=True)[1] if len(ids) else []
+        x = x + 0.0  # no -0.0, so that equal vectors have equal bits
+        keep = np.unique(np.column_stack([ids, x.view(np.int64)]), axis=0, return_index=True)[1] if len(ids) else []
         return ids[keep], x[keep]
 
     def cell(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
