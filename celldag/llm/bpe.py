@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import give_back, slices, texts_of
+from celldag.llm.common import frugal, slices, texts_of
 
 NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
@@ -280,9 +280,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
             cols = {c: batch.column(c) for c in keep} | {out: pa.ListArray.from_arrays(begin, flat)}
             yield pa.RecordBatch.from_pydict(cols | ({decoded: _joined(names, flat, begin)} if decoded else {}))
         bpe.forget()
-        give_back()
 
-    return df.select(*keep, text).mapInArrow(run, f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return df.select(*keep, text).mapInArrow(frugal(run), f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -300,7 +299,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
             begin = pa.array(np.append(0, np.cumsum(n.to_numpy(zero_copy_only=False))).astype(np.int32))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in (*keep, ids)} | {out: _joined(names, lists.flatten(), begin)})
 
-    return df.select(*keep, ids).mapInArrow(run, f"{kinds}, `{out}` string")
+    return df.select(*keep, ids).mapInArrow(frugal(run), f"{kinds}, `{out}` string")
 
 
 def ids_text(ids: str = "ids") -> Column:

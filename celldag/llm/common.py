@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 
 import pyarrow as pa
@@ -26,8 +29,23 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def give_back() -> None:
-    """Return memory that Arrow keeps for later; called at the end of tasks whose worker lives on."""
+    """Return memory that Arrow and the C library keep for later, as a Python worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def frugal(run):
+    """A function over batches that gives memory back when its task is done."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        give_back()
+
+    return whole
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import slices, texts_of
+from celldag.llm.common import frugal, slices, texts_of
 
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -211,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverag
                         }
                     )
 
-        return docs.select("doc_id", "text").mapInArrow(run, out)
+        return docs.select("doc_id", "text").mapInArrow(frugal(run), out)
 
     return reduce(DataFrame.unionByName, map(of_block, _blocks(benchmark, min_match, min_coverage)))
 
@@ -229,5 +229,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverag
         return run
 
     for shared in _blocks(benchmark, min_match, min_coverage):
-        docs = docs.mapInArrow(without(shared), docs.schema)
+        docs = docs.mapInArrow(frugal(without(shared)), docs.schema)
     return docs

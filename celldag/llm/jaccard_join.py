@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import cut, slices, texts_of
+from celldag.llm.common import cut, frugal, slices, texts_of
 from celldag.llm.components import connected
 
 BITS = 8  # 64-bit words of the bit map
@@ -188,7 +188,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 shared[np.frombuffer(r["who"], np.uint16)] += np.frombuffer(r["count"], np.uint32)
         return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, f"fragment long, task string, once binary, owner binary, many binary, {head}")
+    sent = docs.select("doc_id", "text").mapInArrow(frugal(send), f"fragment long, task string, once binary, owner binary, many binary, {head}")
     met = sent.groupBy("fragment").applyInArrow(meet, f"task string, {head}, who binary, count binary")
     return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, n int, shared int, sig string")
 
@@ -220,7 +220,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 }
             )
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "text").mapInArrow(read, "sig string, n int, tokens array<long>, bits array<long>")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "text").mapInArrow(frugal(read), "sig string, n int, tokens array<long>, bits array<long>")
     return found.withColumn("key", _set_key()).dropDuplicates(["key"]).select("key", "n", "tokens", "bits")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from celldag.llm.common import fold, slices, texts_of
+from celldag.llm.common import fold, frugal, slices, texts_of
 
 UNKNOWN = "und"
 UNIT = 1 << 16
@@ -73,7 +73,7 @@ def context_counts(labelled: DataFrame, order: int) -> DataFrame:
                         }
                     )
 
-    counted = labelled.select("lang", "text").mapInArrow(count, "lang string, k int, ctx long, sym int, n long")
+    counted = labelled.select("lang", "text").mapInArrow(frugal(count), "lang string, k int, ctx long, sym int, n long")
     return counted.groupBy("lang", "k", "ctx", "sym").agg(F.sum("n").alias("n"))
 
 
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_pydict(cols)
 
     kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*read).mapInArrow(frugal(score), f"{kinds}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:

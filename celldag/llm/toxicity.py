@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import fold, lowest_by_hash, slices, texts_of
+from celldag.llm.common import fold, frugal, lowest_by_hash, slices, texts_of
 
 WORDS = re.compile(r"[^\W_]+")
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", i) | 1 for i in range(16)], np.uint64)
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
             yield pa.RecordBatch.from_pydict(cols | {"words": pa.array([sorted(features_of(f)) for f in found], pa.list_(pa.string())), "bands": pa.array(list(map(_bands, found)), pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = _without_copies(sample.mapInArrow(words, f"id {kind}, p boolean, words array<string>, bands array<long>")).persist()
+    listed = _without_copies(sample.mapInArrow(frugal(words), f"id {kind}, p boolean, words array<string>, bands array<long>")).persist()
     n_p, n_u = (x or 0 for x in listed.agg(F.sum(F.col("p").cast("int")), F.sum((~F.col("p")).cast("int"))).first())
     if not n_p or not n_u:
         sample.unpersist()
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
             found = [[of[w] for w in ws if w in of] for ws in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_pydict({"p": batch.column("p"), "at": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = listed.mapInArrow(numbers, "p boolean, at array<int>").collect()
+    rows = listed.mapInArrow(frugal(numbers), "p boolean, at array<int>").collect()
     sample.unpersist()
     listed.unpersist()
     w, b0 = fit_nnpu([np.array(sorted(r["at"]), np.int64) for r in rows], np.array([r["p"] for r in rows], bool), len(vocab), prior)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
             p = 1 / (1 + np.exp(-np.clip(np.array(f, float), -40, 40)))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
-    return docs.select(*read).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.select(*read).mapInArrow(frugal(run), f"{kinds}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
