@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celldag.llm.common import cut
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with the least neighbour of u.
+
+    A grouping and a join, no window: the grouping combines before it shuffles, and the join splits the rows of
+    a node that has very many neighbours (adaptive skew joins), so no task holds all edges of one node.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.select("u", "v").join(least, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node tells its larger neighbours the least of its neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-    return both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    told = _with_least(both).where("v > u")
+    return told.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node joins its smaller neighbours, and itself, to the least of them.  Edges have u > v."""
-    told = edges.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    told = _with_least(edges)
     out = told.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(told.select("u", F.col("m").alias("v"))).distinct()
 
