@@ -28,6 +28,8 @@ from celldag.llm.common import fold, frugal, slices, texts_of
 UNKNOWN = "und"
 UNIT = 1 << 16
 CHUNK = 256
+#: Parts of a language that are ranked apart before its sample is chosen.
+SALTS = 64
 
 
 @dataclass
@@ -122,9 +124,12 @@ def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_cou
     languages alone.  None if there is nothing to learn from.
     """
     usable = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
-    # Ids first: the window shuffles no text.
-    ranked = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    ids = ranked.where(F.col("r") <= docs_per_lang).select("doc_id").distinct()
+    # Ids first: the windows shuffle no text.  A language may hold most rows, so each of its SALTS parts is ranked by itself before the parts' first are.
+    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SALTS)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        ids = ids.withColumn("r", F.row_number().over(first.partitionBy(*keys))).where(F.col("r") <= docs_per_lang).drop("r")
+    ids = ids.select("doc_id").distinct()
     sample = usable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most docs_per_lang ids a language
     counts = context_counts(sample, order).persist()
     kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
