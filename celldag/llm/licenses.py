@@ -104,8 +104,8 @@ def scan(docs: DataFrame, notices=tuple(NOTICES), percent: int = 80) -> DataFram
     """(doc_id, license_id, notice, n_shingles, matched, containment, first_word) of each notice that a text holds.
 
     notice: its number in the list; first_word: where its first shingle begins, in words from 0.
-    Null and empty texts match nothing; rows with equal id and text count once; notices of fewer
-    than 5 words have no shingle and are refused.  Further columns are ignored.
+    Null and empty texts match nothing; rows with equal id and text count once, a null id being one
+    more id; notices of fewer than 5 words have no shingle and are refused.  Further columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     cover = word_cover([t for _, t in notices])
@@ -114,14 +114,14 @@ def scan(docs: DataFrame, notices=tuple(NOTICES), percent: int = 80) -> DataFram
     small = sum(len(t) for _, t in notices) <= BROADCAST_CHARS
     ship = F.broadcast if small else (lambda df: df)
     keys = ["doc_id", "row"]
-    words = docs.select("doc_id", F.xxhash64("text").alias("row"), words_column(F.col("text")).alias("words"))
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_column(F.col("text")).alias("words"))
     held = cut(windows(words, keys, STRIDE, cover))
     wanted = bands(windows(listed.select("notice", "words"), ["notice"], 1), ["notice"]).distinct()
-    found = bands(held, keys).join(ship(wanted), ["band", "h"]).select(*keys, "notice").distinct()
+    found = bands(held, keys).join(ship(wanted), ["band", "h"]).select("row", "notice").distinct()  # by row, as doc_id may be null
     of_notice = listed.select("notice", "license_id", F.array_distinct(shingles_column(F.col("words"))).alias("t"))
     of_notice = of_notice.select("notice", "license_id", F.size("t").alias("n_shingles"), F.explode("t").alias("x"))
     in_docs = held.select(*keys, "at", F.posexplode("s").alias("i", "x")).select(*keys, "x", (F.col("at") + F.col("i")).alias("place"))
-    places = in_docs.join(ship(of_notice), "x").join(found, [*keys, "notice"], "left_semi")
+    places = in_docs.join(ship(of_notice), "x").join(found, ["row", "notice"], "left_semi")
     counted = places.groupBy(*keys, "notice", "license_id", "n_shingles").agg(F.count_distinct("x").cast("int").alias("matched"), F.min("place").alias("first_word"))
     good = counted.where(F.col("matched") * 100 >= F.col("n_shingles") * percent)
     return good.select("doc_id", "license_id", "notice", "n_shingles", "matched", (F.col("matched") / F.col("n_shingles")).alias("containment"), "first_word")

@@ -276,6 +276,20 @@ def test_license_edges(spark):
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+def test_license_texts_on_rows_without_id_match_the_sql(spark, tmp_path):
+    import duckdb
+
+    mit, gpl = dict(licenses.NOTICES)["MIT"], dict(licenses.NOTICES)["GPL-3.0"]
+    rows = [(None, mit), (None, mit), (None, f"x y z {gpl}"), (None, "no notice in this text at all"), (None, None), (1, mit), (2, "plain words of a document")]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = licenses.scan(table)
+    assert {r["license_id"] for r in found.where("doc_id is null").collect()} >= {"MIT", "GPL-3.0"}
+    assert_same(found, con, licenses.ORACLE)
+
+
 def test_license_scan_runs_no_python(spark, sf_dir):
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
