@@ -16,6 +16,7 @@ code lengths add up as integers (2**-16 bit): the result doesn't depend on how t
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,11 @@ UNIT = 1 << 16
 CHUNK = 256
 #: Parts of a language that are ranked apart before its sample is chosen.
 SALTS = 64
+#: Bits a byte by which a text may exceed what held-out texts showed: quantiles of few texts are inexact, and texts quote names and notices.
+SLACK = 1.0
+#: Words of letters alone, as tokens with digits are codes; LENGTHS: bytes of letter runs for which limits are learned, each a power of two.
+LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+LENGTHS = tuple(1 << i for i in range(11))
 
 
 @dataclass
@@ -123,6 +129,16 @@ def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_cou
     model's size, and what comes to the driver, follow from these parameters and the number of
     languages alone.  None if there is nothing to learn from.
     """
+    counts = context_counts(_sample(labelled, docs_per_lang), order).persist()
+    kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
+    kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
+    rows = counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
+    counts.unpersist()
+    return build_model(rows, order)
+
+
+def _sample(labelled: DataFrame, docs_per_lang: int) -> DataFrame:
+    """Of each language the docs_per_lang usable texts of lowest id hash."""
     usable = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
     # Ids first: the windows shuffle no text.  A language may hold most rows, so each of its SALTS parts is ranked by itself before the parts' first are.
     first = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -130,13 +146,44 @@ def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_cou
     for keys in (("lang", "part"), ("lang",)):
         ids = ids.withColumn("r", F.row_number().over(first.partitionBy(*keys))).where(F.col("r") <= docs_per_lang).drop("r")
     ids = ids.select("doc_id").distinct()
-    sample = usable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most docs_per_lang ids a language
-    counts = context_counts(sample, order).persist()
-    kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
-    kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
-    rows = counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
-    counts.unpersist()
-    return build_model(rows, order)
+    return usable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most docs_per_lang ids a language
+
+
+def letter_runs(text: str) -> bytes:
+    """The words of a text in small letters, as capitals alone make a language's text look foreign; other signs as one blank."""
+    return " ".join(LETTERS.findall(text)).lower().encode("utf-8", "replace")
+
+
+def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float = 0.999, docs_per_lang: int = 2000, least: int = 200) -> np.ndarray | None:
+    """Bits a byte, by (LENGTHS, language), that letter runs of a language's own held-out texts stay within, and SLACK.
+
+    held_out: doc_id, text, lang of rows that `model` has not learned from.  For each length the
+    runs' first bytes are coded under their own language.  A language with fewer than `least` such
+    texts takes the quantile of all languages; a length that no text has, that of the next shorter
+    one.  What comes to the driver is one row for each length and language.
+    """
+    if model is None:
+        return None
+    shared = held_out.sparkSession.sparkContext.broadcast(model)
+
+    def rates(batches):
+        m = shared.value
+        for batch in slices(batches):
+            rows = [(l, letter_runs(t)) for l, t in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")) if l in m.langs]
+            for i, n in enumerate(LENGTHS):
+                part = [(l, r[:n]) for l, r in rows if len(r) >= n]
+                bits = code_lengths(m, [r for _, r in part])
+                own = [bits[j, m.langs.index(l)] / UNIT / n for j, (l, _) in enumerate(part)]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([l for l, _ in part], pa.string()), "i": pa.array([i] * len(part), pa.int32()), "rate": pa.array(own, pa.float64())})
+
+    rated = _sample(held_out, docs_per_lang).mapInArrow(frugal(rates), "lang string, i int, rate double")
+    found = rated.cube("lang", "i").agg(F.percentile("rate", F.lit(quantile)).alias("q"), F.count("*").alias("n")).where("i is not null").collect()
+    own = {(r["lang"], r["i"]): r["q"] for r in found if r["lang"] is None or r["n"] >= least}
+    limits = np.full((len(LENGTHS), len(model.langs)), np.inf)
+    for i in range(len(LENGTHS)):
+        for j, lang in enumerate(model.langs):
+            limits[i, j] = own.get((lang, i), own.get((None, i), limits[i - 1, j] if i else np.inf))
+    return limits + SLACK
 
 
 def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
@@ -173,12 +220,14 @@ def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("doc_id",), limits: np.ndarray | None = None) -> DataFrame:
     """Columns `keep`, then lang_pred, score and bits_per_byte of every row's whole text.
 
     lang_pred is `und` (score 0) where the text is null or has no letter, or nothing was
     learned.  score is the posterior of the winner among equal priors.  Ties go to the language
     that sorts first.  bits_per_byte is the winner's code length per byte, null where `und`.
+    With letter_limits also `foreign`: the shortest code of the text's letter runs is longer than
+    that language's limit for runs of this length.  Digits and signs have no part in that.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # bounded by train()'s parameters
@@ -190,7 +239,7 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
         for batch in slices(batches):
             texts = texts_of(batch, "text")
             known = np.array([m is not None and any(map(str.isalpha, t)) for t in texts], bool)
-            lang, p, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+            lang, p, rate, foreign = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts), np.zeros(len(texts), bool)
             rows = np.flatnonzero(known)
             if len(rows):
                 raw = [texts[i].encode("utf-8", "replace") for i in rows]
@@ -200,12 +249,19 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
                 p[rows] = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
                 for i, b, n, x in zip(rows, best, map(len, raw), bits.min(1)):
                     lang[i], rate[i] = m.langs[b], x / UNIT / n
+                if limits is not None:
+                    runs = [letter_runs(texts[i]) for i in rows]
+                    n = np.maximum(1, [len(r) for r in runs])
+                    bits = code_lengths(m, runs)
+                    foreign[rows] = bits.min(1) / UNIT / n > limits[np.searchsorted(LENGTHS, n, "right") - 1, bits.argmin(1)]
             cols = {c: batch.column(c) for c in keep}
             cols |= {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(p), "bits_per_byte": pa.array(rate, pa.float64())}
+            if limits is not None:
+                cols["foreign"] = pa.array(foreign)
             yield pa.RecordBatch.from_pydict(cols)
 
     kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(frugal(score), f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*read).mapInArrow(frugal(score), f"{kinds}, lang_pred string, score double, bits_per_byte double{', foreign boolean' if limits is not None else ''}")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:

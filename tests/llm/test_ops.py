@@ -323,6 +323,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert before.count() > 100 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(before.columns)
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 3,
+    "Kila mtu ana haki ya kuishi na kuwa huru na kulindwa nafsi yake wala hakuna mtu atakayeteswa", "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
+    "人人生而自由", "人人生而自由在尊严和权利上一律平等", "Все люди рождаются свободными", "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 9,
+]
+
+
+def test_pipeline_drops_foreign_documents_of_any_length_and_keeps_digits(spark, sf_dir):
+    import corpus_pipeline
+
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    digits = ["of.92@mail6.example.com 5755695738806562 Of the 12 and 0x77 99 31 the.", "the 1234567890 / 1234567890 / 1234567890"]
+    texts = dict(enumerate(FOREIGN + digits, 10**6))
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], own.schema)
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, own.unionByName(odd), sf_dir).select("doc_id").collect()}
+    assert {i for i in texts if i in kept} == set(list(texts)[len(FOREIGN) :])
+    assert sum(i in kept for i in range(10**6)) >= 0.99 * own.count()
+
+
 def test_benchmark_in_several_blocks_gives_the_same(spark, sf_dir, monkeypatch):
     table, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.leaks(table, bench).collect()}
