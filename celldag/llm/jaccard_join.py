@@ -100,15 +100,15 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def shared_counts(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, shared, sig) of every row: set size, how many of its n-grams another row has too, and the set's signature."""
+    """(doc_id, row, n, shared, sig) of every (doc_id, row, text): set size, how many of its n-grams another row has too, and the set's signature."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(8, -(-chars // (6 * min(LARGEST, max(FRAGMENT, chars // 6000)))))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    head = f"ids array<{kind}>, n array<int>, local array<int>, sigs array<string>"
-    names = ("fragment", "task", "once", "owner", "many", "ids", "n", "local", "sigs")
+    head = f"ids array<{kind}>, keys array<long>, n array<int>, local array<int>, sigs array<string>"
+    names = ("fragment", "task", "once", "owner", "many", "ids", "keys", "n", "local", "sigs")
 
     def send(batches):
-        word_hash, sets, ids, size, part = _WordHash(), [], [], 0, TaskContext.get().partitionId()
+        word_hash, sets, ids, keys, size, part = _WordHash(), [], [], [], 0, TaskContext.get().partitionId()
         sent = 0
 
         def flush():
@@ -133,30 +133,30 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                     rows[x].append(v)
 
             for f, a, b, c, d in zip(used.tolist(), *bounds):
-                add(f, task, _pack(once[a:b]), whose[a:b].tobytes(), _pack(many[c:d]), None, None, None, None)
+                add(f, task, _pack(once[a:b]), whose[a:b].tobytes(), _pack(many[c:d]), None, None, None, None, None)
             # What the documents of this task are: sent along, to a reducer by its own key.
-            add(-1 - (xxhash.xxh32_intdigest(task) & 0x7FFFFFFF), task, None, None, None, ids, [len(s) for s in sets], local.tolist(), [_signature(s) for s in sets])
-            types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            add(-1 - (xxhash.xxh32_intdigest(task) & 0x7FFFFFFF), task, None, None, None, ids, keys, [len(s) for s in sets], local.tolist(), [_signature(s) for s in sets])
+            types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays([pa.array(rows[x], t) for x, t in zip(names, types)], names=list(names))
 
         id_kind = pa.int64()
         for batch in slices(batches, 4 << 20):
             id_kind = batch.schema.field("doc_id").type
             found = shingle_sets(texts_of(batch, "text"), k, word_hash)
-            own = batch.column("doc_id").to_pylist()
-            for i, s in zip(own, found):
+            for i, row, s in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), found):
                 ids.append(i)
+                keys.append(row)
                 sets.append(s)
                 size += len(s)
                 if size >= FLUSH or len(sets) >= 60_000:
                     yield flush()
-                    sets, ids, size, sent = [], [], 0, sent + 1
+                    sets, ids, keys, size, sent = [], [], [], 0, sent + 1
         if sets:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        out = [{"task": r["task"], "ids": r["ids"], "n": r["n"], "local": r["local"], "sigs": r["sigs"]} for r in rows if r["fragment"] < 0]
+        out = [{"task": r["task"], "ids": r["ids"], "keys": r["keys"], "n": r["n"], "local": r["local"], "sigs": r["sigs"]} for r in rows if r["fragment"] < 0]
         rows = [r for r in rows if r["fragment"] >= 0]
         if rows:
             once = [_unpack(r["once"]) for r in rows]
@@ -177,7 +177,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 if len(owner):
                     who, n = np.unique(owner, return_counts=True)
                     out.append({"task": r["task"], "who": who.tobytes(), "count": n.astype(np.uint32).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("task", pa.string()), ("ids", t.schema.field("ids").type), ("n", pa.list_(pa.int32())), ("local", pa.list_(pa.int32())), ("sigs", pa.list_(pa.string())), ("who", pa.binary()), ("count", pa.binary())]))
+        return pa.Table.from_pylist(out, schema=pa.schema([("task", pa.string()), ("ids", t.schema.field("ids").type), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("local", pa.list_(pa.int32())), ("sigs", pa.list_(pa.string())), ("who", pa.binary()), ("count", pa.binary())]))
 
     def total(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -186,11 +186,16 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
         for r in rows:
             if r["who"] is not None:
                 shared[np.frombuffer(r["who"], np.uint16)] += np.frombuffer(r["count"], np.uint32)
-        return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
+        return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "row": pa.array(own["keys"], pa.int64()), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(frugal(send), f"fragment long, task string, once binary, owner binary, many binary, {head}")
+    sent = docs.select("doc_id", "row", "text").mapInArrow(frugal(send), f"fragment long, task string, once binary, owner binary, many binary, {head}")
     met = sent.groupBy("fragment").applyInArrow(meet, f"task string, {head}, who binary, count binary")
-    return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, n int, shared int, sig string")
+    return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, row long, n int, shared int, sig string")
+
+
+def row_key() -> Column:
+    """A hash of id and text, not null; exact repeats have the same."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
 def _set_key(sig: str = "sig") -> Column:
@@ -199,14 +204,16 @@ def _set_key(sig: str = "sig") -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, n, tokens, bits) of the wanted (doc_id, sig): the n-gram hashes and their parities by position in a bit map."""
+    """(key, n, tokens, bits) of the wanted (row, sig): the n-gram hashes and their parities by position in a bit map."""
 
     def read(batches):
-        word_hash = _WordHash()
+        word_hash, seen = _WordHash(), set()  # a repeated row gives its set once
         for batch in slices(batches, 4 << 20):
+            batch = batch.filter(pa.array([x not in seen for x in batch.column("sig").to_pylist()], pa.bool_()))
             sets = shingle_sets(texts_of(batch, "text"), k, word_hash)
             right = [i for i, (s, sig) in enumerate(zip(sets, batch.column("sig").to_pylist())) if _signature(s) == sig]
             sets = [sets[i] for i in right]
+            seen.update(batch.column("sig")[i].as_py() for i in right)
             bits = []
             for s in sets:
                 parity = np.bincount((s % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
@@ -220,7 +227,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 }
             )
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "text").mapInArrow(frugal(read), "sig string, n int, tokens array<long>, bits array<long>")
+    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("sig", "text").mapInArrow(frugal(read), "sig string, n int, tokens array<long>, bits array<long>")
     return found.withColumn("key", _set_key()).dropDuplicates(["key"]).select("key", "n", "tokens", "bits")
 
 
@@ -282,18 +289,12 @@ def components(ordered: DataFrame, percent: int) -> DataFrame:
     return connected(cut(stars.unionByName(second)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: its set's size, and the smallest doc_id that links reach.
-
-    Rows link where 100 * intersection >= percent * union of their k-gram sets.  Null texts and
-    texts without words have size 0 and link with nothing.  A null doc_id keeps its row, links like any
-    other and is never a component's id unless it is alone.  Repeated rows are rows like any
-    others; further columns are ignored.
-    """
-    counted = cut(shared_counts(docs.select("doc_id", "text"), k))
+def row_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, row, n, root, component_id) of every row: its key, its set's size, and the number and smallest doc_id of its component; both null for a row without partner."""
+    counted = cut(shared_counts(docs.select("doc_id", row_key().alias("row"), "text"), k))
     alive = counted.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    sets = alive.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = sets.where("doc_id is not null").select("doc_id", "sig")
+    sets = cut(alive.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
+    wanted = sets.select("row", "sig")
     if wanted.count() <= BROADCAST_IDS:  # some 80 bytes each; beyond, the texts are shuffled
         wanted = F.broadcast(wanted)
     ordered = cut(ordered_sets(sets_of(docs, wanted, k), percent))
@@ -301,6 +302,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     named = sets.withColumn("key", _set_key()).join(found, F.col("key") == F.col("node"), "left")
     root = F.coalesce("root", "key")
     least = named.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
-    by_set = named.select("sig", root.alias("root")).join(least, "root").select("sig", "component_id")
-    rows = counted.join(by_set, "sig", "left")
+    by_set = named.select("sig", root.alias("root")).join(least, "root").select("sig", "root", "component_id")
+    return counted.join(by_set, "sig", "left").select("doc_id", "row", "n", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: its set's size, and the smallest doc_id that links reach.
+
+    Rows link where 100 * intersection >= percent * union of their k-gram sets.  Null texts and
+    texts without words have size 0 and link with nothing.  A null doc_id keeps its row, links like any
+    other and is never a component's id unless it is alone.  Repeated rows are rows like any
+    others; further columns are ignored.
+    """
+    rows = row_components(docs, percent, k)
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

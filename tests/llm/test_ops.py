@@ -258,6 +258,23 @@ def test_jaccard_components_against_all_pairs(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
 
 
+def bridged():
+    """Three texts, of which the first and last link with the second only."""
+    words = ["b%d" % i for i in range(300)]
+    first, last = list(words), list(words)
+    first[20] = first[60] = first[100] = first[140] = "x"
+    last[180] = last[220] = last[260] = last[290] = "y"
+    return [" ".join(w) for w in (first, words, last)]
+
+
+def test_text_without_id_links_documents(spark):
+    one, bridge, two = bridged()
+    assert brute_components([one, bridge, two])[1] == [0, 0, 0] and brute_components([one, two])[1] == [0, 1]
+    table = spark.createDataFrame([(1, one), (None, bridge), (None, bridge), (3, two), (None, "alone here")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(table).collect()), key=str)
+    assert got == [(1, 1), (3, 1), (None, 1), (None, 1), (None, None)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
