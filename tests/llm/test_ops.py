@@ -275,6 +275,17 @@ def test_text_without_id_links_documents(spark):
     assert got == [(1, 1), (3, 1), (None, 1), (None, 1), (None, None)]
 
 
+def test_pipeline_near_duplicates_go_by_row(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(10**6)) for _ in range(30)) for _ in range(6)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (None, texts[1]), (None, texts[5]), (4, texts[5]), (None, None), (None, None), (4, None)]
+    table = spark.createDataFrame([(i, t, None, None, "x") for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, table, sf_dir).collect()), key=str)
+    assert got == sorted([(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (4, texts[5]), (None, None), (4, None)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
