@@ -23,15 +23,20 @@ from celldag.llm.common import slices, texts_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MAY_NEST = re.compile(r"<(?:noscript|template|svg|object|math)\b", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 
 #: Element names of HTML.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "math"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+#: Skipped too, but they nest, and one that is never closed does not run to the page's end.
+NESTED = {"noscript", "template", "svg", "object", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Any of these ends an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Any of these ends an element of NESTED that is never closed.
+ENDS_NESTED = ENDS_P | {"body", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
 FURNITURE = {"nav", "menu", "header", "footer", "aside", "form", "button", "select", "dialog", "head"}
 #: Words in class, id or role names, cut at other signs than letters.
@@ -69,6 +74,32 @@ class _Open:
     link: int
 
 
+def nested_ends(page: str) -> dict[int, int]:
+    """Where each closed element of NESTED ends, by where its start tag ends."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for m, at in tokens(page):
+        tag = (m[2] or "").lower()
+        if tag in NESTED:
+            if not m[1] and not m[3].endswith("/"):
+                begun.setdefault(tag, []).append(at)
+            elif m[1] and begun.get(tag):
+                ends[begun[tag].pop()] = m.end()
+    return ends
+
+
+def tokens(page: str):
+    """Every comment and tag, and where the page goes on behind it: for RAW elements behind their end tag."""
+    at, n = 0, len(page)
+    while at < n and (m := TOKEN.search(page, at)):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+        yield m, at
+
+
 @dataclass
 class Flattener:
     """Turns a page into blocks.  An end tag closes what it opened, and all that was left open inside."""
@@ -113,6 +144,12 @@ class Flattener:
                     break
                 if self.stack[i].tag not in INLINE:
                     break
+        if tag in ENDS_NESTED:
+            for i in range(1, len(self.stack)):
+                if self.stack[i].tag in NESTED:
+                    self.flush()
+                    del self.stack[i:]
+                    break
         if tag not in INLINE:
             self.flush()
             if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
@@ -127,28 +164,28 @@ class Flattener:
         names = {w for m in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(m).lower())} if told else set()
         body = tag in BODY or bool(names & BODY_HINTS)
         own_title = tag == "header" and top.in_body
-        furniture = tag in FURNITURE and not own_title
+        furniture = (tag in FURNITURE or tag in NESTED) and not own_title
         self.stack.append(_Open(tag, top.in_body or body, top.in_furniture or furniture, top.hinted or bool(names & HINTS) and not own_title, top.link + (tag == "a")))
 
     def run(self, page: str) -> list[Block]:
-        at, n = 0, len(page)
-        while at < n:
-            m = TOKEN.search(page, at)
-            if m is None:
-                self.text(page[at:])
-                break
+        ends = nested_ends(page) if MAY_NEST.search(page) else {}
+        at = 0
+        for m, behind in tokens(page):
+            if m.start() < at:
+                continue  # inside an element that is skipped
             self.text(page[at : m.start()])
-            at = m.end()
+            at = behind
             if m[2]:
                 tag = m[2].lower()
                 if m[1]:
                     self.close(tag)
-                elif tag in RAW:
-                    if not m[3].endswith("/"):
-                        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                        at = end.end() if end else n
-                else:
+                elif tag in NESTED:
+                    at = ends.get(behind, behind)
+                    if behind not in ends and not m[3].endswith("/"):
+                        self.open(tag, m[3])
+                elif tag not in RAW:
                     self.open(tag, m[3])
+        self.text(page[at:])
         self.flush()
         return self.blocks
 

@@ -171,6 +171,21 @@ def test_html_text(spark):
     assert by_id[2]["text"] == "" and by_id[3]["n_chars"] == 0 and by_id[4]["n_chars"] == 50000 * 5 - 1
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "template", "noscript"])
+def test_html_unclosed_and_nested_elements_take_no_article_along(tag):
+    tree = html_extract.train()
+    of = lambda page: html_extract.main_text(page, tree)
+    article = "<article><h1>Title</h1><p>One two three four.</p><p>Five six seven.</p></article>"
+    want = of(article)
+    assert want == "Title\n\nOne two three four.\n\nFive six seven."
+    for before in (f"<{tag}>", f"<div><{tag} width=3></div>", f"<p>x <{tag}><g>", f"<{tag}>label<{tag}>in</{tag}>"):
+        assert want in of(before + article), before
+    assert of(f"<{tag}>a<{tag}>b</{tag}><p>inside the outer element still</p></{tag}>" + article) == want
+    assert of(article.replace("Five", f"<{tag}>no <p>no</p></{tag}>Five")) == want
+    assert of(f"<{tag}/>" + article) == want and of(article + f"<{tag}>") == want
+    assert of("<script>" + article) == ""
+
+
 def test_url_rules_and_trees(spark):
     urls = ["http://m.Example.COM/en/77?x", "http://com/en/7", "http://a.example.com/en/8", "ftp://x.net/de/9#a", "http://b.example.net/de/81", "http://notexample.net/de/8", "http://x.org/es/", None, "no scheme", "http://cheap-pills.example.com/fr/3", "http://heron.example.com/fr/3", "x://y://z"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
