@@ -15,7 +15,10 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """All files now: path, name, length, modified, sha256 and container kind; lock files left out."""
+    """All files now: path, name, length, modified, sha256 and container kind; lock files left out.
+
+    A file is hashed as one binary row, so one beyond 2 GB can't be read, here and in `watch`.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return _described(files)
 

@@ -23,6 +23,21 @@ def test_stream_reads_each_file_once(spark, sf_dir):
     assert sorted(r["name"] for r in rows) == ["nation.parquet", "region.parquet"]
 
 
+def test_scan_and_watch_see_the_whole_folder(spark, sf_dir, tmp_path):
+    import hashlib
+    import os
+
+    from pyspark.sql import functions as F
+
+    from celldag.streaming import files
+
+    listed = {(f, hashlib.sha256(open(os.path.join(d, f), "rb").read()).hexdigest()) for d, _, fs in os.walk(sf_dir) for f in fs}
+    assert len(listed) == 14 and {(r["name"], r["sha256"]) for r in files.scan(spark, sf_dir).collect()} == listed
+    seen = files.new_contents(files.watch(spark, sf_dir)).withColumn("kind", F.lit("table"))
+    files.ingest(seen, f"{tmp_path}/log", f"{tmp_path}/checkpoint", lambda df: None).awaitTermination()
+    assert {(r["path"].rsplit("/", 1)[-1], r["sha256"]) for r in spark.read.parquet(f"{tmp_path}/log").collect()} == listed
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
