@@ -8,16 +8,19 @@ Overlaps are counted fragment by fragment and summed: first per document, then p
    fragment's reducer tells for each document how many of its n-grams there are shared; the sums
    rule out most documents.  A task sends an n-gram once, however many of its documents
    have it, so a passage that a third of all documents share is no hot key.
-2. Equal n-gram sets become one representative.
-3. Per pair.  Two sets that are alike enough share an n-gram in their prefixes, the first
+2. Equal n-gram sets, told by 128-bit signatures, become one representative with a number.
+3. Stars.  Two sets that are alike enough share an n-gram in their prefixes, the first
    n - ceil(percent * n / 100) + 1 of the order.  For each prefix n-gram one of its sets, by hash,
-   is compared with the others; pairs that pass a bit-map bound on the overlap get their exact
-   overlap, counted by fragment and summed per pair.
-4. What these links connect need not be compared any more.  Sets that share a prefix n-gram
-   and are still apart are compared, all of them, in the same way.
-
-Bounds only rule out pairs that can't link, and a pair is left out only when its two sets are
-already connected, so components are exact (up to collisions of 64-bit hashes).
+   is compared with the others.  What the links connect is one component from then on; a second
+   round, with another set for each n-gram, compares only sets of different components.
+4. Sets that share a prefix n-gram and are still in different components are compared, all of them.
+
+Before a pair is counted, three bounds must hold: on the sizes, on the places at which the shared n-gram
+stands in both (what comes before it in the order can't be shared if it is their first), and on
+the difference that two bit maps show.  Then each fragment of the order gives the pair's partial
+overlap, the partial overlaps are summed, and the sum decides.  Bounds only rule out pairs that
+can't link, and a pair is left out only when its two sets are connected already, so
+components are exact (up to collisions of n-gram hashes of 64 bits).
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ from celldag.llm.components import connected
 
 BITS = 8  # 64-bit words of the bit map
 WIDTH = 5  # bytes of an n-gram's hash that go to a fragment's reducer, besides the fragment's number
-FLUSH = 2_000_000  # n-grams that a task gathers before it sends them
+FLUSH, LARGEST_FLUSH, RUN = 2_000_000, 16_000_000, 20  # n-grams that a task gathers before it sends them: RUN for each fragment, within these (8 bytes each, and as much again twice to sort them)
 FRAGMENT, LARGEST = 1_500_000, 20_000_000  # n-grams that a fragment of step 1 is meant to hold: a thousandth of all, within these
-SEGMENTS = 8  # fragments of step 3
+SEGMENTS = 8  # fragments of steps 3 and 4
+ROUNDS = 2  # of step 3
 BROADCAST_IDS = 500_000
 
 _SALT = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(64)], np.uint64)
@@ -69,6 +73,7 @@ def shingle_sets(texts: list[str], k: int, word_hash: _WordHash) -> list[np.ndar
     get = word_hash.__getitem__
     h = np.fromiter((get(w) for ws in words for w in ws), np.uint64, sum(map(len, words)))
     grams = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    short = np.zeros(1, np.uint64)
     for j in range(k):
         grams += h[j : len(h) - k + 1 + j] * _SALT[j]
     grams = _mixed(grams)
@@ -78,7 +83,7 @@ def shingle_sets(texts: list[str], k: int, word_hash: _WordHash) -> list[np.ndar
         if n >= k:
             out.append(np.unique(grams[at : at + n - k + 1]))
         elif n:
-            out.append(_mixed(np.array([(h[at : at + n] * _SALT[:n]).sum(dtype=np.uint64) + _SALT[32 + n]], np.uint64)))
+            out.append(_mixed(short + (h[at : at + n] * _SALT[:n]).sum(dtype=np.uint64) + _SALT[32 + n : 33 + n]))
         else:
             out.append(np.empty(0, np.uint64))
         at += n
@@ -103,8 +108,9 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, row, n, shared, sig) of every (doc_id, row, text): set size, how many of its n-grams another row has too, and the set's signature."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(8, -(-chars // (6 * min(LARGEST, max(FRAGMENT, chars // 6000)))))
+    gathered = max(FLUSH, min(LARGEST_FLUSH, RUN * fragments))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    head = f"ids array<{kind}>, keys array<long>, n array<int>, local array<int>, sigs array<string>"
+    head = f"ids array<{kind}>, keys array<binary>, n array<int>, local array<int>, sigs array<string>"
     names = ("fragment", "task", "once", "owner", "many", "ids", "keys", "n", "local", "sigs")
 
     def send(batches):
@@ -136,7 +142,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 add(f, task, _pack(once[a:b]), whose[a:b].tobytes(), _pack(many[c:d]), None, None, None, None, None)
             # What the documents of this task are: sent along, to a reducer by its own key.
             add(-1 - (xxhash.xxh32_intdigest(task) & 0x7FFFFFFF), task, None, None, None, ids, keys, [len(s) for s in sets], local.tolist(), [_signature(s) for s in sets])
-            types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays([pa.array(rows[x], t) for x, t in zip(names, types)], names=list(names))
 
         id_kind = pa.int64()
@@ -148,7 +154,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(row)
                 sets.append(s)
                 size += len(s)
-                if size >= FLUSH or len(sets) >= 60_000:
+                if size >= gathered or len(sets) >= 60_000:
                     yield flush()
                     sets, ids, keys, size, sent = [], [], [], 0, sent + 1
         if sets:
@@ -177,7 +183,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 if len(owner):
                     who, n = np.unique(owner, return_counts=True)
                     out.append({"task": r["task"], "who": who.tobytes(), "count": n.astype(np.uint32).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("task", pa.string()), ("ids", t.schema.field("ids").type), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("local", pa.list_(pa.int32())), ("sigs", pa.list_(pa.string())), ("who", pa.binary()), ("count", pa.binary())]))
+        return pa.Table.from_pylist(out, schema=pa.schema([("task", pa.string()), ("ids", t.schema.field("ids").type), ("keys", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("local", pa.list_(pa.int32())), ("sigs", pa.list_(pa.string())), ("who", pa.binary()), ("count", pa.binary())]))
 
     def total(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -186,62 +192,61 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
         for r in rows:
             if r["who"] is not None:
                 shared[np.frombuffer(r["who"], np.uint16)] += np.frombuffer(r["count"], np.uint32)
-        return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "row": pa.array(own["keys"], pa.int64()), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
+        return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "row": pa.array(own["keys"], pa.binary()), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
 
     sent = docs.select("doc_id", "row", "text").mapInArrow(frugal(send), f"fragment long, task string, once binary, owner binary, many binary, {head}")
     met = sent.groupBy("fragment").applyInArrow(meet, f"task string, {head}, who binary, count binary")
-    return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, row long, n int, shared int, sig string")
+    return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, row binary, n int, shared int, sig string")
 
 
 def row_key() -> Column:
-    """A hash of id and text, not null; exact repeats have the same."""
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
-
-
-def _set_key(sig: str = "sig") -> Column:
-    """The first 64 bits of a signature, as a number."""
-    return F.conv(F.substring(sig, 1, 15), 16, 10).cast("long")
+    """A 128-bit hash of id and text, not null; exact repeats have the same."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part("doc_id"), part("text"))))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, n, tokens, bits) of the wanted (row, sig): the n-gram hashes and their parities by position in a bit map."""
+    """(key, n, tokens, bits) of the wanted (row, sig, key): the n-gram hashes and their parities by position in a bit map."""
 
     def read(batches):
         word_hash, seen = _WordHash(), set()  # a repeated row gives its set once
         for batch in slices(batches, 4 << 20):
-            batch = batch.filter(pa.array([x not in seen for x in batch.column("sig").to_pylist()], pa.bool_()))
+            batch = batch.filter(pa.array([x not in seen for x in batch.column("key").to_pylist()], pa.bool_()))
             sets = shingle_sets(texts_of(batch, "text"), k, word_hash)
             right = [i for i, (s, sig) in enumerate(zip(sets, batch.column("sig").to_pylist())) if _signature(s) == sig]
             sets = [sets[i] for i in right]
-            seen.update(batch.column("sig")[i].as_py() for i in right)
+            keys = batch.column("key").take(pa.array(right, pa.int64()))
+            seen.update(keys.to_pylist())
             bits = []
             for s in sets:
                 parity = np.bincount((s % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
                 bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "sig": batch.column("sig").take(pa.array(right, pa.int64())),
+                    "key": keys,
                     "n": pa.array([len(s) for s in sets], pa.int32()),
                     "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     "bits": pa.array(bits, pa.list_(pa.int64())),
                 }
             )
 
-    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("sig", "text").mapInArrow(frugal(read), "sig string, n int, tokens array<long>, bits array<long>")
-    return found.withColumn("key", _set_key()).dropDuplicates(["key"]).select("key", "n", "tokens", "bits")
+    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("key", "sig", "text")
+    return found.mapInArrow(frugal(read), "key long, n int, tokens array<long>, bits array<long>").dropDuplicates(["key"])
 
 
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, bits, prefix, segments): the shared n-grams of the prefix, and all shared n-grams by fragment."""
+    """(key, n, bits, prefix, segments): the prefix's shared n-grams t with their places p in the order, and all shared n-grams by fragment."""
     token = sets.select("key", F.explode("tokens").alias("t"))
     frequency = token.groupBy("t").agg(F.count("*").cast("int").alias("f")).where("f > 1")
     shared = token.join(frequency, "t").select("key", "f", "t")
     listed = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
     n = F.col("n")
-    length = n - F.floor((n * percent + 99) / 100).cast("int") + 1 - (n - F.size("o"))  # n-grams in no other set come first
+    alone = n - F.size("o")  # n-grams in no other set come first
+    length = n - F.floor((n * percent + 99) / 100).cast("int") + 1 - alone
     rows = listed.join(sets.select("key", "n", "bits"), "key").where(length > 0)
     part = lambda i: F.transform(F.filter("o", lambda x: _segment_of(x) == i), lambda x: x["t"])
-    return rows.select("key", "n", "bits", F.transform(F.slice("o", F.lit(1), length), lambda x: x["t"]).alias("prefix"), F.array(*[part(i) for i in range(SEGMENTS)]).alias("segments"))
+    prefix = F.transform(F.slice("o", F.lit(1), length), lambda x, i: F.struct((alone + i).alias("p"), x["t"].alias("t")))
+    return rows.select("key", "n", "bits", prefix.alias("prefix"), F.array(*[part(i) for i in range(SEGMENTS)]).alias("segments"))
 
 
 def _segment_of(x: Column) -> Column:
@@ -251,58 +256,81 @@ def _segment_of(x: Column) -> Column:
     return F.when(f <= 2, quarter).when(f == 3, 4).when(f == 4, 5).when(f <= 8, 6).otherwise(7)
 
 
-def _may_link(percent: int, n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
-    """Length bound, and the overlap's upper bound from the bit maps: sets that differ in d parities differ in d n-grams at least."""
-    a, b = F.col(n_a), F.col(n_b)
-    apart = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(1, BITS)), F.bit_count(F.col(bits_a)[0].bitwiseXOR(F.col(bits_b)[0])))
-    most = a + b - apart  # twice the overlap, at most
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (most * 100 >= percent * (2 * (a + b) - most))
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """Three bounds for two sets (n, p, bits) that share an n-gram: on sizes, on its places, and on the difference.
+
+    A link needs an overlap of percent / (100 + percent) of both sizes.  If the n-gram is the first that they share, no more than what
+    follows in either is shared.  Sets that differ in d parities of their bit maps differ in d n-grams at least.
+    """
+    n_a, n_b, p_a, p_b = (F.col(f"{c}_{x}") for c in ("n", "p") for x in (a, b))
+    bits_a, bits_b = F.col(f"bits_{a}"), F.col(f"bits_{b}")
+    apart = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(1, BITS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+    both = (n_a + n_b) * percent
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    places = F.least(n_a - p_a, n_b - p_b) * (100 + percent) >= both
+    return sizes & places & ((n_a + n_b - apart) * (100 + percent) >= 2 * both)
 
 
 def links(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose overlap, counted in each fragment and summed, reaches the threshold."""
-    side = lambda a, n, s: ordered.select(F.col("key").alias(a), F.col("n").alias(n), F.col("segments").alias(s))
-    both = pairs.join(side("u", "nu", "su"), "u").join(side("v", "nv", "sv"), "v")
-    partial = F.zip_with("su", "sv", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
-    found = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), overlap.alias("o"))
-    return found.where(F.col("o") * 100 >= percent * (F.col("n") - F.col("o"))).select("u", "v")
+    """Those pairs (u, v, and further columns) whose overlap reaches the threshold: partial overlaps of each fragment, summed per pair."""
+    part = ordered.select("key", "n", F.posexplode("segments").alias("fragment", "tokens")).where(F.size("tokens") > 0)
+    one = part.select(F.col("key").alias("u"), "fragment", F.col("n").alias("n_u"), F.col("tokens").alias("t_u"))
+    two = part.select(F.col("key").alias("v"), "fragment", F.col("n").alias("n_v"), F.col("tokens").alias("t_v"))
+    partial = pairs.join(one, "u").join(two, ["v", "fragment"])
+    shared = F.size(F.array_intersect("t_u", "t_v"))
+    summed = partial.groupBy(*pairs.columns, (F.col("n_u") + F.col("n_v")).alias("n")).agg(F.sum(shared).alias("o"))
+    return summed.where(F.col("o") * 100 >= percent * (F.col("n") - F.col("o"))).select(*pairs.columns)
 
 
 def components(ordered: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the sets that have a link."""
-    held = ordered.select("key", "n", "bits", F.explode("prefix").alias("t"))
-    leader = held.groupBy("t").agg(F.min(F.struct(F.xxhash64("key", "t").alias("h"), "key", "n", "bits")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    met = held.join(leader.select("t", F.col("l.key").alias("key_l"), F.col("l.n").alias("n_l"), F.col("l.bits").alias("bits_l")), "t").where("key <> key_l")
-    near = met.where(_may_link(percent, "n", "n_l", "bits", "bits_l"))
-    pairs = near.select(F.greatest("key", "key_l").alias("u"), F.least("key", "key_l").alias("v")).distinct()
-    first = cut(links(pairs, ordered, percent))
-    joined = connected(first)
-
-    named = held.join(joined, held["key"] == joined["node"], "left").select("t", "key", "n", "bits", F.coalesce("root", "key").alias("root"))
+    """(key, root) of every set: root is a number that all sets of its component have, and no others."""
+    place = ordered.select("key", "n", "bits", F.explode("prefix").alias("x"))
+    held = cut(place.select("key", "n", "bits", F.col("x.p").alias("p"), F.col("x.t").alias("t")))
+    named = held.withColumn("root", F.col("key"))
+    label = None
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "p", "bits", "root")])
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The labels, once the links among the pairs (key_a, key_b, root_a, root_b) connect what they do.  Only roots are connected."""
+        a_first = F.col("key_a") > F.col("key_b")
+        chosen = pairs.select(F.greatest("key_a", "key_b").alias("u"), F.least("key_a", "key_b").alias("v"), F.when(a_first, F.col("root_a")).otherwise(F.col("root_b")).alias("root_u"), F.when(a_first, F.col("root_b")).otherwise(F.col("root_a")).alias("root_v"))
+        found = links(chosen.distinct(), ordered, percent).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+        merged = connected(cut(found.distinct()))
+        if label is None:
+            return merged.select(F.col("node").alias("key"), "root")
+        moved = label.join(merged.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
+        fresh = merged.join(label, F.col("node") == F.col("key"), "left_anti").select(F.col("node").alias("key"), "root")
+        return cut(moved.unionByName(fresh))
+
+    for salt in range(ROUNDS):
+        pick = F.min(F.struct(F.xxhash64("key", "t", F.lit(salt)).alias("h"), "key", "n", "p", "bits", "root"))
+        leader = named.groupBy("t").agg(pick.alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "x.*")
+        met = side(named, "a").join(side(leader, "b"), "t").where(F.col("root_a") != F.col("root_b"))
+        label = joined(met.where(_may_link(percent, "a", "b")))
+        named = held.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
-    open_rows = cut(named.join(apart, "t"))
-    a, b = (open_rows.select(*["t"] if x == "a" else [F.col("t").alias("t_b")], *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "bits", "root")]) for x in "ab")
-    rest = a.join(b, (F.col("t") == F.col("t_b")) & (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "n_a", "n_b", "bits_a", "bits_b"))
-    second = links(rest.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct(), ordered, percent)
-    stars = joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return connected(cut(stars.unionByName(second)))
+    rest = cut(named.join(apart, "t"))
+    a, b = side(rest, "a"), side(rest, "b").withColumnRenamed("t", "t_b")
+    pairs = a.join(b, (F.col("t") == F.col("t_b")) & (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b"))
+    return joined(pairs)
 
 
 def row_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """(doc_id, row, n, root, component_id) of every row: its key, its set's size, and the number and smallest doc_id of its component; both null for a row without partner."""
     counted = cut(shared_counts(docs.select("doc_id", row_key().alias("row"), "text"), k))
     alive = counted.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    sets = cut(alive.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
-    wanted = sets.select("row", "sig")
-    if wanted.count() <= BROADCAST_IDS:  # some 80 bytes each; beyond, the texts are shuffled
+    grouped = alive.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    sets = cut(grouped.withColumn("key", F.monotonically_increasing_id()))  # written once, so a number stays what it is
+    wanted = sets.select("row", "sig", "key")
+    if wanted.count() <= BROADCAST_IDS:  # some 100 bytes each; beyond, the texts are shuffled
         wanted = F.broadcast(wanted)
     ordered = cut(ordered_sets(sets_of(docs, wanted, k), percent))
     found = components(ordered, percent)
-    named = sets.withColumn("key", _set_key()).join(found, F.col("key") == F.col("node"), "left")
-    root = F.coalesce("root", "key")
-    least = named.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
-    by_set = named.select("sig", root.alias("root")).join(least, "root").select("sig", "root", "component_id")
+    named = sets.join(found, "key", "left").select("sig", "doc_id", F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = named.select("sig", "root").join(least, "root").select("sig", "root", "component_id")
     return counted.join(by_set, "sig", "left").select("doc_id", "row", "n", "root", "component_id")
 
 
