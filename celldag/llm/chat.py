@@ -21,10 +21,12 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from celldag.llm.common import slices, texts_of
+
 #: The control strings of the template.
 CONTROL = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]", "[IMAGE]", "[AUDIO]", "[DOCUMENT]")
 _SPECIAL = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
@@ -123,13 +125,17 @@ def format_chat(turns: DataFrame) -> DataFrame:
     of its turn's content.  Turns are formatted where they lie; only then are they sorted.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.select("conv_id", "turn").schema)
+    attached = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())]))
 
-    def run(frames):
-        for f in frames:
-            out = [format_turn(r if isinstance(r, str) else "", list(ps) if ps is not None else []) for r, ps in zip(f["role"], f["parts"])]
-            yield f[["conv_id", "turn", "role"]].assign(formatted=[o[0] for o in out], n_tokens_extra=[o[1] for o in out], attachments=[o[2] for o in out])
+    def run(batches):
+        for batch in slices(batches):
+            out = [format_turn(r, ps or []) for r, ps in zip(texts_of(batch, "role"), batch.column("parts").to_pylist())]
+            yield pa.RecordBatch.from_pydict(
+                {c: batch.column(c) for c in ("conv_id", "turn", "role")}
+                | {"formatted": pa.array([o[0] for o in out], pa.string()), "n_tokens_extra": pa.array([o[1] for o in out], pa.int64()), "attachments": pa.array([o[2] for o in out], attached)}
+            )
 
-    done = turns.select("conv_id", "turn", "role", "parts").mapInPandas(run, f"{kinds}, role string, {OUT}")
+    done = turns.select("conv_id", "turn", "role", "parts").mapInArrow(run, f"{kinds}, role string, {OUT}")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted")
     done = done.withColumn("pos", F.row_number().over(order) - 1)
     opened = F.when(F.col("pos") == 0, F.concat(F.lit("<s>"), "formatted")).otherwise(F.col("formatted"))
@@ -144,20 +150,23 @@ def digests(formatted: DataFrame) -> DataFrame:
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def run(frames):
+    def run(batches):
         now, turns, loss = object(), None, None
         n = chars = masked = 0
+        done: list[tuple] = []
 
-        def row():
-            return pd.DataFrame({"conv_id": [now], "n_turns": [n], "turns_sha256": [turns.hexdigest()], "loss_chars": [masked], "loss_sha256": [loss.hexdigest()], "formatted_chars": [chars]})
+        def rows(kind):
+            columns = zip(*done)
+            types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        done = []
-        for f in frames:
-            for conv, text in zip(f["conv_id"], f["formatted"]):
-                conv = None if pd.isna(conv) else conv
+        for batch in slices(batches):
+            kind = batch.schema.field("conv_id").type
+            for conv, text in zip(batch.column("conv_id").to_pylist(), texts_of(batch, "formatted")):
                 if conv != now:
                     if turns is not None:
-                        done.append(row())
+                        done.append((now, n, turns.hexdigest(), masked, loss.hexdigest(), chars))
                     now, turns, loss = conv, hashlib.sha256(), hashlib.sha256()
                     n = chars = masked = 0
                 chars += len(text)
@@ -168,10 +177,11 @@ def digests(formatted: DataFrame) -> DataFrame:
                         masked += len(content)
                         loss.update(content.encode("utf-8", "replace"))
             if done:
-                yield pd.concat(done)
+                yield rows(kind)
                 done = []
         if turns is not None:
-            yield row()
+            done.append((now, n, turns.hexdigest(), masked, loss.hexdigest(), chars))
+            yield rows(kind)
 
     sorted_rows = formatted.select("conv_id", "pos", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "pos")
-    return sorted_rows.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sorted_rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
