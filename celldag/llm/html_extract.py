@@ -3,16 +3,22 @@
 A page becomes a flat list of text blocks (runs of text between block-level tags).  A block is
 described by its word count and link density, those of its two neighbours, and what its
 surroundings say: whether it is in an article or main part, in a menu, header, footer, sidebar
-or form, and whether class or id names tell of adverts, notices or comments.  A CART tree,
-trained here on the small labelled table below, tells content from the rest.  Counts and link
-density alone can't: a one-word paragraph and an advert's sentence look like menu entries and
-article sentences, so the surroundings are features too.
+or form, and whether class or id names tell of adverts, notices or comments.  A CART tree is
+trained here on the small labelled table of kinds of block below.  It is grown on counts and link densities first; only a leaf
+that these leave mixed is split further by the surroundings, as a one-word paragraph and an
+advert's sentence have the counts of a menu entry and of an article's sentence.
+
+The scanner reads a page once: a stray end tag is told by a count of open elements, and from the first
+quote on that is never closed, tags end at the next > whatever quotes say.
 """
 
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +27,8 @@ from pyspark.sql import DataFrame
 
 from celldag.llm.common import slices, texts_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^'\">]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 MAY_NEST = re.compile(r"<(?:noscript|template|svg|object|math)\b", re.I)
 SPACE = re.compile(r"\s+")
@@ -74,30 +81,77 @@ class _Open:
     link: int
 
 
+@dataclass
+class Token:
+    """A tag, or with an empty tag a comment or declaration; the page goes on at `behind` (for RAW elements behind their end tag)."""
+
+    start: int
+    end: int
+    behind: int
+    closing: bool = False
+    tag: str = ""
+    attributes: str = ""
+
+    @property
+    def empty(self) -> bool:
+        return self.attributes.endswith("/")
+
+
 def nested_ends(page: str) -> dict[int, int]:
     """Where each closed element of NESTED ends, by where its start tag ends."""
     ends: dict[int, int] = {}
     begun: dict[str, list[int]] = {}
-    for m, at in tokens(page):
-        tag = (m[2] or "").lower()
-        if tag in NESTED:
-            if not m[1] and not m[3].endswith("/"):
-                begun.setdefault(tag, []).append(at)
-            elif m[1] and begun.get(tag):
-                ends[begun[tag].pop()] = m.end()
+    for t in tokens(page):
+        if t.tag in NESTED:
+            if not t.closing and not t.empty:
+                begun.setdefault(t.tag, []).append(t.behind)
+            elif t.closing and begun.get(t.tag):
+                ends[begun[t.tag].pop()] = t.end
     return ends
 
 
 def tokens(page: str):
-    """Every comment and tag, and where the page goes on behind it: for RAW elements behind their end tag."""
-    at, n = 0, len(page)
-    while at < n and (m := TOKEN.search(page, at)):
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if tag in RAW and not m[1] and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        yield m, at
+    """Every comment and tag in order.  A < that begins neither, or a tag that nothing ends, is text."""
+    at, n, quoted = 0, len(page), True
+    raw_end: dict[str, re.Pattern] = {}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield Token(start, at, at)
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            yield Token(start, at, at)
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        end = m.end()
+        while quoted:
+            end = PLAIN.match(page, end).end()
+            if end >= n or page[end] == ">":
+                break
+            close = page.find(page[end], end + 1)
+            if close < 0:
+                quoted = False
+            else:
+                end = close + 1
+        if not quoted:
+            end = page.find(">", m.end())
+        if end < 0 or end >= n:
+            return
+        at, tag = end + 1, m[2].lower()
+        found = Token(start, at, at, bool(m[1]), tag, page[m.end() : end])
+        if tag in RAW and not found.closing and not found.empty:
+            ending = raw_end.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I)).search(page, at)
+            at = ending.end() if ending else n
+            found.behind = at
+        yield found
 
 
 @dataclass
@@ -108,6 +162,14 @@ class Flattener:
     stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False, 0)])
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    opened: Counter = field(default_factory=Counter)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from this place of the stack on."""
+        for o in self.stack[at:]:
+            self.opened[o.tag] -= 1
+            self.opened["nested"] -= o.tag in NESTED
+        del self.stack[at:]
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.pieces)).strip()
@@ -125,11 +187,13 @@ class Flattener:
                 self.linked += len(WORD.findall(shown))
 
     def close(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 if any(o.tag not in INLINE for o in self.stack[i:]):
                     self.flush()
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i].tag not in INLINE and tag in INLINE:
                 return  # a stray end tag of an element that was opened outside this block
@@ -140,21 +204,21 @@ class Flattener:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag == "p":
                     self.flush()
-                    del self.stack[i:]
+                    self.cut(i)
                     break
                 if self.stack[i].tag not in INLINE:
                     break
-        if tag in ENDS_NESTED:
+        if tag in ENDS_NESTED and self.opened["nested"]:
             for i in range(1, len(self.stack)):
                 if self.stack[i].tag in NESTED:
                     self.flush()
-                    del self.stack[i:]
+                    self.cut(i)
                     break
         if tag not in INLINE:
             self.flush()
             if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 if self.stack[-1].tag == tag:
-                    self.stack.pop()
+                    self.cut(len(self.stack) - 1)
         if tag == "br":
             self.pieces.append(" ")
         if tag in VOID:
@@ -165,31 +229,32 @@ class Flattener:
         body = tag in BODY or bool(names & BODY_HINTS)
         own_title = tag == "header" and top.in_body
         furniture = (tag in FURNITURE or tag in NESTED) and not own_title
+        self.opened[tag] += 1
+        self.opened["nested"] += tag in NESTED
         self.stack.append(_Open(tag, top.in_body or body, top.in_furniture or furniture, top.hinted or bool(names & HINTS) and not own_title, top.link + (tag == "a")))
 
     def run(self, page: str) -> list[Block]:
         ends = nested_ends(page) if MAY_NEST.search(page) else {}
         at = 0
-        for m, behind in tokens(page):
-            if m.start() < at:
+        for t in tokens(page):
+            if t.start < at:
                 continue  # inside an element that is skipped
-            self.text(page[at : m.start()])
-            at = behind
-            if m[2]:
-                tag = m[2].lower()
-                if m[1]:
-                    self.close(tag)
-                elif tag in NESTED:
-                    at = ends.get(behind, behind)
-                    if behind not in ends and not m[3].endswith("/"):
-                        self.open(tag, m[3])
-                elif tag not in RAW:
-                    self.open(tag, m[3])
+            self.text(page[at : t.start])
+            at = t.behind
+            if t.closing:
+                self.close(t.tag)
+            elif t.tag in NESTED:
+                at = ends.get(t.behind, t.behind)
+                if t.behind not in ends and not t.empty:
+                    self.open(t.tag, t.attributes)
+            elif t.tag and t.tag not in RAW:
+                self.open(t.tag, t.attributes)
         self.text(page[at:])
         self.flush()
         return self.blocks
 
 
+DEALT = 6  # the first features: counts and densities of the block and its neighbours
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_body", "in_furniture", "hinted", "heading", "item")
 
 
@@ -201,36 +266,41 @@ def features(blocks: list[Block]) -> np.ndarray:
     return np.hstack([own, np.vstack([edge, own[:-1]])[: len(own)], np.vstack([own[1:], edge])[: len(own)], around])
 
 
-#: Labelled blocks: FEATURES in order, then 1 for content.  Made by hand.
-LABELLED = [
-    # menus and breadcrumbs
-    (1, 1.0, 0, 0, 1, 1.0, 0, 1, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0, 0, 1, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0, 0), (6, 1.0, 8, 0.9, 40, 0.0, 0, 0, 1, 0, 0, 0),
-    # page headers, taglines
-    (4, 0.0, 0, 0, 1, 1.0, 0, 1, 0, 1, 0, 0), (3, 0.3, 0, 0, 2, 1.0, 0, 1, 0, 0, 0, 0), (7, 0.0, 3, 0.0, 1, 1.0, 0, 1, 0, 0, 0, 0), (9, 0.0, 0, 0, 60, 0.0, 0, 0, 1, 0, 0, 0),
-    # adverts and notices, also inside articles
-    (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0, 0), (14, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 0, 0, 0), (25, 0.1, 40, 0.0, 50, 0.0, 1, 0, 1, 0, 0, 0), (60, 0.0, 80, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 0),
-    (33, 0.2, 0, 0, 5, 1.0, 0, 0, 1, 0, 0, 0), (12, 0.5, 30, 0.0, 20, 0.0, 1, 0, 1, 0, 1, 0),
-    # sidebars, related links
-    (6, 1.0, 90, 0.0, 7, 1.0, 0, 1, 0, 0, 1, 0), (20, 0.1, 6, 1.0, 15, 0.2, 0, 1, 0, 0, 0, 0), (45, 0.0, 30, 0.0, 12, 0.4, 0, 1, 0, 0, 0, 0), (5, 0.0, 70, 0.0, 6, 1.0, 0, 1, 0, 1, 0, 0),
-    (4, 0.0, 50, 0.0, 9, 0.0, 1, 1, 0, 1, 0, 0), (30, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0, 0, 0, 0), (2, 1.0, 40, 0.0, 3, 1.0, 1, 1, 0, 0, 1, 0),
-    # forms
-    (3, 0.0, 40, 0.0, 2, 0.0, 0, 1, 0, 0, 0, 0), (2, 0.0, 3, 0.0, 8, 0.0, 1, 1, 0, 0, 0, 0), (12, 0.0, 50, 0.0, 2, 0.0, 1, 1, 0, 0, 0, 0),
-    # reader comments
-    (40, 0.0, 5, 0.2, 6, 0.2, 0, 0, 1, 0, 0, 0), (70, 0.0, 3, 0.0, 50, 0.0, 0, 0, 1, 0, 0, 0), (18, 0.0, 4, 0.5, 5, 0.5, 1, 0, 1, 0, 1, 0), (2, 0.0, 100, 0.0, 20, 0.0, 1, 0, 1, 1, 0, 0), (90, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 0, 0, 0),
-    # footers
-    (14, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 0, 0, 0), (10, 0.3, 8, 1.0, 0, 0, 0, 1, 0, 0, 0, 0), (30, 0.0, 80, 0.0, 12, 0.0, 0, 1, 0, 0, 0, 0), (6, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 0, 0, 0), (4, 0.5, 12, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    # articles: headings, paragraphs long and short, lists, cells, links in the text
-    (8, 0.0, 7, 0.0, 90, 0.0, 1, 0, 0, 1, 0, 1), (1, 0.0, 14, 0.0, 1, 0.0, 1, 0, 0, 1, 0, 1), (4, 0.0, 80, 0.0, 70, 0.0, 1, 0, 0, 1, 0, 1), (120, 0.0, 8, 0.0, 100, 0.0, 1, 0, 0, 0, 0, 1),
-    (90, 0.05, 100, 0.0, 60, 0.1, 1, 0, 0, 0, 0, 1), (1, 0.0, 90, 0.0, 80, 0.0, 1, 0, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 0, 0, 1), (5, 0.0, 3, 0.0, 14, 0.0, 1, 0, 0, 0, 0, 1),
-    (30, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 0, 0, 1), (12, 0.5, 60, 0.0, 70, 0.0, 1, 0, 0, 0, 0, 1), (9, 0.0, 30, 0.0, 9, 0.0, 1, 0, 0, 0, 1, 1), (3, 0.0, 9, 0.0, 4, 0.0, 1, 0, 0, 0, 1, 1),
-    (6, 1.0, 60, 0.0, 80, 0.0, 1, 0, 0, 0, 0, 1), (2, 1.0, 20, 0.1, 30, 0.0, 1, 0, 0, 0, 1, 1), (40, 0.3, 10, 0.0, 15, 1.0, 1, 0, 0, 0, 0, 1), (1, 0.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1), (7, 0.0, 10, 0.0, 14, 0.0, 1, 0, 0, 1, 0, 1),
-    # pages without an article element: long text that isn't links
-    (60, 0.0, 5, 1.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (90, 0.1, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.0, 70, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 1), (14, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (5, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1), (18, 0.0, 40, 0.0, 20, 0.0, 0, 0, 0, 0, 1, 1), (25, 0.0, 6, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
+#: The labelled table, made by hand: kinds of block as they follow each other on pages.  Of each: least and most words, least and most link density,
+#: in_body, in_furniture, hinted, heading, item, and 1 for content.  Pages without telling elements or names have kinds of their own.
+KINDS = {
+    "site title": (1, 6, 0.0, 0.4, 0, 1, 0, 1, 0, 0), "tagline": (3, 12, 0.0, 0.0, 0, 1, 0, 0, 0, 0), "menu": (1, 4, 1.0, 1.0, 0, 1, 0, 0, 1, 0), "named menu": (1, 4, 1.0, 1.0, 0, 0, 1, 0, 1, 0),
+    "breadcrumb": (2, 8, 0.6, 1.0, 0, 0, 1, 0, 0, 0), "notice": (4, 40, 0.0, 0.3, 0, 0, 1, 0, 0, 0), "notice form": (1, 12, 0.0, 0.0, 0, 1, 0, 0, 0, 0),
+    "title": (1, 14, 0.0, 0.0, 1, 0, 0, 1, 0, 1), "subheading": (1, 9, 0.0, 0.2, 1, 0, 0, 1, 0, 1), "paragraph": (8, 160, 0.0, 0.3, 1, 0, 0, 0, 0, 1), "short paragraph": (1, 9, 0.0, 0.2, 1, 0, 0, 0, 0, 1),
+    "linked paragraph": (1, 12, 0.5, 1.0, 1, 0, 0, 0, 0, 1), "list item": (1, 30, 0.0, 0.3, 1, 0, 0, 0, 1, 1), "linked item": (1, 8, 0.5, 1.0, 1, 0, 0, 0, 1, 1),
+    "advert": (2, 70, 0.0, 0.5, 0, 0, 1, 0, 0, 0), "advert inside": (2, 70, 0.0, 0.5, 1, 0, 1, 0, 0, 0), "share links": (1, 3, 1.0, 1.0, 1, 0, 1, 0, 1, 0), "aside inside": (3, 60, 0.0, 0.6, 1, 1, 0, 0, 0, 0), "form inside": (1, 12, 0.0, 0.0, 1, 1, 0, 0, 0, 0),
+    "comment": (2, 120, 0.0, 0.2, 0, 0, 1, 0, 0, 0), "comment inside": (2, 120, 0.0, 0.2, 1, 0, 1, 0, 0, 0), "comment heading": (1, 4, 0.0, 0.0, 1, 0, 1, 1, 0, 0),
+    "aside heading": (1, 5, 0.0, 0.0, 0, 1, 0, 1, 0, 0), "aside text": (4, 60, 0.0, 0.4, 0, 1, 0, 0, 0, 0), "aside link": (2, 9, 1.0, 1.0, 0, 1, 0, 0, 1, 0), "form": (1, 12, 0.0, 0.1, 0, 1, 0, 0, 0, 0),
+    "footer": (3, 40, 0.0, 0.4, 0, 1, 0, 0, 0, 0), "footer link": (1, 3, 1.0, 1.0, 0, 1, 0, 0, 1, 0),
+    "bare menu": (1, 5, 1.0, 1.0, 0, 0, 0, 0, 1, 0), "bare link": (1, 7, 0.7, 1.0, 0, 0, 0, 0, 0, 0), "bare title": (2, 14, 0.0, 0.0, 0, 0, 0, 1, 0, 1), "bare paragraph": (10, 160, 0.0, 0.3, 0, 0, 0, 0, 0, 1), "bare item": (6, 30, 0.0, 0.2, 0, 0, 0, 0, 1, 1),
+    "bare footer": (2, 9, 0.0, 0.6, 0, 0, 0, 0, 0, 0),
+}
+BODY_PARTS = ("paragraph", "paragraph", "paragraph", "short paragraph", "subheading", "list item", "list item", "linked paragraph", "linked item")
+#: What a page is made of, in order: kinds (one is taken for each block) and how many blocks at least and at most.
+LAYOUTS = [
+    [(("site title",), 0, 1), (("tagline",), 0, 1), (("menu", "named menu"), 0, 7), (("breadcrumb",), 0, 1), (("notice", "notice form"), 0, 2), (("title",), 0, 1), (BODY_PARTS, 1, 6), (("advert inside", "aside inside", "form inside"), 0, 1), (BODY_PARTS, 0, 5),
+     (("share links",), 0, 3), (("comment heading",), 0, 1), (("comment", "comment inside"), 0, 4), (("advert",), 0, 1), (("aside heading",), 0, 1), (("aside text", "aside link"), 0, 5), (("form",), 0, 2), (("footer link",), 0, 4), (("footer",), 0, 2)],
+    [(("bare menu", "bare link"), 0, 6), (("bare title",), 0, 1), (("bare paragraph", "bare item"), 1, 8), (("advert", "notice"), 0, 1), (("bare paragraph",), 0, 4), (("bare link",), 0, 3), (("bare footer",), 0, 1)],
 ]
 
 
+def labelled_blocks(pages: int = 600, seed: int = 11) -> list[tuple]:
+    """FEATURES in order, then 1 for content, of the blocks of so many pages put together from the labelled kinds; two in three have telling elements."""
+    rng, rows = random.Random(seed), []
+    for i in range(pages):
+        kinds = [KINDS[rng.choice(names)] for names, low, high in LAYOUTS[i % 3 == 2] for _ in range(rng.randint(low, high))]
+        drawn = [(max(1, round(math.exp(rng.uniform(math.log(k[0]), math.log(k[1]))))), rng.uniform(k[2], k[3]) if rng.random() < 0.5 else rng.choice(k[2:4])) for k in kinds]
+        for j, k in enumerate(kinds):
+            before, after = (drawn[j - 1] if j else (0, 0.0)), (drawn[j + 1] if j + 1 < len(drawn) else (0, 0.0))
+            rows.append((*drawn[j], *before, *after, *k[4:]))
+    return rows
+
+
 @dataclass
 class Tree:
     """Leaves have feature -1; value: share of content."""
@@ -249,13 +319,13 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
-    """CART by Gini impurity; ties go to the first feature, then the lowest cut."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2, columns: range | None = None) -> Tree:
+    """CART by Gini impurity on these columns; ties go to the first feature, then the lowest cut."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
         return Tree(-1, 0.0, share)
     best = (share * (1 - share) * len(y) - 1e-9, -1, 0.0)
-    for j in range(x.shape[1]):
+    for j in columns or range(x.shape[1]):
         order = np.argsort(x[:, j], kind="stable")
         v, t = x[order, j], np.cumsum(y[order])
         n = np.arange(1, len(y))
@@ -268,12 +338,45 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
     if j < 0:
         return Tree(-1, 0.0, share)
     below = x[:, j] <= cut
-    return Tree(j, cut, share, grow(x[below], y[below], depth - 1, least), grow(x[~below], y[~below], depth - 1, least))
-
-
-def train(labelled=None, depth: int = 6) -> Tree:
-    table = np.array(LABELLED if labelled is None else labelled, float)
-    return grow(table[:, :-1], table[:, -1], depth)
+    return Tree(j, cut, share, grow(x[below], y[below], depth - 1, least, columns), grow(x[~below], y[~below], depth - 1, least, columns))
+
+
+def refine(tree: Tree, x: np.ndarray, y: np.ndarray, depth: int, least: int, columns: range | None = None) -> Tree:
+    """The tree with its mixed leaves split further, by these columns."""
+    if tree.feature < 0:
+        return grow(x, y, depth, least, columns)
+    below = x[:, tree.feature] <= tree.cut
+    return Tree(tree.feature, tree.cut, tree.value, refine(tree.low, x[below], y[below], depth, least, columns), refine(tree.high, x[~below], y[~below], depth, least, columns))
+
+
+def train(labelled=None, depth: int = 4, least: int = 20) -> Tree:
+    """Counts and densities split first, `depth` deep with `least` rows a leaf; then mixed leaves by their surroundings, and what is still mixed by everything."""
+    table = np.array(labelled_blocks() if labelled is None else labelled, float)
+    x, y = table[:, :-1], table[:, -1]
+    tree = grow(x, y, depth, least, range(DEALT))
+    return refine(refine(tree, x, y, len(FEATURES) - DEALT, 2, range(DEALT, len(FEATURES))), x, y, depth, least // 2)
+
+
+def deciding(tree: Tree, x: np.ndarray) -> list[str]:
+    """For each block the feature of the last split on its way, from which on the decision stays what it is."""
+    out = []
+    for row in x:
+        path, at = [], tree
+        while at.feature >= 0:
+            path.append((at, FEATURES[at.feature]))
+            at = at.low if row[at.feature] <= at.cut else at.high
+        end, name = at.value >= 0.5, ""
+        for node, name in reversed(path):
+            if not _one_sided(node, end):
+                break
+        out.append(name)
+    return out
+
+
+def _one_sided(tree: Tree, value: bool) -> bool:
+    if tree.feature < 0:
+        return (tree.value >= 0.5) == value
+    return _one_sided(tree.low, value) and _one_sided(tree.high, value)
 
 
 def main_text(page: str, tree: Tree) -> str:
