@@ -1,13 +1,18 @@
 """URL filter: explicit rules first, then gradient-boosted trees on lexical features.
 
-The trees (logistic loss, Newton leaf values) are grown in numpy from the labelled URLs below.
-They see lengths, path depth, digit ratios, entropy, parameter counts, hyphens and how often
-the host's suffixes and words were blocked in training.  Nothing but the URL is read.
+The trees (logistic loss, Newton leaf values) are grown in numpy from labelled URLs.
+They see lengths, path depth, digit ratios, entropy, parameter counts and how often the
+suffixes of the host and of its words were blocked in training.  Nothing but the URL is read.
+
+The labelled URLs are put together by rule from the words and shapes below: hosts of either
+kind come with and without hyphens, digits and subdomains, so that none of these decides alone.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -20,97 +25,76 @@ from pyspark.sql import functions as F
 #: (verdict, host, path) of the rules that the registered query applies.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-#: Labelled URLs, made by hand: to block, and to allow.
-BLOCKED = """
-http://www.cheap-pills.test/en/buy?id=77&ref=a
-http://cheap-pills.test.net/fr/12
-http://buy-cheap-meds.test/order.php?p=1&q=2&aff=39
-https://online-casino-win.test/play?bonus=500&ref=x
-http://casino-win.test/de/18
-http://m.casino-royal.test/es/spin/99
-http://blog.casino-slots.test/en/4?page=2
-http://free-bets.test/en/14#top
-http://www.free-bets.test.org/es/90?utm_source=feed
-http://best-free-bets.test/odds?id=1234567
-http://adult-x.test/fr/31.html
-http://www.adult-cams.test/live?room=8811&t=9
-http://shop.adult-x.test/en/200
-http://xxx-videos-4u.test/v/8837261
-http://spam-farm.test/de/9/
-http://www.spam-farm.test.org/en/3
-http://link-farm-9.test/a/b/c/d/e/f?x=1&y=2&z=3
-http://ads-track.test/en/11
-http://ads-track.test.com/click?cid=99812&zone=7&r=0.8812
-http://track.ads-net.test/pixel.gif?u=8f7e6d5c4b3a
-http://win-free-iphone.test/claim?user=10293847
-http://lucky-win-prize.test/en/1
-http://fast-loan-4u.test/apply?aff=1&sub=2&c=3
-http://cheap-replica-bags.test/shop/item/99812
-http://hot-singles-near.test/join?ref=882211
-http://viagra-online-4u.test/p/1?x=2
-http://download-crack-keygen.test/dl.php?f=99
-http://free-movies-hd.test/watch/2291/full
-http://poker-bonus-777.test/de/5
-http://bet365x9-free.test/register?promo=ZZ11
-http://192-168-secure-login.test/verify/account?session=aa81b2c3d4
-http://paypa1-secure-update.test/login.php?id=1&t=2
-http://x9z8q7k6w5.test/a1b2c3d4e5
-http://qwzxkjv.test/g7h8j9/k1l2m3?n4=o5&p6=q7
-http://seo-backlinks-cheap.test/buy/1000
-http://make-money-fast.test/en/7
-http://weight-loss-pills.test/es/4.html
-http://www.casino-win.test/it/18/
-http://adult-x.test/de/77?page=2&ref=x
-http://m.free-bets.test/en/5/
+#: Words of hosts: of sites to block, and of sites to allow.
+BAD_WORDS = """
+casino poker slots jackpot roulette betting bet bets odds bonus lottery winner prize viagra cialis pills pharma meds replica rolex xxx porn sex adult cams escort hookup singles nude
+loan loans payday credit debt cash money rich profit forex crypto coin spam clicks traffic backlinks followers keygen crack warez torrent hack cheat free cheap discount deals win lucky
+ads adserver tracker tracking popunder banner farm seo phish verify
 """.split()
-
-ALLOWED = """
-http://www.example-news.test/en/2024/05/article
-http://news.daily.test/en/4711
-http://blog.thoran.test/en/49082/
-http://thather.test/fr/10160
-http://www.heron.test/de/42505#top
-http://m.theration.test/es/171
-http://ereading.test/en/25930
-http://tionsh.test/en/48128.html
-http://library.test/catalog/books/history?page=2
-https://docs.python.test/3/library/re.html
-https://en.wiki.test/wiki/Information_theory
-https://www.university.test/research/papers/2023
-https://blog.company.test/2022/11/how-we-build-things/
-http://journal.test/articles/10160?page=2&ref=x
-http://recipes.test/soups/onion-soup
-http://museum.test/en/visit/
-http://www.weather.test/forecast/berlin
-http://forum.test/t/question-about-sorting/8812
-http://city-council.test/minutes/2021-03-04.pdf
-http://shop.books.test/item/9780262033848
-http://ththou.test/de/29711.html
-http://blog.therble.test/en/30250/
-http://www.ththou.test/fr/27869?utm_source=feed
-http://ththnd.test/de/16020
-http://m.ththed.test/en/14511?utm_source=feed
-http://therha.test/de/5724?page=2&ref=x
-http://tionble.test/es/24300#top
-http://maps.test/route?from=a&to=b
-http://government.test/forms/tax/2020
-http://archive.test/details/oldbook
-http://opensource.test/project/readme.md
-http://music.test/albums/1987/side-a
-http://www.garden.test/plants/rose/
-http://travel.test/es/madrid?utm_source=feed
-http://health.test/topics/sleep
-http://school.test/en/classes/7b
-http://radio.test/schedule
-http://photo.test/gallery/12/34
-http://science.test/articles/black-holes.html
-http://m.sports.test/fr/results/2024#top
-http://kitchen.test/en/3
-http://online.test/en/201
-http://www.test/en/11
-http://blog.test.net/fr/65.html
-http://host.test.org/de/414
+GOOD_WORDS = """
+news daily times post herald journal review library archive museum school college university institute academy research science nature garden river lake forest mountain city town
+village council county weather travel guide maps recipes kitchen food soup bread coffee music radio film theatre photo art design craft wood paper book books story poem history language
+math physics health clinic care family home house build tools code docs wiki forum help support team club sport run bike sail green blue red white old new north south east west
 """.split()
+SYLLABLES = "ba be bi bo da de di do fa fe ga ha he in ing ka ke la le li lo ma me mi mo na ne no on ou pa per ra re ri ro sa se sha so sta ta te th tha the ti to tion tra un va ve ver vi wa we th th nd st sh ng ble wh".split()
+GOOD_SUFFIXES, BAD_SUFFIXES = ("com", "org", "net", "edu", "co.uk", "de", "fr", "example.com", "example.org", "example.net"), ("com", "net", "org", "info", "top", "xyz", "click", "biz", "example.com", "example.org", "example.net")
+LANGS = ("en", "de", "fr", "es", "it")
+
+
+def labelled_urls(n: int = 900, seed: int = 7, bad_words=tuple(BAD_WORDS), good_words=tuple(GOOD_WORDS)) -> tuple[list[str], list[int]]:
+    """n URLs to block and n to allow, the same for the same seed."""
+    rng = random.Random(seed)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    text = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+
+    def named(words: list[str]) -> str:
+        return rng.choice(("", "-", "-")).join(words)
+
+    def good_host() -> str:
+        kind = rng.random()
+        if kind < 0.45:
+            name = named(rng.sample(good_words, rng.randint(1, 3)))
+        elif kind < 0.85:
+            name = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 5)))
+        else:
+            name = named([rng.choice(good_words), "".join(rng.choice(SYLLABLES) for _ in range(2))])
+        return rng.choice(("", "", "www.", "blog.", "m.", "docs.", "en.")) + name + (str(rng.randint(1, 99)) if rng.random() < 0.06 else "") + "." + rng.choice(GOOD_SUFFIXES)
+
+    def bad_host() -> str:
+        kind = rng.random()
+        if kind < 0.6:
+            name = named(rng.sample(bad_words, rng.randint(1, 3)))
+        elif kind < 0.75:
+            name = named([rng.choice(bad_words), rng.choice(good_words)] if rng.random() < 0.5 else [rng.choice(good_words), rng.choice(bad_words)])
+        elif kind < 0.9:
+            name = text(rng.randint(7, 16), letters + digits)
+        else:
+            name = rng.choice(bad_words) + text(rng.randint(1, 4), digits) + rng.choice(("", "-" + rng.choice(bad_words)))
+        return rng.choice(("", "", "www.", "m.", "blog.", "go.", "track.")) + name + (text(3, digits) if rng.random() < 0.1 else "") + "." + rng.choice(BAD_SUFFIXES)
+
+    def calm_path() -> str:
+        kind = rng.random()
+        if kind < 0.5:
+            path = f"/{rng.choice(LANGS)}/{rng.randint(1, 60000)}" + rng.choice(("", "/", ".html"))
+        elif kind < 0.75:
+            path = f"/{rng.randint(1999, 2024)}/{rng.randint(1, 12):02d}/" + "-".join(rng.sample(good_words, rng.randint(1, 5)))
+        else:
+            path = "/" + "/".join(rng.sample(good_words, rng.randint(0, 3)))
+        return path + rng.choice(("", "", "", "?page=2&ref=x", "?utm_source=feed", "#top", f"?page={rng.randint(1, 30)}"))
+
+    def busy_path() -> str:
+        parts = [text(rng.randint(2, 9), letters + digits) for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 7)))]
+        query = "&".join(f"{text(rng.randint(1, 4), letters)}={text(rng.randint(1, 12), digits + 'abcdef')}" for _ in range(rng.randint(2, 8)))
+        if rng.random() < 0.3:  # a door page, deep down
+            return "/" + "/".join(text(rng.randint(1, 3), letters) for _ in range(rng.randint(5, 9)))
+        return "/" + "/".join(parts) + "?" + query
+
+    bad, good = [], []
+    for _ in range(n):
+        good.append(f"{rng.choice(('http', 'https'))}://{good_host()}{calm_path()}")
+        kind = rng.random()
+        bad.append(f"{rng.choice(('http', 'https'))}://{good_host() if kind < 0.2 else bad_host()}{busy_path() if kind < 0.4 else calm_path()}")
+    return bad + good, [1] * n + [0] * n
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -125,36 +109,48 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-NAMES = ("length", "host_length", "labels", "hyphens", "depth", "path_length", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "word_rate", "longest_consonants")
+NAMES = ("length", "host_length", "labels", "depth", "path_length", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "word_rate", "ending_rate", "longest_consonants")
+ENDINGS = (3, 4, 5)  # letters of a word's ending or beginning that are counted
 
 
 @dataclass
 class Suffixes:
-    """Smoothed shares of blocked URLs by the host's suffixes and by the words of its labels; unseen ones give the base rate."""
+    """Smoothed shares of blocked URLs by the host's suffixes, its words, and the beginnings and endings of these; unseen ones give the base rate."""
 
     rate: dict[str, float]
     base: float
 
     @staticmethod
-    def parts(host: str) -> tuple[list[str], list[str]]:
+    def parts(host: str) -> tuple[list[str], list[str], list[str]]:
         labels = [x for x in host.split(".") if x]
-        return [".".join(labels[-k:]) for k in range(1, min(3, len(labels)) + 1)], [w for x in labels[:-1] for w in x.split("-") if w not in ("", "www", "m", "blog", "example")]
+        suffixes = [".".join(labels[-k:]) for k in range(1, min(3, len(labels)) + 1)]
+        words = [w for x in labels[:-1] for w in re.split(r"[^a-z]+", x) if w not in ("", "www", "m", "blog", "example")]
+        ends = [e for w in words for k in ENDINGS if len(w) >= k for e in (f"^{w[:k]}", f"{w[-k:]}$")]
+        return [f".{x}" for x in suffixes], words, ends
 
     @classmethod
-    def count(cls, hosts: list[str], blocked: np.ndarray, weight: float = 1.0) -> Suffixes:
+    def count(cls, hosts: list[str], blocked: np.ndarray, weight: float = 3.0) -> tuple[Suffixes, list[Suffixes]]:
+        """The table of all hosts, and for each the table that leaves that host's own URLs out."""
         base, n, b = float(blocked.mean()), Counter(), Counter()
+        own: dict[str, tuple[Counter, Counter]] = {}
+        keys = {host: {k for part in cls.parts(host) for k in part} for host in set(hosts)}
         for host, y in zip(hosts, blocked):
-            suffixes, words = cls.parts(host)
-            for key in {*(f".{s}" for s in suffixes), *words}:
+            on, ob = own.setdefault(host, (Counter(), Counter()))
+            for key in keys[host]:
                 n[key] += 1
                 b[key] += y
-        return cls({k: (b[k] + weight * base) / (n[k] + weight) for k in n}, base)
+                on[key] += 1
+                ob[key] += y
+        share = lambda b, n: (b + weight * base) / (n + weight)
+        whole = cls({k: share(b[k], n[k]) for k in n}, base)
+        rest = {host: cls({k: share(b[k] - own[host][1][k], n[k] - own[host][0][k]) for k in keys[host] if n[k] > own[host][0][k]}, base) for host in own}
+        return whole, [rest[host] for host in hosts]
 
-    def of(self, host: str) -> tuple[float, float]:
-        suffixes, words = self.parts(host)
-        known = [self.rate[f".{s}"] for s in suffixes if f".{s}" in self.rate]
-        seen = [self.rate[w] for w in words if w in self.rate]
-        return (known[-1] if known else self.base), (max(seen, key=lambda r: abs(r - self.base)) if seen else self.base)
+    def of(self, host: str) -> tuple[float, float, float]:
+        suffixes, words, ends = self.parts(host)
+        known = [self.rate[s] for s in suffixes if s in self.rate]
+        furthest = lambda keys: max((self.rate[k] for k in keys if k in self.rate), key=lambda r: abs(r - self.base), default=self.base)
+        return (known[-1] if known else self.base), furthest(words), furthest(ends)
 
 
 def features(url: str | None, suffixes: Suffixes) -> list[float]:
@@ -162,9 +158,9 @@ def features(url: str | None, suffixes: Suffixes) -> list[float]:
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
     share = lambda t: sum(c.isdigit() for c in t) / max(1, len(t))
-    runs = re.findall(r"[bcdfghjklmnpqrstvwxz]+", host)
+    runs = re.findall(r"[bcdfghjklmnpqrstvwxz0-9]+", host)
     return [
-        len(url), len(host), host.count(".") + 1 if host else 0, host.count("-"), sum(map(bool, path.split("/"))), len(path), share(path + query), share(host), entropy(url), entropy(host),
+        len(url), len(host), host.count(".") + 1 if host else 0, sum(map(bool, path.split("/"))), len(path), share(path + query), share(host), entropy(url), entropy(host),
         len([p for p in query.split("&") if p]), len(query), *suffixes.of(host), max(map(len, runs), default=0),
     ]
 
@@ -222,23 +218,25 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float,
     return nodes
 
 
-def train(urls: list[str] | None = None, blocked: list[int] | None = None, rounds: int = 80, depth: int = 3, rate: float = 0.15, least: float = 1.0, l2: float = 1.0) -> Boosted:
-    """Fit to labelled URLs, by default the tables above.  Suffix rates of a training URL leave that URL's host out."""
-    urls = urls if urls is not None else [*BLOCKED, *ALLOWED]
-    y = np.array(blocked if blocked is not None else [1] * len(BLOCKED) + [0] * len(ALLOWED), float)
-    hosts = [split_url(u)[0] for u in urls]
-    rows = []
-    for url, host in zip(urls, hosts):
-        other = np.array([h != host for h in hosts])
-        rows.append(features(url, Suffixes.count([h for h, o in zip(hosts, other) if o], y[other])))
-    x = np.array(rows, float)
+def train(urls: list[str] | None = None, blocked: list[int] | None = None, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: float = 4.0, l2: float = 1.0) -> Boosted:
+    """Fit to labelled URLs, by default those of labelled_urls().  Suffix rates of a training URL leave that URL's host out."""
+    if urls is None:
+        urls, blocked = labelled_urls()
+    y = np.array(blocked, float)
+    suffixes, without = Suffixes.count([split_url(u)[0] for u in urls], y)
+    x = np.array([features(u, s) for u, s in zip(urls, without)], float)
     start = float(np.log(y.mean() / (1 - y.mean())))
     f, trees = np.full(len(y), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-f))
         trees.append(_grow(x, p - y, p * (1 - p), depth, least, l2))
         f += rate * _leaf_values(trees[-1], x)
-    return Boosted(Suffixes.count(hosts, y), start, trees, rate)
+    return Boosted(suffixes, start, trees, rate)
+
+
+@functools.cache
+def default_model() -> Boosted:
+    return train()
 
 
 def _after_scheme(url: str) -> Column:
@@ -273,7 +271,7 @@ def judge(pages: DataFrame, rules=tuple(RULES), model: Boosted | None = None) ->
     or one without ://, has an empty host and path and is judged by the trees like any other.
     Repeated rows are judged each; further columns are ignored.
     """
-    model = model or train()
+    model = model or default_model()
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
