@@ -73,6 +73,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that none of the columns' names begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def lowest_by_hash(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """At most n ids, those of lowest hash: a sample that is the same in every run."""
     one = df.select(F.col(id_col).alias("id")).where("id is not null").distinct()

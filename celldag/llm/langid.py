@@ -121,14 +121,16 @@ def build_model(counts: pa.Table, order: int) -> PpmModel | None:
     return PpmModel(langs, order, step, np.rint(-np.log2(p) * UNIT).astype(np.int32))
 
 
-def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_count: int = 24, max_contexts: int = 6000) -> PpmModel | None:
+def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_count: int = 24, max_contexts: int = 6000, max_langs: int = 24) -> PpmModel | None:
     """Fit on at most docs_per_lang whole texts of each language, those of lowest id hash.
 
     labelled: doc_id, text, lang.  Rows with a null in any of the three, or without text, teach
     nothing.  max_contexts and min_count bound the trees; contexts stay by falling count.  The
-    model's size, and what comes to the driver, follow from these parameters and the number of
-    languages alone.  None if there is nothing to learn from.
+    max_langs languages with most labelled rows are learned.  The model's size, and what comes to
+    the driver, follow from these parameters alone (some 25 MB a language while it is built).  None if there is nothing to learn from.
     """
+    most = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(most), "lang", "left_semi")
     counts = context_counts(_sample(labelled, docs_per_lang), order).persist()
     kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
     kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
@@ -220,8 +222,8 @@ def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("doc_id",), limits: np.ndarray | None = None) -> DataFrame:
-    """Columns `keep`, then lang_pred, score and bits_per_byte of every row's whole text.
+def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("doc_id",), limits: np.ndarray | None = None, prefix: str = "") -> DataFrame:
+    """Columns `keep`, then lang_pred, score and bits_per_byte of every row's whole text, their names after the prefix.
 
     lang_pred is `und` (score 0) where the text is null or has no letter, or nothing was
     learned.  score is the posterior of the winner among equal priors.  Ties go to the language
@@ -255,13 +257,13 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: tuple[str, ...] = ("d
                     bits = code_lengths(m, runs)
                     foreign[rows] = bits.min(1) / UNIT / n > limits[np.searchsorted(LENGTHS, n, "right") - 1, bits.argmin(1)]
             cols = {c: batch.column(c) for c in keep}
-            cols |= {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(p), "bits_per_byte": pa.array(rate, pa.float64())}
+            cols |= {f"{prefix}lang_pred": pa.array(lang, pa.string()), f"{prefix}score": pa.array(p), f"{prefix}bits_per_byte": pa.array(rate, pa.float64())}
             if limits is not None:
-                cols["foreign"] = pa.array(foreign)
+                cols[f"{prefix}foreign"] = pa.array(foreign)
             yield pa.RecordBatch.from_pydict(cols)
 
     kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(frugal(score), f"{kinds}, lang_pred string, score double, bits_per_byte double{', foreign boolean' if limits is not None else ''}")
+    return docs.select(*read).mapInArrow(frugal(score), f"{kinds}, {prefix}lang_pred string, {prefix}score double, {prefix}bits_per_byte double{f', {prefix}foreign boolean' if limits is not None else ''}")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:

@@ -111,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     other = lowest_by_hash(texts, "doc_id", max_unlabelled, 2).select("id", F.lit(False).alias("p"))
     # A text may be in both samples: the unlabelled ones must keep their share of positives.  Bounded by the two parameters.
     ids = chosen.unionByName(other)
-    sample = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "p").persist()
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "p")
+    # An id that is on several rows teaches by one of them.
+    sample = found.groupBy("id", "p").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "p").persist()
 
     def words(batches):
         for batch in slices(batches):
@@ -148,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     return ToxicityModel(vocab, w, b0, prior)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, then score and predicted of every row's whole text; a null text counts as empty and gets the bias's score."""
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns `keep`, then score and predicted (their names after the prefix) of every row's whole text; a null text counts as empty and gets the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words words
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     read = list(dict.fromkeys([*keep, "text"]))
@@ -160,9 +162,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
         for batch in slices(batches):
             f = [m.bias + sum(m.weights[m.words[w]] for w in sorted(known & features_of(WORDS.findall(t.lower())))) for t in texts_of(batch, "text")]
             p = 1 / (1 + np.exp(-np.clip(np.array(f, float), -40, 40)))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {f"{prefix}score": pa.array(p), f"{prefix}predicted": pa.array((p >= 0.5).astype(np.int32))})
 
-    return docs.select(*read).mapInArrow(frugal(run), f"{kinds}, score double, predicted int")
+    return docs.select(*read).mapInArrow(frugal(run), f"{kinds}, {prefix}score double, {prefix}predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:

@@ -84,6 +84,14 @@ def test_chat_digests(spark):
     assert chat.digests(chat.format_chat(df.limit(0).withColumn("parts", chat.text_parts()))).count() == 0
 
 
+def test_chat_keeps_large_ids_apart_beside_a_null_one(spark):
+    big = 9007199254740992
+    rows = [(None, 0, "user", "n", 1), (big, 0, "user", "a", 1), (big + 1, 0, "user", "b", 1), (big + 1, 1, "assistant", "x" * 300000, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_chat(df.withColumn("parts", chat.text_parts()))).collect()}
+    assert got == {None: 1, big: 1, big + 1: 2}
+
+
 # language and toxicity
 
 def test_ppm_is_a_code_and_chunks_do_not_matter():
@@ -156,6 +164,33 @@ def test_topk_against_all_pairs(spark):
     assert set(got) == set(range(0, 700, 50))
 
 
+def test_topk_takes_large_components_and_reads_less_with_a_bound(spark):
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(300, 16)) * 1e9)
+    df = spark.createDataFrame([(i, [float(v) for v in r], "s") for i, r in enumerate(x)], "vec_id long, embedding array<double>, score string")
+    got = defaultdict(list)
+    for r in topk.exact_topk(df, F.col("id") % 50 == 0, scale=1).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    whole = [[int(v) for v in r] for r in x]
+    for q in range(0, 300, 50):
+        s = [max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(r, whole[q])))) for r in whole]
+        assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5])]
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 3.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in topk.exact_topk(huge, F.col("id") == 0).orderBy("rank").collect()] == [(1, topk.LONG), (3, 0), (2, -topk.LONG)]
+    assert topk.exact_topk(huge.limit(0), F.col("id") == 0).count() == 0
+    ids, few = np.arange(2000), np.floor(rng.normal(size=(2000, 8)) * 100)
+    plain, bounded = (topk.search_block(ids, few, ids[:40], few[:40], 3, least) for least in (None, np.sort(few @ few[:40].T, axis=0)[-4]))
+    assert bounded[3] < plain[3] < 40 * few.size and [a.tolist() for a in plain[:3]] == [a.tolist() for a in bounded[:3]]
+
+
+def test_topk_over_several_blocks_of_candidates(spark, sf_dir, monkeypatch):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    one = sorted(map(tuple, topk.exact_topk(table, F.col("id") % 50 == 0).collect()))
+    monkeypatch.setattr(topk, "CANDIDATES", 60)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    assert sorted(map(tuple, topk.exact_topk(table, F.col("id") % 50 == 0).collect())) == one
+
+
 # HTML and URLs
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="post content"><header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a></ul></nav>
@@ -186,6 +221,61 @@ def test_html_unclosed_and_nested_elements_take_no_article_along(tag):
     assert of("<script>" + article) == ""
 
 
+def test_html_tree_needs_counts_and_surroundings():
+    table = np.array(html_extract.labelled_blocks(200, seed=5), float)
+    x, y = table[:, :-1], table[:, -1] > 0.5
+    right = lambda rows, drop: np.mean((html_extract.train([(*r[:-1], r[-1]) for r in rows]).predict(np.where(np.isin(np.arange(x.shape[1]), drop), 0, x)) >= 0.5) == y)
+    known = np.array(html_extract.labelled_blocks(600, seed=11), float)
+
+    def without(drop):
+        rows = known.copy()
+        rows[:, drop] = 0
+        return right(rows, drop)
+
+    dealt, around = list(range(html_extract.DEALT)), list(range(html_extract.DEALT, x.shape[1]))
+    whole = without([])
+    assert whole > 0.97 and whole - without(dealt) > 0.02 and whole - without(around) > 0.05
+    assert html_extract.train().feature < html_extract.DEALT
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "</x>" * 20000, '<a "' * 100000, '<a "' * 20000 + ">", "<b>" * 50000 + "x", "<svg>" * 20000 + "<p>a", "<li>" * 100000, "<" * 500000])
+def test_html_odd_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page, html_extract.train())
+    assert time.process_time() - began < 15
+
+
+def test_html_edges(spark):
+    df = spark.createDataFrame([(None, None, "<p>" + "one two three four five six seven eight nine ten eleven. " * 3, 5), (7, "u", "a < b and c > d", 5)], "page_id long, url string, html string, text long")
+    got = html_extract.extract(df).collect()
+    assert {r["page_id"] for r in got} == {None, 7} and got[0]["n_chars"] == len(got[0]["text"]) and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_url_trees_on_hosts_they_have_not_seen():
+    model = url_filter.default_model()
+    score = lambda urls: model.score(np.array([url_filter.features(u, model.suffixes) for u in urls], float))
+    good = ["http://www.blue-river-news.example.org/en/3", "http://my-garden-blog.example.com/de/44.html", "http://city-library.example.org/", "http://thoran.example.com/en/49082/", "https://docs.example.com/2021/05/how-to-sort", "", None]
+    bad = ["http://xyzporn.example.net/en/3", "http://best-online-casino.example.org/fr/2", "http://q8z7x1kk4w.example.com/a1/b2/c3?x=19&y=22&z=38&k=4", "http://mycasino.example.com/en/7"]
+    assert (score(good) < 0.5).all() and (score(bad) >= 0.5).all()
+    urls, blocked = url_filter.labelled_urls(400, seed=31)
+    x, y = np.array([url_filter.features(u, model.suffixes) for u in urls], float), np.array(blocked) == 1
+    whole = np.mean((model.score(x) >= 0.5) == y)
+    used = {url_filter.NAMES[n[0]] for tree in model.trees for n in tree if n[0] >= 0}
+    assert whole > 0.96 and used >= {"length", "depth", "digits", "entropy", "parameters", "suffix_rate"}
+    shape = [url_filter.NAMES.index(n) for n in ("length", "depth", "path_length", "digits", "entropy", "parameters", "query_length", "longest_consonants", "host_entropy", "host_digits")]
+    flat = x.copy()
+    flat[:, shape] = np.median(x[~y][:, shape], axis=0)
+    assert whole - np.mean((model.score(flat) >= 0.5) == y) > 0.03  # suffixes alone do not decide
+
+
+def test_url_edges(spark):
+    df = spark.createDataFrame([(1, "http://a.test/x", "z"), (1, "http://a.test/x", "z"), (None, None, None)], "page_id long, url string, host string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == 3 and sum(r["host"] == "a.test" for r in got) == 2 and url_filter.judge(df.limit(0)).count() == 0
+
+
 def test_url_rules_and_trees(spark):
     urls = ["http://m.Example.COM/en/77?x", "http://com/en/7", "http://a.example.com/en/8", "ftp://x.net/de/9#a", "http://b.example.net/de/81", "http://notexample.net/de/8", "http://x.org/es/", None, "no scheme", "http://cheap-pills.example.com/fr/3", "http://heron.example.com/fr/3", "x://y://z"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -366,6 +456,30 @@ def test_pipeline_stages(spark, sf_dir):
     assert before.count() > 100 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(before.columns)
 
 
+def test_pipeline_stages_keep_columns_that_clash(spark, sf_dir):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["score", "lang_pred", "bits_per_byte", "foreign", "predicted", "id", "stays", "row", "root", "__row", "found"]
+    table = table.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, table, sf_dir)
+        assert after.columns == table.columns and after.first()["stays"] == 6
+    assert corpus_pipeline.tokens(spark, table, sf_dir).count() == table.count()
+
+
+def test_toxicity_learns_one_row_of_a_repeated_id(spark):
+    rows = [(1, f"fine words number {i}", None, None, None) for i in range(500)] + [(i, f"awful scum {i}", None, None, None) for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, 1, int(i > 1)) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert len(got) == len(rows)
+
+
+def test_language_learns_a_bounded_number_of_languages(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert len(langid.train(table, max_langs=2).langs) == 2
+
+
 FOREIGN = [
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 3,
     "Kila mtu ana haki ya kuishi na kuwa huru na kulindwa nafsi yake wala hakuna mtu atakayeteswa", "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
