@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from celldag.llm.common import cut
 
 CANDIDATES, QUERIES = 4096, 1024
-DEPTHS = (0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # the shares of the lists after which bounds are compared
+DEPTHS = (0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # the shares of the lists after which bounds are compared
 #: Reading goes on while more than this share of the candidates may still qualify.
 FEW = 0.25
 LONG = 2**63 - 1
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles or 64-bit integers where these hold every sum, else in Python's integers, brought into 64 bits last."""
-    limit = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q)
+def exact_scores(x: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
+    """Integer inner products, components of x up to `most`: in doubles or 64-bit integers where these hold every sum, else in Python's integers, brought into 64 bits last."""
+    limit = most * float(np.abs(q).max(initial=0)) * len(q)
     if limit < 2**53:
         return (x @ q).astype(np.int64)
     if limit < 2**62:
@@ -49,7 +49,7 @@ class Lists:
         values = np.take_along_axis(x, order, axis=0).T
         self.x, self.order = x, np.stack([order.T, order.T[:, ::-1]])
         self.values = np.stack([values, values[:, ::-1]])
-        self.cell = self.order * dims + np.arange(dims)[:, None]  # of a table of candidates by dimensions
+        self.most = float(np.abs(values).max(initial=0))
 
 
 def nra(lists: Lists, q: np.ndarray, out: np.ndarray, k: int, least: float) -> tuple[np.ndarray, int]:
@@ -62,25 +62,23 @@ def nra(lists: Lists, q: np.ndarray, out: np.ndarray, k: int, least: float) -> t
     weight, way = q[:, None], (q > 0).astype(np.int64)
     every = np.arange(dims)
     first, last = (lists.values[way, every, i] * q for i in (0, -1))  # the most and the least that a list gives
-    unit = max(1.0, float(np.abs(first).max(initial=0)), float(np.abs(last).max(initial=0)))
-    # A bound's rounding error stays below this; what wasn't met is summed in 32 bits.
-    slack = unit * dims * (dims + 2) * 2.0**-22
-    total, read, a = np.zeros(n), 0, 0
-    unseen = np.ones((n, dims), np.float32)
+    # A bound's rounding error stays below this.
+    slack = float(np.maximum(np.abs(first), np.abs(last)).sum()) * (dims + 2) * 2.0**-50
+    total, floor, read, a = np.zeros(n), np.full(n, last.sum()), 0, 0
     for depth in DEPTHS:
         b = max(a + 1, round(depth * n))
         if b > n:
             break
-        got = lists.values[way, every, a:b] * weight
-        total += np.bincount(lists.order[way, every, a:b].ravel(), got.ravel(), minlength=n)
-        unseen.reshape(-1)[lists.cell[way, every, a:b].ravel()] = 0
+        got, at = lists.values[way, every, a:b] * weight, lists.order[way, every, a:b].ravel()
+        total += np.bincount(at, got.ravel(), minlength=n)
+        floor -= np.bincount(at, np.repeat(last, b - a), minlength=n)
         read, a = read + got.size, b
-        ends = (np.column_stack([last, got[:, -1]]) / unit).astype(np.float32)
-        rest = (unseen if len(alive) == n else unseen[alive]) @ ends * unit
         if len(alive) >= k:
-            lower = total[alive] + rest[:, 0]
+            lower = (total + floor)[alive]
             least = max(least, float(np.partition(lower, len(alive) - k)[len(alive) - k]) - slack)
-        alive = alive[total[alive] + rest[:, 1] + slack >= least]
+        # Where a candidate was met, its own value counts instead of the last one read there.
+        met = np.bincount(lists.order[way, every, :b].ravel(), np.repeat(got[:, -1], b), minlength=n)
+        alive = alive[(total - met)[alive] + got[:, -1].sum() + slack >= least]
         if len(alive) <= max(k, FEW * n):
             break
     return alive, read
@@ -97,7 +95,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         for i in range(len(query_ids)):
             own = ids == query_ids[i]
             alive, n = nra(lists, q[i], own, k, -np.inf if least is None else float(least[i])) if lists else (np.flatnonzero(~own), 0)
-            score = exact_scores(x[alive], q[i])
+            score = exact_scores(x[alive], q[i], lists.most if lists else 0.0)
             best = np.lexsort((ids[alive], -score))[:k]
             rows.append(np.full(len(best), i))
             found.append(ids[alive][best])
