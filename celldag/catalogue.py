@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from celldag.queries import builds, dag, relational
+from celldag.queries import builds, dag, regions, relational
 
-QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES}
-ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES}
+QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES, **regions.QUERIES}
+ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES, **regions.ORACLES}

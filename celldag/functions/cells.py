@@ -75,17 +75,17 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
-def normalize_label(text: Column) -> Column:
-    """Lower case, without white space and the signs ( ) [ ] { } . - _ / · : #; see `nfkc` for compatibility forms."""
-    return F.regexp_replace(F.lower(text), r"[\s()\[\]{}.\-_/·:#]+", "")
-
-
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def normalize_label(text: Column) -> Column:
+    """Compatibility forms composed (full-width letters, unit signs), lower case, without white space and the signs ( ) [ ] { } . - _ / · : #."""
+    return F.regexp_replace(F.lower(nfkc(text)), r"[\s()\[\]{}.\-_/·:#]+", "")
+
+
 def split_label_unit(label: Column, units: list[str]) -> Column:
     """`X(unit)` as struct(label, unit), if the bracket holds a registered unit; else the label unchanged and no unit."""
     inside = F.trim(F.regexp_extract(label, r"^(.*\S)\s*[(\[]([^()\[\]]+)[)\]]\s*$", 2))
@@ -95,11 +95,16 @@ def split_label_unit(label: Column, units: list[str]) -> Column:
 
 
 def hue(rgb: Column) -> Column:
-    """Coarse hue of an RRGGBB text: gray, yellow, red, green, blue or other."""
-    part = lambda i: F.conv(F.substring(rgb, i, 2), 16, 10).cast("int")
-    r, g, b = part(1), part(3), part(5)
-    spread = F.greatest(r, g, b) - F.least(r, g, b)
-    return F.when(spread < 24, "gray").when((r > 180) & (g > 160) & (b < 140), "yellow").when((r >= g) & (r >= b), "red").when((g >= r) & (g >= b), "green").when(b >= r, "blue").otherwise("other")
+    """Coarse hue of an RRGGBB (or AARRGGBB) text: gray, yellow, red, blue or green; null for white, other texts and what is none of these."""
+    six = F.right(rgb, F.lit(6))
+    r, g, b = (F.conv(F.substring(six, i, 2), 16, 10).cast("int") for i in (1, 3, 5))
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    # The limits of each hue, in this order.
+    found = (
+        F.when(most - least <= 12, F.when(most < 245, "gray")).when((r >= g) & (g >= b) & (r - b > 20) & (r - g < 40), "yellow").when((r > g) & (r > b), "red")
+        .when((b > r) & (b >= g), "blue").when((g > r) & (g > b), "green")
+    )
+    return F.when(six.rlike("^[0-9A-Fa-f]{6}$"), found)
 
 
 def column_number(letters: Column) -> Column:
@@ -145,7 +150,13 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-def container_kind(content: Column) -> Column:
-    """What a file's first bytes say: zip, ole or unknown."""
-    head = F.hex(F.substring(content, 1, 8))
-    return F.when(head.startswith("504B0304"), "zip").when(head == "D0CF11E0A1B11AE1", "ole").otherwise("unknown")
+#: First bytes of known containers, in hex.
+MAGICS = {"504B0304": "zip", "D0CF11E0A1B11AE1": "ole"}
+
+
+def container_kind(content: Column, magics: dict[str, str] | None = None) -> Column:
+    """What a file's first 16 bytes say, the longest of the magics first; else unknown."""
+    head, out = F.hex(F.substring(content, 1, 16)), F.lit("unknown")
+    for magic, kind in sorted((magics or MAGICS).items(), key=lambda m: len(m[0])):
+        out = F.when(head.startswith(magic), kind).otherwise(out)
+    return out

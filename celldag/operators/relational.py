@@ -46,9 +46,9 @@ def two_tier_vote(votes: DataFrame, keys: list[str], choice: str, human: Column)
 
 
 def mode_first(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
-    """Each key's most common value that isn't null; of equally common ones the first seen."""
+    """Each key's most common value that isn't null; of equally common ones the first seen, then the least."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value), F.max("n").alias("n"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), "first", value)).alias(value), F.max("n").alias("n"))
 
 
 def representatives(df: DataFrame, keys: list[str], value: str, order: Column, k: int = 4) -> DataFrame:
@@ -87,7 +87,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at_left: str, at_right: str, right_id: str) -> DataFrame:
     """Each left row's nearest right row of the same keys: least distance, then the earlier, then the smaller id; null without any.
 
-    Both sides are laid out once in order; each row looks back and ahead, so no pairs are made.
+    Both sides are laid out once in order; each row looks back and ahead, so no pairs are made; the second layout is the first one's reverse.
     """
     columns = left.columns
     l = left.withColumns({"__at": F.col(at_left), "__p": F.lit(None).cast("struct<at:double,id:bigint>"), "__side": F.lit(1)})
@@ -96,7 +96,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at_left: str, at
     both = l.unionByName(r, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("__at", "__side")
     back = F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    falling = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__side"))
+    ahead = F.last("__p", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))  # a running value, as a frame that shrinks would be read anew for each row
     seen = both.withColumns({"__b": back, "__a": ahead}).where("__side = 1")
     at = F.col("__at").cast("double")
     closer = F.when(F.col("__a").isNull() | (at - F.col("__b.at") <= F.col("__a.at") - at), F.col("__b")).otherwise(F.col("__a"))

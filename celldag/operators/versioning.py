@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def semantic_fingerprint(*parts: Column) -> Column:
-    """SHA-256 over what a node means: type, path, name, unit; nulls count."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
+    """SHA-256 over what a node means (type, path, name, unit), as a JSON array, so that neither nulls nor separators in the parts make two nodes equal."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, semantic: str, content: str) -> DataFrame:

@@ -203,7 +203,7 @@ def vote_two_tier(spark, sf_dir):
     return relational.two_tier_vote(read(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_quantity"), ["l_partkey"], "l_returnflag", F.col("l_quantity") > 40)
 
 
-@register("WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n, min(l_orderkey) AS f FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_linenumber, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f) AS r FROM c) WHERE r = 1")
+@register("WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n, min(l_orderkey) AS f FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_linenumber, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f, l_linenumber) AS r FROM c) WHERE r = 1")
 def mode_unit(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_orderkey")
     return relational.mode_first(lines, ["l_suppkey"], "l_linenumber", F.col("l_orderkey"))
@@ -303,6 +303,25 @@ def difflib_ratio(spark, sf_dir):
     return pairs.select("n_name", "r_name", matching.sequence_ratio("n_name", "r_name").alias("ratio"))
 
 
-@register("SELECT nfc_normalize(c_name) AS name, c_custkey FROM customer")
+@register("SELECT concat('Temp', upper(c_mktsegment), ' 1 °C kg 2 fi ', c_name) AS name, concat('temp', lower(replace(c_mktsegment, ' ', '')), '1°ckg2fi', lower(regexp_replace(c_name, '[ #_-]', '', 'g'))) AS label, c_custkey FROM customer")
 def nfkc_normalize(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(cells.nfkc("c_name").alias("name"), "c_custkey")
+    """Full-width letters, unit signs, a circled digit and a ligature before the names."""
+    wide = F.translate(F.upper("c_mktsegment"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(0xFF21 + i) for i in range(26)))
+    text = F.concat(F.lit("Ｔｅｍｐ"), wide, F.lit("　１ ℃ ㎏ ② ﬁ "), "c_name")
+    return read(spark, sf_dir, "customer").select(cells.nfkc(text).alias("name"), cells.normalize_label(text).alias("label"), "c_custkey")
+
+
+_HUE = """
+WITH c AS (SELECT p_partkey, (p_partkey * 37) % 256 AS r, (p_partkey * 101) % 256 AS g, (p_size * 5 + p_partkey * 7) % 256 AS b FROM part),
+m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c)
+SELECT p_partkey, CASE WHEN hi - lo <= 12 THEN CASE WHEN hi < 245 THEN 'gray' END WHEN r >= g AND g >= b AND r - b > 20 AND r - g < 40 THEN 'yellow' WHEN r > g AND r > b THEN 'red'
+  WHEN b > r AND b >= g THEN 'blue' WHEN g > r AND g > b THEN 'green' END AS hue FROM m
+"""
+
+
+@register(_HUE)
+def colour_hue(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    two = lambda e: F.lpad(F.hex(F.expr(e)), 2, "0")
+    rgb = F.concat(F.lit("FF"), two("p_partkey * 37 % 256"), two("p_partkey * 101 % 256"), two("(p_size * 5 + p_partkey * 7) % 256"))
+    return part.select("p_partkey", cells.hue(rgb).alias("hue"))
