@@ -127,19 +127,28 @@ def structure_find_beside(spark, sf_dir):
     return structure.find_beside(_cells(spark, sf_dir), ["one"], rows=1, columns=0).select("sheet", "num")
 
 
-@register()
+#: Parquet files as a container kind.
+PARQUET = {"50415231": "parquet"}
+
+
+@register("SELECT name, 'parquet' AS kind FROM (VALUES ('region.parquet'), ('nation.parquet'), ('customer.parquet'), ('supplier.parquet'), ('part.parquet'), ('orders.parquet'), ('lineitem.parquet'), ('events.parquet'), ('documents.parquet'), ('embeddings.parquet'), ('pages.parquet'), ('benchmark.parquet'), ('labels.parquet'), ('conversations.parquet')) t(name)")
 def stream_file_events(spark, sf_dir):
-    """Two of the tables' files seen as a stream and ingested once each, in a run that ends by itself (checked in tests).
+    """The tables' files seen as a stream and ingested once each, in a run that ends by itself.
 
     The log and the checkpoint lie in the folder that executors share.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="stream-")
     run = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
-    seen = files.new_contents(files.watch(spark, sf_dir, "{region,nation}.parquet"))
-    files.ingest(seen.withColumn("kind", F.lit("table")), f"{run}/log", f"{run}/checkpoint", lambda df: None).awaitTermination()
-    return spark.read.parquet(f"{run}/log").select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "parser")
+    seen = files.new_contents(files.watch(spark, sf_dir, "*.parquet", PARQUET))
+    files.ingest(seen, f"{run}/log", f"{run}/checkpoint", lambda df: None, magics=PARQUET).awaitTermination()
+    known = files.scan(spark, sf_dir, "*.parquet", PARQUET).select("path", "sha256", "name", "kind")
+    return spark.read.parquet(f"{run}/log").select("path", "sha256").join(known, ["path", "sha256"]).select("name", "kind")
 
 
-@register("SELECT name, CAST(NULL AS VARCHAR) AS none, 'unknown' AS kind FROM (VALUES ('nation.parquet'), ('region.parquet')) t(name)")
+@register("SELECT name, kind FROM (VALUES ('region.parquet', 'parquet'), ('nation.parquet', 'parquet'), ('customer.parquet', 'parquet'), ('supplier.parquet', 'parquet'), ('part.parquet', 'parquet'), ('orders.parquet', 'parquet'), ('lineitem.parquet', 'parquet'), ('events.parquet', 'parquet'), ('documents.parquet', 'parquet'), ('embeddings.parquet', 'parquet'), ('pages.parquet', 'parquet'), ('benchmark.parquet', 'parquet'), ('labels.parquet', 'parquet'), ('conversations.parquet', 'parquet')) t(name, kind)")
 def scan_files(spark, sf_dir):
-    return files.scan(spark, sf_dir, "{region,nation}.parquet").select("name", F.lit(None).cast("string").alias("none"), "kind")
+    return files.scan(spark, sf_dir, "*.parquet", PARQUET).select("name", "kind")

@@ -14,29 +14,29 @@ from celldag.functions.cells import container_kind, stable_id
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def scan(spark: SparkSession, folder: str, pattern: str = "*", magics: dict[str, str] | None = None) -> DataFrame:
     """All files now: path, name, length, modified, sha256 and container kind; lock files left out.
 
-    A file is hashed as one binary row, so one beyond 2 GB can't be read, here and in `watch`.
+    A file is hashed as one binary row, so one beyond 2 GB can't be read, here and in `watch`.  magics: first bytes (hex) of the
+    container kinds to tell, instead of the usual ones.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return _described(files)
+    return _described(files, magics)
 
 
-def watch(spark: SparkSession, folder: str, pattern: str = "*", settle: str = "0 seconds") -> DataFrame:
-    """The same as a stream of new files.  settle: how long a file must have been left alone when it is picked up.
+def watch(spark: SparkSession, folder: str, pattern: str = "*", magics: dict[str, str] | None = None) -> DataFrame:
+    """The same as a stream of new files.
 
-    Files that are written elsewhere and then renamed into the folder need no settling.
+    The source offers a file once, so a file that is still being written must not be dropped here: `ingest` keeps it for later.
     """
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    quiet = F.col("modificationTime") <= F.current_timestamp() - F.expr(f"interval {settle}")
-    return _described(files.where(quiet))
+    return _described(files, magics)
 
 
-def _described(files: DataFrame) -> DataFrame:
+def _described(files: DataFrame, magics: dict[str, str] | None = None) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     seen = files.where(~name.startswith("~$"))
-    return seen.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), container_kind(F.col("content")).alias("kind"))
+    return seen.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), container_kind(F.col("content"), magics).alias("kind"))
 
 
 def new_contents(files: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -44,25 +44,62 @@ def new_contents(files: DataFrame, delay: str = "7 days") -> DataFrame:
     return files.withWatermark("modified", delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def ingest(files: DataFrame, log: str, checkpoint: str, handle: Callable[[DataFrame], None], parser: str = "1") -> StreamingQuery:
-    """Run `handle` on files that this parser version hasn't read, and note them in the Parquet log; ends when all are done.
+LOG = "file_id string, path string, sha256 string, parser string"
+WAITING = "path string"
+PATHS_AT_ONCE = 10_000
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of Spark's is there, in whatever store."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def _take(rows: DataFrame, log: str, handle: Callable[[DataFrame], None], parser: str, settle: str) -> None:
+    """Handle and log the files that are ready and not in the log; note the paths of the others in <log>_waiting."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("file_id", stable_id(F.col("path"), F.col("sha256"), F.lit(parser))).dropDuplicates(["file_id"])
+    if _exists(spark, log):
+        rows = rows.join(spark.read.schema(LOG).parquet(log).select("file_id"), "file_id", "left_anti")
+    ready = (F.col("kind") != "unknown") & (F.col("modified") <= F.current_timestamp() - F.expr(f"interval {settle}"))
+    rows = rows.withColumn("ready", ready).persist()
+    taken = rows.where("ready").drop("ready")
+    handle(taken)
+    taken.select("file_id", "path", "sha256", F.lit(parser).alias("parser")).write.mode("append").parquet(log)
+    rows.where("not ready").select("path").write.mode("append").parquet(f"{log}_waiting")
+    rows.unpersist()
+
+
+def ingest_waiting(spark: SparkSession, log: str, handle: Callable[[DataFrame], None], parser: str = "1", settle: str = "0 seconds", magics: dict[str, str] | None = None) -> None:
+    """Read the files again that earlier runs found unsettled or of no known kind; those that are ready now are handled and logged.
 
-    A batch that is run again after a failure finds its files in the log and skips them; locked
-    files (no known container) are left for a later run.
+    A file that is still waiting stays noted; one that is gone by now is passed over.  Paths are named to Spark's reader PATHS_AT_ONCE at a time.
     """
+    if not _exists(spark, f"{log}_waiting"):
+        return
+    waiting = spark.read.schema(WAITING).parquet(f"{log}_waiting").distinct()
+    part: list[str] = []
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        rows = df.where("kind <> 'unknown'").withColumn("file_id", stable_id(F.col("path"), F.col("sha256"), F.lit(parser)))
-        try:
-            done = spark.read.schema("file_id string, path string, sha256 string, parser string").parquet(log)
-            rows = rows.join(done.select("file_id"), "file_id", "left_anti")
-        except Exception as e:  # the log doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows = rows.dropDuplicates(["file_id"]).persist()
-        handle(rows)
-        rows.select("file_id", "path", "sha256", F.lit(parser).alias("parser")).write.mode("append").parquet(log)
-        rows.unpersist()
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def again() -> None:
+        here = [p for p in part if _exists(spark, p)]
+        if here:
+            _take(_described(spark.read.format("binaryFile").load(here), magics), log, handle, parser, settle)
+
+    for row in waiting.toLocalIterator():
+        part.append(row["path"])
+        if len(part) == PATHS_AT_ONCE:
+            again()
+            part.clear()
+    again()
+
+
+def ingest(files: DataFrame, log: str, checkpoint: str, handle: Callable[[DataFrame], None], parser: str = "1", settle: str = "0 seconds", magics: dict[str, str] | None = None) -> StreamingQuery:
+    """Run `handle` on files that this parser version hasn't read, and note them in the Parquet log; ends when all are done.
+
+    A batch that is run again after a failure finds its files in the log and skips them.  A file that was written to within `settle`, or that
+    is of no known container kind (locked, or unfinished), is noted in <log>_waiting; each run begins with those.  So no
+    file is lost, though the stream offers each only once.
+    """
+    ingest_waiting(files.sparkSession, log, handle, parser, settle, magics)
+    return files.writeStream.foreachBatch(lambda df, number: _take(df, log, handle, parser, settle)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -20,20 +20,48 @@ def test_each_query_has_a_name_of_its_own():
 
 def test_stream_reads_each_file_once(spark, sf_dir):
     rows = QUERIES["stream_file_events"](spark, sf_dir).collect()
-    assert sorted(r["name"] for r in rows) == ["nation.parquet", "region.parquet"]
+    assert len(rows) == 14 and len({r["name"] for r in rows}) == 14
+
+
+def test_files_that_wait_are_read_in_a_later_run(spark, tmp_path):
+    import os
+    import time
+
+    from celldag.streaming import files
+
+    folder, log, seen = tmp_path / "in", f"{tmp_path}/log", []
+    folder.mkdir()
+    old, fresh, odd = folder / "old.zip", folder / "fresh.zip", folder / "odd.bin"
+    for f, head in ((old, b"PK\x03\x04old"), (fresh, b"PK\x03\x04fresh"), (odd, b"half")):
+        f.write_bytes(head)
+    os.utime(old, (time.time() - 999, time.time() - 999))
+
+    def run():
+        stream = files.new_contents(files.watch(spark, str(folder)))
+        files.ingest(stream, log, f"{tmp_path}/checkpoint", lambda df: seen.extend(r["name"] for r in df.collect()), settle="100 seconds").awaitTermination()
+
+    run()
+    assert seen == ["old.zip"]
+    for f in (fresh, odd):
+        os.utime(f, (time.time() - 200, time.time() - 200))
+    run()
+    assert seen == ["old.zip", "fresh.zip"]
+    odd.write_bytes(b"PK\x03\x04whole now")
+    os.utime(odd, (time.time() - 200, time.time() - 200))
+    run()
+    run()
+    assert seen == ["old.zip", "fresh.zip", "odd.bin"] and spark.read.parquet(log).count() == 3
 
 
 def test_scan_and_watch_see_the_whole_folder(spark, sf_dir, tmp_path):
     import hashlib
     import os
 
-    from pyspark.sql import functions as F
-
     from celldag.streaming import files
 
     listed = {(f, hashlib.sha256(open(os.path.join(d, f), "rb").read()).hexdigest()) for d, _, fs in os.walk(sf_dir) for f in fs}
     assert len(listed) == 14 and {(r["name"], r["sha256"]) for r in files.scan(spark, sf_dir).collect()} == listed
-    seen = files.new_contents(files.watch(spark, sf_dir)).withColumn("kind", F.lit("table"))
+    seen = files.new_contents(files.watch(spark, sf_dir, magics={"50415231": "parquet"}))
     files.ingest(seen, f"{tmp_path}/log", f"{tmp_path}/checkpoint", lambda df: None).awaitTermination()
     assert {(r["path"].rsplit("/", 1)[-1], r["sha256"]) for r in spark.read.parquet(f"{tmp_path}/log").collect()} == listed
 
