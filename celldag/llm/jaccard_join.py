@@ -11,13 +11,13 @@ Overlaps are counted fragment by fragment and summed: first per document, then p
 2. Equal n-gram sets, told by 128-bit signatures, become one representative with a number.
 3. Stars.  Two sets that are alike enough share an n-gram in their prefixes, the first
    n - ceil(percent * n / 100) + 1 of the order.  For each prefix n-gram one of its sets, by hash,
-   is compared with the others.  What the links connect is one component from then on; a second
-   round, with another set for each n-gram, compares only sets of different components.
+   is compared with the others.  What the links connect is one component from then on; further
+   rounds (ROUNDS), with another set for each n-gram, would compare only sets of different components.
 4. Sets that share a prefix n-gram and are still in different components are compared, all of them.
 
-Before a pair is counted, three bounds must hold: on the sizes, on the places at which the shared n-gram
-stands in both (what comes before it in the order can't be shared if it is their first), and on
-the difference that two bit maps show.  Then each fragment of the order gives the pair's partial
+Before a pair is counted, bounds must hold: on the sizes, on the difference that two bit maps show, and in
+step 4 on the places at which the shared n-gram stands in both (what comes before it in the order can't be
+shared if it is their first).  Then each fragment of the order gives the pair's partial
 overlap, the partial overlaps are summed, and the sum decides.  Bounds only rule out pairs that
 can't link, and a pair is left out only when its two sets are connected already, so
 components are exact (up to collisions of n-gram hashes of 64 bits).
@@ -42,7 +42,7 @@ WIDTH = 5  # bytes of an n-gram's hash that go to a fragment's reducer, besides
 FLUSH, LARGEST_FLUSH, RUN = 2_000_000, 16_000_000, 20  # n-grams that a task gathers before it sends them: RUN for each fragment, within these (8 bytes each, and as much again twice to sort them)
 FRAGMENT, LARGEST = 1_500_000, 20_000_000  # n-grams that a fragment of step 1 is meant to hold: a thousandth of all, within these
 SEGMENTS = 8  # fragments of steps 3 and 4
-ROUNDS = 2  # of step 3
+ROUNDS = 1  # of step 3
 BROADCAST_IDS = 500_000
 
 _SALT = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(64)], np.uint64)
@@ -256,11 +256,12 @@ def _segment_of(x: Column) -> Column:
     return F.when(f <= 2, quarter).when(f == 3, 4).when(f == 4, 5).when(f <= 8, 6).otherwise(7)
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """Three bounds for two sets (n, p, bits) that share an n-gram: on sizes, on its places, and on the difference.
+def _may_link(percent: int, a: str, b: str, first: bool) -> Column:
+    """Bounds for two sets (n, p, bits) that share an n-gram: on sizes and on the difference; with `first` also on its places.
 
-    A link needs an overlap of percent / (100 + percent) of both sizes.  If the n-gram is the first that they share, no more than what
-    follows in either is shared.  Sets that differ in d parities of their bit maps differ in d n-grams at least.
+    A link needs an overlap of percent / (100 + percent) of both sizes.  Sets that differ in d parities of their bit maps differ in d n-grams
+    at least.  If the n-gram is the first that they share, no more than what follows in either is shared; so where all pairs meet, each
+    need only be seen there, but where a set meets one other for each n-gram, any shared one will do.
     """
     n_a, n_b, p_a, p_b = (F.col(f"{c}_{x}") for c in ("n", "p") for x in (a, b))
     bits_a, bits_b = F.col(f"bits_{a}"), F.col(f"bits_{b}")
@@ -268,7 +269,8 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     both = (n_a + n_b) * percent
     sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
     places = F.least(n_a - p_a, n_b - p_b) * (100 + percent) >= both
-    return sizes & places & ((n_a + n_b - apart) * (100 + percent) >= 2 * both)
+    alike = sizes & ((n_a + n_b - apart) * (100 + percent) >= 2 * both)
+    return alike & places if first else alike
 
 
 def links(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -297,10 +299,11 @@ def components(ordered: DataFrame, percent: int) -> DataFrame:
         a_first = F.col("key_a") > F.col("key_b")
         chosen = pairs.select(F.greatest("key_a", "key_b").alias("u"), F.least("key_a", "key_b").alias("v"), F.when(a_first, F.col("root_a")).otherwise(F.col("root_b")).alias("root_u"), F.when(a_first, F.col("root_b")).otherwise(F.col("root_a")).alias("root_v"))
         found = links(chosen.distinct(), ordered, percent).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-        merged = connected(cut(found.distinct()))
+        merged = connected(found)
         if label is None:
             return merged.select(F.col("node").alias("key"), "root")
         moved = label.join(merged.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
+        # Roots without a label so far were sets of their own.
         fresh = merged.join(label, F.col("node") == F.col("key"), "left_anti").select(F.col("node").alias("key"), "root")
         return cut(moved.unionByName(fresh))
 
@@ -308,12 +311,12 @@ def components(ordered: DataFrame, percent: int) -> DataFrame:
         pick = F.min(F.struct(F.xxhash64("key", "t", F.lit(salt)).alias("h"), "key", "n", "p", "bits", "root"))
         leader = named.groupBy("t").agg(pick.alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "x.*")
         met = side(named, "a").join(side(leader, "b"), "t").where(F.col("root_a") != F.col("root_b"))
-        label = joined(met.where(_may_link(percent, "a", "b")))
+        label = joined(met.where(_may_link(percent, "a", "b", first=False)))
         named = held.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
     rest = cut(named.join(apart, "t"))
     a, b = side(rest, "a"), side(rest, "b").withColumnRenamed("t", "t_b")
-    pairs = a.join(b, (F.col("t") == F.col("t_b")) & (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b"))
+    pairs = a.join(b, (F.col("t") == F.col("t_b")) & (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b", first=True))
     return joined(pairs)
 
 
