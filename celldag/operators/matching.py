@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from celldag.functions.cells import normalize_label
 
 
-def bigrams(text: Column) -> Column:
-    """Two-character pieces of the normalised label's letters, digits, Hangul and unit signs; a single character is its own piece."""
-    t = F.regexp_replace(normalize_label(text), r"[^0-9a-z가-힣%℃°]+", "")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(F.length(t) > 0, pieces).otherwise(F.array().cast("array<string>"))
+def bigrams(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, g): two-character pieces of the first key's normalised label (letters, digits, Hangul and unit signs); a single character is its own piece."""
+    plain = df.select(*keys, normalize_label(F.col(keys[0])).alias("__n")).select(*keys, F.regexp_replace("__n", r"[^0-9a-z가-힣%℃°]+", "").alias("__n")).where("length(__n) > 0")
+    placed = plain.select(*keys, "__n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__n") - 1, F.lit(1)))).alias("__i"))
+    return placed.select(*keys, F.substring(F.col("__n"), F.col("__i"), F.lit(2)).alias("g"))
 
 
 def cosine_pairs(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -> DataFrame:
@@ -24,7 +24,7 @@ def cosine_pairs(labels: DataFrame, aliases: DataFrame, least: float = 0.45) ->
 
     Pieces are joined, so labels are never paired with aliases that share nothing with them.
     """
-    counts = lambda df, key: df.select(*key, F.explode(bigrams(F.col(key[0]))).alias("g")).groupBy(*key, "g").agg(F.count("*").alias("n"))
+    counts = lambda df, key: bigrams(df, key).groupBy(*key, "g").agg(F.count("*").alias("n"))
     left = counts(labels.select("label").distinct(), ["label"])
     right = counts(aliases.select("alias", "concept").distinct(), ["alias", "concept"])
     size = lambda df, key, out: df.groupBy(*key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(out))
