@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from celldag.llm.common import cut
 
 CANDIDATES, QUERIES = 4096, 1024
-DEPTHS = (0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # the shares of the lists after which bounds are compared
+DEPTHS = (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # the shares of the lists after which bounds are compared
 #: Reading goes on while more than this share of the candidates may still qualify.
-FEW = 0.25
+FEW = 0.35
 LONG = 2**63 - 1
 
 
@@ -47,15 +47,15 @@ class Lists:
         n, dims = x.shape
         order = np.argsort(x, axis=0, kind="stable")
         values = np.take_along_axis(x, order, axis=0).T
-        self.x, self.order = x, np.stack([order.T, order.T[:, ::-1]])
-        self.values = np.stack([values, values[:, ::-1]])
+        self.x, self.order = x, np.ascontiguousarray(np.stack([order.T, order.T[:, ::-1]]))  # a list lies in one piece
+        self.values = np.ascontiguousarray(np.stack([values, values[:, ::-1]]))
         self.most = float(np.abs(values).max(initial=0))
 
 
 def nra(lists: Lists, q: np.ndarray, out: np.ndarray, k: int, least: float) -> tuple[np.ndarray, int]:
     """(the candidates that may be among the k best, entries read).
 
-    out: candidates that don't count.  least: a score that k candidates elsewhere reach already.
+    out: candidates that don't count.  least: a score that k candidates elsewhere reach already; where it is known, lower bounds are not needed.
     """
     n, dims = lists.x.shape
     alive = np.flatnonzero(~out)
@@ -64,16 +64,17 @@ def nra(lists: Lists, q: np.ndarray, out: np.ndarray, k: int, least: float) -> t
     first, last = (lists.values[way, every, i] * q for i in (0, -1))  # the most and the least that a list gives
     # A bound's rounding error stays below this.
     slack = float(np.maximum(np.abs(first), np.abs(last)).sum()) * (dims + 2) * 2.0**-50
-    total, floor, read, a = np.zeros(n), np.full(n, last.sum()), 0, 0
+    total, floor, read, a, alone = np.zeros(n), np.full(n, last.sum()), 0, 0, least == -np.inf
     for depth in DEPTHS:
         b = max(a + 1, round(depth * n))
         if b > n:
             break
         got, at = lists.values[way, every, a:b] * weight, lists.order[way, every, a:b].ravel()
         total += np.bincount(at, got.ravel(), minlength=n)
-        floor -= np.bincount(at, np.repeat(last, b - a), minlength=n)
+        if alone:
+            floor -= np.bincount(at, np.repeat(last, b - a), minlength=n)
         read, a = read + got.size, b
-        if len(alive) >= k:
+        if alone and len(alive) >= k:
             lower = (total + floor)[alive]
             least = max(least, float(np.partition(lower, len(alive) - k)[len(alive) - k]) - slack)
         # Where a candidate was met, its own value counts instead of the last one read there.
