@@ -5,7 +5,10 @@ item of fewer words: all of its words).  Between candidates, running Karp-Rabin
 common runs of at least s unmarked words, s going down to min_match; the longest are marked as
 tiles first, and no word of either side is in two tiles.  A document that holds its tiles in
 another order than the item is caught like one that holds them in order.  An item leaks into a
-document if tiles cover at least min_coverage of the item's words.
+document if tiles cover at least min_coverage of the item's words, or if one tile has min_run
+words or more, whatever the item's length: a verbatim run of two sentences gives a long item's
+answer away as well.  A few common words are no evidence, so an item of fewer than min_match
+words leaks only where it is also min_coverage of the document's words.
 
 Benchmarks are dealt into blocks of bounded size.  Each block is shipped whole to the tasks
 that read the documents, so no document row is shuffled; a benchmark of any size takes more
@@ -94,8 +97,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
 class Block:
     """Some test items, made ready for search."""
 
-    def __init__(self, items: list[tuple[int, str]], min_match: int, min_coverage: float):
-        self.min_match, self.min_coverage = min_match, min_coverage
+    def __init__(self, items: list[tuple[int, str]], min_match: int, min_coverage: float, min_run: int):
+        self.min_match, self.min_coverage, self.min_run = min_match, min_coverage, min_run
         listed = [(i, words_of(t or "")) for i, t in items]
         self.names = [i for i, ws in listed if ws]
         self.vocab: dict[str, int] = {}
@@ -122,6 +125,12 @@ class Block:
             out = out * BASE + x[j : len(x) - k + 1 + j]
         return out
 
+    def leaks(self, item_words: int, doc_words: int, covered: int, longest: int) -> bool:
+        """Whether tiles that cover so many of the item's words, the longest of so many, are a leak."""
+        if item_words < self.min_match:
+            return covered >= self.min_coverage * max(item_words, doc_words)
+        return covered >= self.min_coverage * item_words or longest >= self.min_run
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
         """(row, item's place, words of the item covered, tiles) of each leak in whole texts."""
         get = self.vocab.get
@@ -153,7 +162,10 @@ class Block:
             span = np.zeros(len(item) + 1, np.int64)
             np.add.at(span, where, 1)
             np.add.at(span, where + k, -1)
-            if (np.cumsum(span)[:-1] > 0).sum() < self.min_coverage * len(item):
+            under = np.concatenate([[0], (np.cumsum(span)[:-1] > 0).astype(np.int8), [0]])
+            edges = np.flatnonzero(np.diff(under))
+            longest = (edges[1::2] - edges[::2]).max()
+            if not self.leaks(len(item), len(docs[row]) - 1, int(under.sum()), int(longest)):
                 continue  # seeds cover all that tiles can
             begin = int(end[row]) - len(docs[row])
             near = np.unique((place[:, None] - begin + np.arange(k)).ravel())
@@ -165,12 +177,12 @@ class Block:
             back = dict(zip(at.tolist(), near.tolist()))
             got = [(i, back[d], n) for i, d, n in tiles(item, doc, k)]
             covered = sum(n for _, _, n in got)
-            if covered >= self.min_coverage * len(item):
+            if self.leaks(len(item), len(docs[row]) - 1, covered, max((n for _, _, n in got), default=0)):
                 out.append((row, which, covered, got))
         return out
 
 
-def _blocks(benchmark: DataFrame, min_match: int, min_coverage: float):
+def _blocks(benchmark: DataFrame, min_match: int, min_coverage: float, min_run: int):
     """The benchmark in shared blocks of about BLOCK_CHARS of text each."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.length("text") + F.lit(16))).first()[0] or 0
@@ -178,10 +190,10 @@ def _blocks(benchmark: DataFrame, min_match: int, min_coverage: float):
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
         rows = part.orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Block([(r[0], r[1]) for r in rows], min_match, min_coverage))
+        yield benchmark.sparkSession.sparkContext.broadcast(Block([(r[0], r[1]) for r in rows], min_match, min_coverage, min_run))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.6) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.6, min_run: int = 30) -> DataFrame:
     """Rows (doc_id, item_id, item_words, covered_words, coverage, tiles) of each leak of a test item into a document.
 
     tiles: array of (item_at, doc_at, n_words), longest first.  Words are runs of letters and
@@ -213,11 +225,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverag
 
         return docs.select("doc_id", "text").mapInArrow(frugal(run), out)
 
-    return reduce(DataFrame.unionByName, map(of_block, _blocks(benchmark, min_match, min_coverage)))
+    return reduce(DataFrame.unionByName, map(of_block, _blocks(benchmark, min_match, min_coverage, min_run)))
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.6, min_run: int = 30) -> DataFrame:
+    """The rows that hold no leak, all columns unchanged.  Rows pass through where they lie, once for each block.
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.6) -> DataFrame:
-    """The rows that hold no leak, all columns unchanged.  Rows pass through where they lie, once for each block."""
+    Documents that are null or have no words, items that are null and items without id take no part, so
+    such documents stay; repeated rows are judged each.
+    """
 
     def without(shared):
         def run(batches):
@@ -228,6 +244,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverag
 
         return run
 
-    for shared in _blocks(benchmark, min_match, min_coverage):
+    for shared in _blocks(benchmark, min_match, min_coverage, min_run):
         docs = docs.mapInArrow(frugal(without(shared)), docs.schema)
     return docs

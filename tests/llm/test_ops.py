@@ -321,6 +321,61 @@ def test_reordered_passages_leak_and_clean_text_stays(spark):
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+def test_long_runs_leak_and_bare_occurrences_of_short_items_do_not(spark):
+    words = ["q%d" % i for i in range(200)]
+    long, medium = " ".join(words), " ".join("m%d" % i for i in range(59))
+    texts = [f"lead in {' '.join(words[50:150])} and out", f"a {' '.join(medium.split()[3:38])} b", " ".join(words[60:85]) + " end", f"x {' '.join(words[9:38])} y {' '.join(words[110:139])}", "we said yes and went home again", "Yes!", "of course yes"]
+    bench = spark.createDataFrame([(1, long), (2, medium), (3, "yes"), (4, "of course")], "item_id long, text string")
+    table = docs(spark, texts)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert got == {(0, 1), (1, 2), (5, 3), (6, 4)}
+    assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {2, 3, 4}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench, min_run=25).collect()} == got | {(2, 1), (3, 1)}
+
+
+def test_leaks_equal_all_pairs_by_brute_force(spark):
+    rng = random.Random(8)
+
+    def brute(a, b, k):  # one longest match at a time
+        ma, mb, found = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in ma and j + n not in mb:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < k:
+                return found
+            ma |= set(range(i, i + n))
+            mb |= set(range(j, j + n))
+            found.append(n)
+
+    word = lambda: "v%d" % rng.randrange(300)
+    items = [[word() for _ in range(rng.randint(1, 60))] for _ in range(12)] + [["v7"], ["v8", "v9"], []]
+    texts = []
+    for _ in range(40):
+        text = [word() for _ in range(rng.randint(0, 20))]
+        for item in rng.sample(items, 2):
+            pieces = [item[i : i + 12] for i in range(0, len(item), 12)]
+            rng.shuffle(pieces)
+            text += [w for p in pieces[: rng.randint(0, len(pieces))] for w in [*p, word()]]
+        texts.append(text)
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            if item and text:
+                tiles = brute(item, text, min(5, len(item)))
+                covered, longest = sum(tiles), max(tiles, default=0)
+                if covered >= 0.6 * (len(item) if len(item) >= 5 else max(len(item), len(text))) or (longest >= 30 and len(item) >= 5):
+                    want.add((d, i, covered))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == want and len(want) > 10
+
+
 # near duplicates
 
 def brute_components(texts):
