@@ -15,9 +15,11 @@ once.  Texts are encoded whole.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +43,12 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _ascii_words() -> re.Pattern:
+    """WORD for lower-cased ASCII texts, where plain sets stand for its classes."""
+    space = "".join(map(re.escape, filter(regex.compile(r"\s").match, map(chr, range(128)))))
+    return re.compile(WORD.replace(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", rf"[a-z]+|[0-9]|[^{space}a-z0-9]+"))
+
+
 def read_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
         return json.load(file)
@@ -83,10 +91,24 @@ class WordBpe:
         for c in merged[np.argsort(self.rank[merged])]:
             self.sound[c] &= self.sound[self.left[c]] & self.sound[self.right[c]]
         self.reach: dict[str, int] = {}  # longest entry that begins with these two characters
+        lengths: dict[str, set[int]] = {}
         for name in self.vocab:
             self.reach[name[:2]] = max(len(name), self.reach.get(name[:2], 0))
+            if len(name) >= 4 and not (self.suffix and name.endswith(self.suffix)):
+                lengths.setdefault(name[:4], set()).add(len(name))
+        # Lengths of entries that may stand before a word's end, by their first four characters.
+        self.lengths = {first: tuple(sorted(n, reverse=True)) for first, n in lengths.items()}
+        # The same entries for a run over many words at once; a zero byte, which is no symbol, stands for a word's end.
+        self.longest, self.length = ahocorasick.Automaton(), np.zeros(size, np.int64)
+        for name, i in self.vocab.items():
+            name = name[: -len(self.suffix)] + "\0" if self.suffix and name.endswith(self.suffix) else name
+            if name:
+                self.longest.add_word(name, i)
+                self.length[i] = len(name)
+        self.longest.make_automaton()
         self.bytes = byte_symbols()
         self.find = regex.compile(WORD).findall
+        self.find_ascii = _ascii_words().findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.forget()
 
@@ -131,25 +153,52 @@ class WordBpe:
 
     def _guess(self, word: str) -> list[int] | None:
         """Longest vocabulary entry at each place; None if some place has none."""
-        word, get, reach = word + self.suffix, self.vocab.get, self.reach.get
+        word, get, reach, lengths = word + self.suffix, self.vocab.get, self.reach.get, self.lengths.get
         out, i, n = [], 0, len(word)
         inside = n - len(self.suffix)
         while i < inside:
-            most = i + reach(word[i : i + 2], 1)
-            token = get(word[i:]) if n <= most else None
+            token = get(word[i:]) if n <= i + reach(word[i : i + 2], 1) else None
             if token is not None:
                 out.append(token)
                 return out
-            for j in range(min(inside - 1, most), i, -1):
-                token = get(word[i:j])
-                if token is not None:
-                    break
+            room = inside - 1 - i  # the last symbol belongs to the entry with the suffix
+            for k in lengths(word[i : i + 4], ()) if room >= 4 else ():
+                if k <= room:
+                    token = get(word[i : i + k])
+                    if token is not None:
+                        break
             else:
-                return None
+                for k in range(min(room, 3), 0, -1):
+                    token = get(word[i : i + k])
+                    if token is not None:
+                        break
+                else:
+                    return None
             out.append(token)
-            i = j
+            i += k
         return out
 
+    def _guess_all(self, words: list[str]) -> list[list[int]]:
+        """`_guess` of each word; an empty list where there is none.
+
+        One run over all words takes the longest entry at each place.  Where that leaves a word's end
+        alone, or anything else uncovered, the word is guessed by itself.
+        """
+        if not words:
+            return []
+        hits = np.fromiter(chain.from_iterable(self.longest.iter_long("\0".join(words) + "\0")), np.int64).reshape(-1, 2)
+        last, ids = hits[:, 0], hits[:, 1]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size + 1) - size - 1
+        of = np.searchsorted(begin, last, "right") - 1
+        n = self.length[ids]
+        whole = np.bincount(of, n, len(words)) == size + bool(self.suffix)
+        first = np.append(True, of[1:] != of[:-1])[: len(of)]
+        before = np.where(first, begin[of] - 1, np.append(-1, last[:-1])[: len(of)])
+        whole[of[last - n != before]] = False  # a gap or an overlap
+        stop, flat = np.cumsum(np.bincount(of, minlength=len(words))).tolist(), ids.tolist()
+        return [flat[a:b] if ok else self._guess(w) or [] for w, ok, a, b in zip(words, whole.tolist(), [0, *stop], stop)]
+
     def merge(self, word: str) -> list[int]:
         """Exact merging of a word of byte symbols: the lowest rank first, of equal ones the leftmost."""
         part = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
@@ -201,7 +250,7 @@ class WordBpe:
     def learn(self, words: list[str]) -> None:
         """Encode words and put them into the table of known ones."""
         symbols = [w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode("utf-8", "replace"))) for w in words]
-        guesses = [self._guess(s) or () for s in symbols]
+        guesses = self._guess_all(symbols)
         size = np.fromiter(map(len, guesses), np.int64, len(guesses))
         flat = np.fromiter(chain.from_iterable(guesses), np.int64, size.sum())
         of = np.repeat(np.arange(len(words)), size)
@@ -222,7 +271,10 @@ class WordBpe:
             if i % 2:
                 out.append(part)
             elif part:
-                if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+                if part.isascii():
+                    out += self.find_ascii(part.lower())
+                    continue
+                if not unicodedata.is_normalized("NFC", part):
                     part = unicodedata.normalize("NFC", part)
                 # One character at a time: a capital sigma has no special form at a word's end.
                 out += self.find(part.replace("Σ", "σ").lower())

@@ -289,6 +289,28 @@ def test_url_rules_and_trees(spark):
     assert got[0]["verdict"] == "allow" and got[4]["verdict"] == "block" and got[9]["verdict"] == "block" and got[10]["verdict"] == "allow"
 
 
+def test_guesses_of_many_words_equal_those_of_one():
+    import public_tokenizers
+
+    words = bpe.WordBpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    letters = [c for c in words.bytes if c != "\0"]
+    some = ["".join(rng.choice("etaoinshr" if rng.random() < 0.5 else letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    some += [n.removesuffix(words.suffix) for n in rng.sample(sorted(words.vocab), 2000)]
+    some = [w for w in some if w]
+    assert words._guess_all(some) == [words._guess(w) or [] for w in some] and words._guess_all([]) == []
+
+
+def test_ascii_words_split_like_all_words():
+    import regex
+
+    every, plain = regex.compile(bpe.WORD), bpe._ascii_words()
+    rng = random.Random(7)
+    for _ in range(5000):
+        text = "".join(chr(rng.randrange(128)) if rng.random() < 0.3 else rng.choice("'strevmld 1a\n") for _ in range(20)).lower()
+        assert plain.findall(text) == every.findall(text)
+
+
 # decontamination
 
 def test_tiles_are_greedy_and_do_not_overlap():
