@@ -57,3 +57,13 @@ def path_ancestors(df: DataFrame, path: str) -> DataFrame:
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return df.select("*", F.posexplode(prefixes).alias("level", "ancestor")).withColumn("level", F.col("level") + 1)
+
+
+def ancestor_of_type(edges: DataFrame, nodes: DataFrame, kind: str, hops: int = 10) -> DataFrame:
+    """(node, ancestor): the nearest node of type `kind` at or above each of nodes (node, type), at most `hops` up; null where there is none.
+
+    Edges out of nodes of that type are taken away, so that the walk up ends there.
+    """
+    goal = nodes.where(F.col("type") == kind).select("node").distinct()
+    ends = roots(edges.join(goal.select(F.col("node").alias("child")), "child", "left_anti"), nodes.select("node").distinct(), hops)
+    return ends.join(goal.select(F.col("node").alias("root"), F.col("node").alias("ancestor")), "root", "left").select("node", "ancestor")
