@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celldag.llm import bpe, chat, decontaminate, html_extract, jaccard_join, langid, licenses, topk, toxicity, url_filter
+from celldag.llm import bpe, chat, decontaminate, fill_middle, html_extract, jaccard_join, langid, licenses, manifest, quality, topk, toxicity, url_filter
 from celldag.llm.common import table
 
 
@@ -54,7 +54,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op6_html_text, op7_jaccard_join, op8_language_id, op9_license_scan, op10_url_filter)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document cut at places that its id's hash says, arranged around sentinels, and rebuilt from the output."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's score and class, learned from the labels of four folds out of five."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof; where the id's crc32 is even, the proof is tried on a text without its line ends."""
+    found = manifest.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_chat_format, op4_toxicity, op5_exact_topk, op6_html_text, op7_jaccard_join, op8_language_id, op9_license_scan, op10_url_filter, op11_fill_middle, op12_quality, op13_merkle_manifest)}
 
 #: Only where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op9_license_scan": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op9_license_scan": licenses.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
