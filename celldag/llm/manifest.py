@@ -84,8 +84,8 @@ def _id_digits(rows: DataFrame) -> list[Column]:
     return digit
 
 
-def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (g, id, leaf, other) in ascending order of id (null first), leaf and other within their group, as runs of equal rows (rank from 0, n); and (g, n) of the groups.
+def ranked(rows: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """Rows (g, id, leaf, other) in ascending order of id (null first), leaf and other within their group, as runs of equal rows (rank from 0, n) with their tree's depth; and (g, depth) of the groups.
 
     A bucket with more than CROWDED rows, which can only be through repeated ids, is taken apart further: equal rows count as one, and the others go by the
     id's last digit and 24 bits of their hash.
@@ -93,17 +93,19 @@ def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     digits = _id_digits(rows)
     names = [f"d{i}" for i in range(len(digits))]
     rows = rows.withColumns(dict(zip(names, digits)))
-    buckets = cut(radix_base(rows.groupBy("g", *names).agg(F.count("*").alias("n")), ["g"], names))
-    sizes = buckets.groupBy("g").agg(F.sum("n").alias("n"))
+    counted = cut(rows.groupBy("g", *names).agg(F.count("*").alias("n")))
+    sizes = cut(counted.groupBy("g").agg(depth_of(F.sum("n"), fanout).cast("int").alias("depth")))
+    # The depth comes with the bucket: a join of rows by group would bring a large group's rows to one task.
+    buckets = cut(radix_base(counted, ["g"], names).join(sizes, "g"))
     key = ["g", *names]
-    crowded = buckets.where(F.col("n") > CROWDED).select(*key, F.col("base").alias("start"))
+    crowded = buckets.where(F.col("n") > CROWDED).select(*key, F.col("base").alias("start"), "depth")
     if crowded.count() <= BROADCAST:
         crowded = F.broadcast(crowded)
     order = ["id", "leaf", "other"]
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long") - 1
-    plain = rows.join(crowded.select(*key), key, "left_anti").withColumn("i", place).join(buckets.select(*key, "base"), key)
-    plain = plain.select("g", "id", "leaf", "other", (F.col("base") + F.col("i")).alias("rank"), F.lit(1).cast("long").alias("n"))
-    copies = rows.join(crowded, key).groupBy(*key, "start", "id", "leaf", "other").agg(F.count("*").alias("n"))
+    plain = rows.join(crowded.select(*key), key, "left_anti").withColumn("i", place).join(buckets.select(*key, "base", "depth"), key)
+    plain = plain.select("g", "id", "leaf", "other", (F.col("base") + F.col("i")).alias("rank"), F.lit(1).cast("long").alias("n"), "depth")
+    copies = rows.join(crowded, key).groupBy(*key, "start", "depth", "id", "leaf", "other").agg(F.count("*").alias("n"))
     low = F.coalesce(F.col("id").bitwiseAND((1 << DIGIT) - 1), F.lit(-1).cast("long"))
     hashed = [F.conv(F.hex(F.col("leaf").substr(2 * i + 1, 2)), 16, 10).cast("int") for i in range(2)]
     copies = cut(copies.withColumns({"e0": low, "e1": hashed[0], "e2": hashed[1]}))
@@ -111,7 +113,7 @@ def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = radix_base(copies.groupBy(*inner).agg(F.sum("n").alias("n")), key, ["e0", "e1", "e2"]).select(*inner, "base")
     before = Window.partitionBy(*inner).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     split = copies.withColumn("i", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).join(bases, inner)
-    split = split.select("g", "id", "leaf", "other", (F.col("start") + F.col("base") + F.col("i")).alias("rank"), "n")
+    split = split.select("g", "id", "leaf", "other", (F.col("start") + F.col("base") + F.col("i")).alias("rank"), "n", "depth")
     return plain.unionByName(split), sizes
 
 
@@ -130,8 +132,10 @@ def group_ranks(groups: DataFrame) -> DataFrame:
         rows = rows.withColumn(names[-1], F.hex(F.col("b").substr(common + 1 + ID_BYTES * (len(names) - 1), ID_BYTES)))
     rows = rows.withColumn("one", F.lit(0))
     key = ["one", *names]
-    base = radix_base(rows.groupBy(*key).agg(F.count("*").alias("n")), ["one"], names).select(*key, "base")
     place = F.row_number().over(Window.partitionBy(*key).orderBy("b")) - 1
+    if not names:
+        return rows.select("g", place.cast("long").alias("rank"))
+    base = radix_base(rows.groupBy(*key).agg(F.count("*").alias("n")), ["one"], names).select(*key, "base")
     return rows.withColumn("i", place).join(base, key).select("g", (F.col("base") + F.col("i")).cast("long").alias("rank"))
 
 
@@ -188,7 +192,7 @@ def _in_blocks(rows: DataFrame, wide: int) -> DataFrame:
 
 
 def _down(nodes: DataFrame, paths: DataFrame, done: int, fanout: int, levels: int) -> DataFrame:
-    """Paths (g, rank, left, right, root) of the nodes at level `done` from those of the nodes above."""
+    """Paths (g, rank, left, right, roots) of the nodes at level `done` from those of the nodes above."""
     wide = fanout**levels
 
     def spread(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
@@ -196,13 +200,13 @@ def _down(nodes: DataFrame, paths: DataFrame, done: int, fanout: int, levels: in
         hashes, height = list(own["h"]), min(levels, max(0, int(own["depth"].iloc[0]) - done))
         tree, over = _levels_above(hashes, height, fanout), above.iloc[0]
         sides = [_sides(tree, i, height, fanout) for i in range(len(hashes))]
-        return pd.DataFrame({"g": own["g"], "rank": own["rank"], "left": [[*a, *over["left"]] for a, _ in sides], "right": [[*b, *over["right"]] for _, b in sides], "root": over["root"]})
+        return pd.DataFrame({"g": own["g"], "rank": own["rank"], "left": [[*a, *over["left"]] for a, _ in sides], "right": [[*b, *over["right"]] for _, b in sides], "roots": [over["roots"]] * len(own)})
 
     at = F.floor(F.col("rank") / wide).cast("long")
     return nodes.groupBy("g", at).cogroup(paths.groupBy("g", F.col("rank"))).applyInPandas(spread, PATHS)
 
 
-PATHS = "g string, rank long, left array<string>, right array<string>, root string"
+PATHS = "g string, rank long, left array<string>, right array<string>, roots array<string>"
 ROWS = "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -227,14 +231,13 @@ def manifest(docs: DataFrame, group: str = "source", id_col: str = "doc_id", col
     spark, wide = docs.sparkSession, fanout**levels
     path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     leaves(docs, group, id_col, list(columns), tampered, when).write.parquet(f"{path}/leaves")
-    runs, sizes = ranked(spark.read.parquet(f"{path}/leaves"))
+    runs, sizes = ranked(spark.read.parquet(f"{path}/leaves"), fanout)
     _in_blocks(runs, wide).write.parquet(f"{path}/ranked")
     runs = spark.read.parquet(f"{path}/ranked")
-    sizes = cut(sizes.withColumn("depth", depth_of(F.col("n"), fanout).cast("int")))
     most = sizes.agg(F.max("depth")).first()[0] or 0
 
     # Up: the groups' trees, then the tree over their subroots.
-    first = runs.select("g", "rank", "n", F.lower(F.hex("leaf")).alias("h")).join(sizes.select("g", "depth"), "g")
+    first = runs.select("g", "rank", "n", F.lower(F.hex("leaf")).alias("h"), "depth")
     trees = _forest(first, most, fanout, levels)
     tops = cut(trees[-1].select("g", F.col("h").alias("subroot")).join(group_ranks(sizes.select("g")), "g"))
     n_groups = tops.count()
@@ -244,19 +247,19 @@ def manifest(docs: DataFrame, group: str = "source", id_col: str = "doc_id", col
 
     # Down: from the root to every leaf.
     none = F.array().cast("array<string>")
-    paths = over[-1].select("g", "rank", none.alias("left"), none.alias("right"), F.col("h").alias("root"))
+    paths = over[-1].select("g", "rank", none.alias("left"), none.alias("right"), F.array("h").alias("roots"))
     for i in range(len(over) - 1, -1, -1):
         paths = _down(over[i - 1] if i else roots, paths, i * levels, fanout, levels)
     named = paths.withColumnRenamed("g", "top").join(tops.withColumnRenamed("g", "name"), "rank")
-    paths = cut(named.select(F.col("name").alias("g"), F.lit(0).cast("long").alias("rank"), "left", "right", "root"))
+    # A group's subroot goes down with its path.
+    paths = cut(named.select(F.col("name").alias("g"), F.lit(0).cast("long").alias("rank"), "left", "right", F.concat(F.array("subroot"), "roots").alias("roots")))
     for i in range(len(trees) - 1, 0, -1):
         paths = _down(trees[i - 1], paths, i * levels, fanout, levels)
-    paths = paths.join(sizes.select("g", "depth"), "g").join(tops.select("g", "subroot"), "g")
 
     def prove(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         own, over = own.sort_values("rank"), above.iloc[0]
         hashes = [h.hex() for h, n in zip(own["leaf"], own["n"]) for _ in range(n)]
-        height = min(levels, int(over["depth"]))
+        height, (subroot, root) = min(levels, int(own["depth"].iloc[0])), over["roots"]
         tree, out, i = _levels_above(hashes, height, fanout), [], 0
         for doc_id, other, n in zip(own["id"], own["other"], own["n"]):
             for _ in range(n):
@@ -266,7 +269,7 @@ def manifest(docs: DataFrame, group: str = "source", id_col: str = "doc_id", col
                 for a, b in zip(left, right):
                     folded = _digest(a + folded + b)
                 proof = _digest("".join(x for side in zip(left, right) for x in side))
-                out.append((doc_id, hashes[i], over["subroot"], over["root"], proof, folded, folded == over["root"]))
+                out.append((doc_id, hashes[i], subroot, root, proof, folded, folded == root))
                 i += 1
         found = pd.DataFrame(out, columns=["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
         return found.assign(id=pd.array([None if x is None else int(x) for x in found["id"]], "Int64"))

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from celldag.llm import bpe, chat, components, decontaminate, html_extract, jaccard_join, langid, licenses, topk, toxicity, url_filter
+from celldag.llm import bpe, chat, components, decontaminate, fill_middle, html_extract, jaccard_join, langid, licenses, manifest, quality, topk, toxicity, url_filter
 from celldag.llm.queries import ORACLES, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -591,3 +591,210 @@ def test_shuffled_texts_give_the_same_components(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FLUSH", 5000)
     monkeypatch.setattr(jaccard_join, "FRAGMENT", 1000)
     assert sorted(map(tuple, jaccard_join.near_duplicates(table).collect())) == one
+
+# fill in the middle
+
+def brute_fim(doc_id, text, salt="1:"):
+    text = text or ""
+    n = len(text)
+    hx = hashlib.sha256(f"{salt}{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(hx[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[:a], text[a:b], text[b:]
+    return (n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 20 else (n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fill_middle_equals_brute_force_and_restores(spark):
+    texts = [None, "", "a", "<", "<P", "P>x<S", "a\r\n b\n\n", "é😀𝄞" * 50, "has <P> in it", "has <M>", "x" * 300_000, "a<" * 500, "S>" * 500, "\\E\\Q$1", "same", "same"]
+    rows = [(i * 7 - 20, t) for i, t in enumerate(texts * 6)] + [(None, "no id"), (3, "twice"), (3, "twice"), (2**62, "far")]
+    df = spark.createDataFrame([(i, t, "u", 5) for i, t in rows], "doc_id long, text string, n string, form int")
+    found = sorted(map(repr, (tuple(r) for r in fill_middle.arrange(df).select("doc_id", "n", "form", "prefix_units", "middle_units", "output").collect())))
+    assert found == sorted(repr((i, *brute_fim(i, t))) for i, t in rows)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = Counter((r["doc_id"], r["output_sha256"], r["restored_sha256"]) for r in fill_middle.digests(df).collect())
+    assert got == Counter((i, sha(brute_fim(i, t)[-1]), sha(t or "")) for i, t in rows)
+    assert fill_middle.digests(df.limit(0)).count() == 0
+    forms = {brute_fim(i, t)[1] for i, t in rows}
+    assert forms == {"plain", "psm", "spm"}
+
+
+def test_fill_middle_by_words_with_other_marks(spark):
+    marks = fill_middle.Sentinels("[pre]", "[suf]", "[mid]")
+    text = "one two\n three  four five" * 20
+    made = fill_middle.arrange(spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string"), unit=r"\s*\S+\s*", marks=marks)
+    rows = made.withColumn("back", fill_middle.restore(F.col("output"), F.col("form"), marks)).collect()
+    assert {r["form"] for r in rows} == {"plain", "psm", "spm"} and all(r["back"] == text for r in rows)
+    assert all(r["prefix"] + r["middle"] + r["suffix"] == text for r in rows if r["form"] != "plain")
+    for bad in (("<P>", "<P>", "<M>"), ("", "a", "b"), ("aba", "c", "d"), ("ab", "ba", "c")):
+        with pytest.raises(ValueError):
+            fill_middle.Sentinels(*bad)
+
+
+def test_fill_middle_has_no_python_and_no_exchange(spark, sf_dir):
+    plan = QUERIES["op11_fill_middle"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan) and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+# quality
+
+def junk(rng, kind, n):
+    words = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(1, 9))) for _ in range(n)]
+    if kind == 0:
+        return " ".join(w.upper() + "!!" for w in words)
+    if kind == 1:
+        return " ".join(w + rng.choice(["###", "***", "&&&"]) for w in words)
+    if kind == 2:
+        return " | ".join(words)
+    return " ".join(w for w in words[: n // 8 + 1] for _ in range(8))
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(1, 9))).capitalize() if i % 12 == 0 else "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(1, 9))) + ("." if i % 12 == 11 else "") for i in range(n))
+
+
+def quality_tables(spark, n=400, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        poor = i % 5 == 0
+        # Every second poor text is good but for a part in its middle.
+        text = (prose(rng, 150) + "\n" + junk(rng, i // 5 % 4, 60) + "\n" + prose(rng, 150)) if poor and i % 2 else junk(rng, i // 5 % 4, rng.randint(20, 200)) if poor else prose(rng, rng.randint(20, 400))
+        rows.append((i, text, "x", 0.5, int(not poor)))
+    return spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, score string, predicted double"), spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int"), {r[0]: r[4] for r in rows}
+
+
+def test_quality_of_held_out_texts_and_junk_in_a_part(spark):
+    df, labels, truth = quality_tables(spark)
+    found = {r["doc_id"]: r for r in quality.classify(df, labels).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(found[i]["held_out"] == (i in set(held)) for i in truth) and len(held) > 40
+    assert sum(found[i]["predicted"] != truth[i] for i in held) <= 1
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_quality_never_reads_held_out_labels(spark):
+    df, labels, truth = quality_tables(spark, 120)
+    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    other = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(map(tuple, quality.classify(df, labels).collect())) == sorted(map(tuple, quality.classify(df, other).collect()))
+
+
+def test_quality_odd_rows_and_labels(spark):
+    df, labels, _ = quality_tables(spark, 100)
+    odd = spark.createDataFrame([(None, "some text", "a", 1.0), (1000, None, None, None), (1001, "", None, None), (1002, "word " * 100_000, None, None), (1003, "same", None, None), (1003, "same", None, None), (1004, "😀" * 9, None, None)], df.schema)
+    both = df.unionByName(odd)
+    rows = quality.classify(both, labels.unionByName(spark.createDataFrame([(None, 1), (1000, None), (1003, 1), (1003, 0), (77777, 0)], labels.schema))).collect()
+    assert len(rows) == 107 and all(0 <= r["score"] <= 1 for r in rows)
+    one = [r for r in rows if r["doc_id"] == 1003]
+    assert one[0] == one[1]
+    empty = [r["score"] for r in rows if r["doc_id"] in (1000, 1001)]
+    assert empty[0] == empty[1]
+    assert quality.classify(df.limit(0), labels).count() == 0
+    assert {r["score"] for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert {r["score"] for r in quality.classify(df, labels.where("quality = 1")).collect()} == {1.0}
+    model = quality.train(df, labels)
+    kept = quality.score(both, model, keep=tuple(both.columns), prefix="__")
+    assert kept.columns == [*both.columns, "__score", "__predicted"] and kept.count() == 107
+
+
+def test_bradley_terry_gradient_and_quantile():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(30, 4))
+    better, worse = rng.integers(0, 30, 200), rng.integers(0, 30, 200)
+    risk = lambda w: np.logaddexp(0, -((x[better] - x[worse]) @ w)).mean() + 1e-3 / 2 * w @ w
+    w = quality.fit_pairs(x, better, worse, steps=3000)
+    for i in range(4):  # a minimum: no step to either side is better
+        for d in (1e-3, -1e-3):
+            assert risk(w) <= risk(w + d * np.eye(4)[i]) + 1e-9
+    s = np.array([3.0, 1.0, 2.0, 4.0])
+    assert quality.quantile_between(s, np.ones(4), 0.5) == 2.5
+    assert quality.quantile_between(s, np.array([1.0, 7.0, 1.0, 1.0]), 0.7) == 1.5
+    assert quality.quantile_between(np.ones(5), np.ones(5), 0.4) == 1.0
+
+
+# manifest
+
+H = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_manifest(rows, fanout=3):
+    """Rows (doc_id, source, lang, n_chars, text) to Counter of result rows, by lists."""
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, t: H(*[enc(v) for v in (*r[:4], t)])
+    groups = defaultdict(list)
+    for r in rows:
+        h = leaf(r, r[4])
+        tampered = r[4].replace("\n", "") if r[4] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 else r[4]
+        other = leaf(r, tampered)
+        groups[r[1]].append(((r[0] is not None, r[0] or 0), h, other if other != h else "", r[0]))
+
+    def tree(hashes):
+        levels = [hashes]
+        while len(levels[-1]) > 1:
+            levels.append([H(*levels[-1][i : i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+        return levels
+
+    def sides(levels, i):
+        out = []
+        for level in levels[:-1]:
+            a = i - i % fanout
+            out.append(("".join(level[a:i]), "".join(level[i + 1 : a + fanout])))
+            i //= fanout
+        return out
+
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: tree([x[1] for x in sorted(groups[g], key=lambda x: x[:3])]) for g in order}
+    over = tree([trees[g][-1][0] for g in order])
+    out = Counter()
+    for k, g in enumerate(order):
+        for i, (_, h, other, doc_id) in enumerate(sorted(groups[g], key=lambda x: x[:3])):
+            path = sides(trees[g], i) + sides(over, k)
+            folded = other or h
+            for a, b in path:
+                folded = H(a, folded, b)
+            out[doc_id, h, trees[g][-1][0], over[-1][0], H(*[x for s in path for x in s]), folded, folded == over[-1][0]] += 1
+    return out
+
+
+def found_manifest(spark, rows, **params):
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, leaf string, rank int")
+    made = manifest.manifest(df, tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0, **params)
+    assert made.columns == ["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return Counter(map(tuple, made.collect()))
+
+
+def manifest_rows():
+    rng = random.Random(5)
+    far = [0, 1, 2, 255, 256, 257, -1, -256, -257, 2**63 - 1, -(2**63), 2**40, 10**12]
+    rows = [(i, f"s{i % 3}", "en", 3, f"text {i}\nline") for i in rng.sample(range(10**6), 700)]
+    rows += [(i, s, None, None, t) for i in far for s in ("s1", None, "", "é", "ábc", "Z", "z\n") for t in (None, "", "a\nb")]
+    rows += [(5, "copies", "en", 1, "equal\n")] * 40 + [(None, "copies", "en", 1, "no id")] * 3 + [(None, "copies", None, None, None), (1, "alone", "en", 9, "x\n" * 50_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_manifest_equals_brute_force(spark, monkeypatch):
+    rows = manifest_rows()
+    wanted = brute_manifest(rows)
+    assert found_manifest(spark, rows) == wanted
+    assert {w[-1] for w in wanted} == {True, False}
+    # Small blocks and small buckets: many rounds, and repeated ids ranked by hash.
+    monkeypatch.setattr(manifest, "CROWDED", 2)
+    monkeypatch.setattr(manifest, "LOCAL_GROUPS", 1)
+    assert found_manifest(spark, rows, levels=2) == wanted
+
+
+def test_manifest_other_fanout_one_row_and_no_row(spark):
+    rows = manifest_rows()[:60]
+    assert found_manifest(spark, rows, fanout=2, levels=3) == brute_manifest(rows, 2)
+    assert found_manifest(spark, rows[:1]) == brute_manifest(rows[:1])
+    assert found_manifest(spark, rows[:0]) == Counter()
+
+
+def test_manifest_of_groups_with_a_long_common_name(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "LOCAL_GROUPS", 4)
+    names = [f"https://example.org/{'x' * (i % 4)}{i * 37 % 101}" for i in range(90)]
+    ranks = {r["g"]: r["rank"] for r in manifest.group_ranks(spark.createDataFrame([(n,) for n in set(names)], "g string")).collect()}
+    assert [ranks[n] for n in sorted(set(names))] == list(range(len(set(names))))
