@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from celldag.queries import builds, curation, dag, regions, relational
+from celldag.queries import builds, curation, dag, records, regions, relational
 
-QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES, **regions.QUERIES, **curation.QUERIES}
-ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES, **regions.ORACLES, **curation.ORACLES}
+QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES, **regions.QUERIES, **curation.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES, **regions.ORACLES, **curation.ORACLES, **records.ORACLES}
