@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from celldag.functions.cells import container_kind, stable_id
+from celldag.sources.packages import _path, exists
 
 #: The files that a folder scan sees; names that begin with ~$ are lock files of open documents.
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
+#: The source passes over files that are older than the newest by more than this: a week, unless told otherwise.
+NEVER = "100000d"
+
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*", magics: dict[str, str] | None = None) -> DataFrame:
     """All files now: path, name, length, modified, sha256 and container kind; lock files left out.
@@ -29,7 +33,7 @@ def watch(spark: SparkSession, folder: str, pattern: str = "*", magics: dict[str
 
     The source offers a file once, so a file that is still being written must not be dropped here: `ingest` keeps it for later.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFileAge", NEVER).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return _described(files, magics)
 
 
@@ -39,9 +43,9 @@ def _described(files: DataFrame, magics: dict[str, str] | None = None) -> DataFr
     return seen.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), container_kind(F.col("content"), magics).alias("kind"))
 
 
-def new_contents(files: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Of a stream of files, each content once within the delay."""
-    return files.withWatermark("modified", delay).dropDuplicatesWithinWatermark(["sha256"])
+def new_contents(files: DataFrame) -> DataFrame:
+    """Of a stream of files, each content once, whatever times the files bear; the state is a hash for each content."""
+    return files.dropDuplicates(["sha256"])
 
 
 LOG = "file_id string, path string, sha256 string, parser string"
@@ -49,49 +53,62 @@ WAITING = "path string"
 PATHS_AT_ONCE = 10_000
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder of Spark's is there, in whatever store."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-
-
-def _take(rows: DataFrame, log: str, handle: Callable[[DataFrame], None], parser: str, settle: str) -> None:
-    """Handle and log the files that are ready and not in the log; note the paths of the others in <log>_waiting."""
+def _take(rows: DataFrame, log: str, handle: Callable[[DataFrame], None], parser: str, settle: str, waiting: str) -> None:
+    """Handle and log the files that are ready and not in the log; append the paths of the others to `waiting`."""
     spark = rows.sparkSession
     rows = rows.withColumn("file_id", stable_id(F.col("path"), F.col("sha256"), F.lit(parser))).dropDuplicates(["file_id"])
-    if _exists(spark, log):
+    if exists(spark, log):
         rows = rows.join(spark.read.schema(LOG).parquet(log).select("file_id"), "file_id", "left_anti")
     ready = (F.col("kind") != "unknown") & (F.col("modified") <= F.current_timestamp() - F.expr(f"interval {settle}"))
     rows = rows.withColumn("ready", ready).persist()
     taken = rows.where("ready").drop("ready")
     handle(taken)
     taken.select("file_id", "path", "sha256", F.lit(parser).alias("parser")).write.mode("append").parquet(log)
-    rows.where("not ready").select("path").write.mode("append").parquet(f"{log}_waiting")
+    rows.where("not ready").select("path").write.mode("append").parquet(waiting)
     rows.unpersist()
 
 
+def _replace(spark: SparkSession, old: str, new: str) -> None:
+    at, fs = _path(spark, old)
+    fs.delete(at, True)
+    fs.rename(_path(spark, new)[0], at)
+
+
 def ingest_waiting(spark: SparkSession, log: str, handle: Callable[[DataFrame], None], parser: str = "1", settle: str = "0 seconds", magics: dict[str, str] | None = None) -> None:
     """Read the files again that earlier runs found unsettled or of no known kind; those that are ready now are handled and logged.
 
-    A file that is still waiting stays noted; one that is gone by now is passed over.  Paths are named to Spark's reader PATHS_AT_ONCE at a time.
+    The notes of what still waits replace those of before, so a file has one; one that is gone by now, or of equal content with one that
+    was handled here, is forgotten.  Which noted files are there is found by listing their folders; paths are named to Spark's reader PATHS_AT_ONCE at a time.
     """
-    if not _exists(spark, f"{log}_waiting"):
-        return
-    waiting = spark.read.schema(WAITING).parquet(f"{log}_waiting").distinct()
+    notes, following = f"{log}_waiting", f"{log}_waiting_next"
+    if not exists(spark, notes):
+        if not exists(spark, following):
+            return
+        _replace(spark, notes, following)  # a run ended between the two steps below
+    fs = _path(spark, following)[1]
+    fs.delete(_path(spark, following)[0], True)
+    noted = spark.read.schema(WAITING).parquet(notes).distinct()
+    folders = [r["d"] for r in noted.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("d")).distinct().collect() if exists(spark, r["d"])]
     part: list[str] = []
 
     def again() -> None:
-        here = [p for p in part if _exists(spark, p)]
-        if here:
-            _take(_described(spark.read.format("binaryFile").load(here), magics), log, handle, parser, settle)
-
-    for row in waiting.toLocalIterator():
-        part.append(row["path"])
-        if len(part) == PATHS_AT_ONCE:
+        seen = _described(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(part), magics)
+        first = seen.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in seen.columns if c != "sha256"]), F.struct("modified", "path")).alias("f")).select("f.*", "sha256")
+        _take(first.select(*seen.columns), log, handle, parser, settle, following)
+
+    if folders:
+        listed = spark.read.format("binaryFile").load(folders).select("path")
+        for row in noted.join(listed, "path", "left_semi").toLocalIterator():
+            part.append(row["path"])
+            if len(part) == PATHS_AT_ONCE:
+                again()
+                part.clear()
+        if part:
             again()
-            part.clear()
-    again()
+    if exists(spark, following):
+        _replace(spark, notes, following)
+    else:
+        fs.delete(_path(spark, notes)[0], True)
 
 
 def ingest(files: DataFrame, log: str, checkpoint: str, handle: Callable[[DataFrame], None], parser: str = "1", settle: str = "0 seconds", magics: dict[str, str] | None = None) -> StreamingQuery:
@@ -102,4 +119,4 @@ def ingest(files: DataFrame, log: str, checkpoint: str, handle: Callable[[DataFr
     file is lost, though the stream offers each only once.
     """
     ingest_waiting(files.sparkSession, log, handle, parser, settle, magics)
-    return files.writeStream.foreachBatch(lambda df, number: _take(df, log, handle, parser, settle)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(lambda df, number: _take(df, log, handle, parser, settle, f"{log}_waiting")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

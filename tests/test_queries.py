@@ -53,6 +53,38 @@ def test_files_that_wait_are_read_in_a_later_run(spark, tmp_path):
     assert seen == ["old.zip", "fresh.zip", "odd.bin"] and spark.read.parquet(log).count() == 3
 
 
+def test_no_file_is_lost_for_its_age_and_notes_do_not_grow(spark, tmp_path):
+    import os
+    import time
+
+    from celldag.streaming import files
+
+    folder, log, seen = tmp_path / "in", f"{tmp_path}/log", []
+    folder.mkdir()
+
+    def put(name, content, age):
+        (folder / name).write_bytes(content)
+        os.utime(folder / name, (time.time() - age, time.time() - age))
+
+    def run():
+        stream = files.new_contents(files.watch(spark, str(folder)))
+        files.ingest(stream, log, f"{tmp_path}/checkpoint", lambda df: seen.extend(r["name"] for r in df.collect())).awaitTermination()
+
+    put("new.zip", b"PK\x03\x04new", 5)
+    put("odd.bin", b"half", 5)
+    run()
+    put("old.zip", b"PK\x03\x04old", 30 * 86400)
+    put("newer.zip", b"PK\x03\x04newer", 5)
+    run()
+    run()
+    assert sorted(seen) == ["new.zip", "newer.zip", "old.zip"]
+    assert [r["path"][-7:] for r in spark.read.parquet(f"{log}_waiting").collect()] == ["odd.bin"]
+    put("odd.bin", b"PK\x03\x04odd", 5)
+    run()
+    run()
+    assert seen[3:] == ["odd.bin"] and not os.path.exists(f"{log}_waiting") or spark.read.schema("path string").parquet(f"{log}_waiting").count() == 0
+
+
 def test_scan_and_watch_see_the_whole_folder(spark, sf_dir, tmp_path):
     import hashlib
     import os
