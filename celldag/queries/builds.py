@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from celldag.operators import structure
 from celldag.operators.dag import Env, run_dag
 from celldag.plans import assemble, build
 from celldag.queries.dag import _UNITS, read
-from celldag.streaming import files
+from celldag.session import shared_folder
+from celldag.streaming import files, stability
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +154,21 @@ def stream_file_events(spark, sf_dir):
 @register("SELECT name, kind FROM (VALUES ('region.parquet', 'parquet'), ('nation.parquet', 'parquet'), ('customer.parquet', 'parquet'), ('supplier.parquet', 'parquet'), ('part.parquet', 'parquet'), ('orders.parquet', 'parquet'), ('lineitem.parquet', 'parquet'), ('events.parquet', 'parquet'), ('documents.parquet', 'parquet'), ('embeddings.parquet', 'parquet'), ('pages.parquet', 'parquet'), ('benchmark.parquet', 'parquet'), ('labels.parquet', 'parquet'), ('conversations.parquet', 'parquet')) t(name, kind)")
 def scan_files(spark, sf_dir):
     return files.scan(spark, sf_dir, "*.parquet", PARQUET).select("name", "kind")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@register(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, 'SUCCESS' AS status FROM {t}" for t in TABLES))
+def stable_files(spark, sf_dir):
+    """The tables' files released after two equal scans of their folder, and the rows in those that the log has as read."""
+    state = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stability.watch_once(spark, sf_dir, state, lambda df: None, "*.parquet", magics=PARQUET)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    log = stability.latest(spark, f"{state}/log").select(plain("path").alias("path"), F.regexp_extract("path", r"/(\w+)\.parquet", 1).alias("name"), "status")
+    counts = None
+    for r in log.select("name").distinct().orderBy("name").collect():  # one per table
+        of_table = spark.read.parquet(f"{sf_dir}/{r['name']}.parquet").groupBy(plain(F.col("_metadata.file_path")).alias("path")).agg(F.count("*").alias("rows"))
+        counts = of_table if counts is None else counts.unionByName(of_table)
+    return log.join(counts, "path").groupBy("name", "status").agg(F.sum("rows").alias("rows"))
