@@ -11,15 +11,18 @@ from celldag.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a test item, with the item and how much of it the document covers; null and empty texts hold none, repeated rows come out once each."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's token ids and the text they decode to, as hashes; a null text counts as empty."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back from the output; a null text counts as empty."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
@@ -27,30 +30,37 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's score and class, learned from the labels of four folds out of five; a null text counts as empty."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector, by exact inner products; vectors that are null or hold null or non-finite numbers take no part."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; a null page counts as empty."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of texts that share four fifths of their 5-word shingles; null and empty texts link with nothing."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), percent=80, k=5)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's language, learned from two folds out of three; `und` where no letter is."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license notices, by MinHash bands and exact containment; null and empty texts hold none."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; a null url has empty ones."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
