@@ -2,8 +2,8 @@
 
 A test item and a document are candidates if they share a seed: a run of min_match words (an
 item of fewer words: all of its words).  Between candidates, running Karp-Rabin looks for
-common runs of at least s unmarked words, s going down to min_match; the longest are marked as
-tiles first, and no word of either side is in two tiles.  A document that holds its tiles in
+the longest common runs of unmarked words, their length s found by halving, down to min_match; these
+are marked as tiles, and no word of either side is in two tiles.  A document that holds its tiles in
 another order than the item is caught like one that holds them in order.  An item leaks into a
 document if tiles cover at least min_coverage of the item's words, or if one tile has min_run
 words or more, whatever the item's length: a verbatim run of two sentences gives a long item's
@@ -66,32 +66,41 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
     (hi, powers), (hd, _) = _prefix_hashes(pad(item)), _prefix_hashes(pad(doc))
     mi = np.concatenate([np.zeros(len(item), bool), np.ones(size - len(item), bool)])
     md = np.concatenate([doc <= 0, np.ones(size - len(doc), bool)])
-    found, s = [], max(min_match, min(len(item), len(doc)))
-    while True:
-        si, ki = _runs(hi, powers, mi, s)
-        sd, kd = _runs(hd, powers, md, s)
-        order = np.argsort(ki, kind="stable")
-        lo, hi_at = np.searchsorted(ki[order], kd, "left"), np.searchsorted(ki[order], kd, "right")
-        matches = []
-        for d, a, b in zip(sd, lo, hi_at):
-            for i in si[order[a:b]]:
-                i, d = int(i), int(d)
-                if i and d and not mi[i - 1] and not md[d - 1] and item[i - 1] == doc[d - 1]:
-                    continue  # part of a match that begins earlier
-                n = 0
-                while i + n < len(item) and d + n < len(doc) and not mi[i + n] and not md[d + n] and item[i + n] == doc[d + n]:
-                    n += 1
-                if n >= s:
-                    matches.append((-n, i, d))
-        for n, i, d in sorted(matches):
-            if not mi[i : i - n].any() and not md[d : d - n].any():
-                mi[i : i - n] = md[d : d - n] = True
-                found.append((i, d, -n))
-        if matches:
-            continue  # of a match that a longer one overlapped, a piece of s words may be left
-        if s == min_match:
-            return sorted(found, key=lambda t: (-t[2], t[0], t[1]))
-        s = max(min_match, s // 2)
+
+    def common(s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (si, ki), (sd, kd) = _runs(hi, powers, mi, s), _runs(hd, powers, md, s)
+        shared = np.intersect1d(ki, kd)
+        i, d = np.isin(ki, shared), np.isin(kd, shared)
+        return si[i], ki[i], sd[d], kd[d]
+
+    found, top = [], min(len(item), len(doc))
+    while top >= min_match and len((runs := common(min_match))[0]):
+        low, s = min_match, top  # a common run of `low` words is there; try the longest first
+        while low < top:
+            if len((longer := common(s))[0]):
+                low, runs = s, longer
+            else:
+                top = s - 1
+            s = (low + top + 1) // 2
+        si, ki, sd, kd = runs
+        # No match is longer, so each place of the item takes the first free place of the document: equal runs are met in turn, not in pairs.
+        order = np.lexsort((sd, kd))
+        sd, kd = sd[order], kd[order]
+        keys, first = np.unique(kd, return_index=True)
+        last, at, free = np.append(first[1:], len(kd)), first.copy(), 0
+        for i, g in zip(si.tolist(), np.searchsorted(keys, ki).tolist()):
+            if i < free:
+                continue
+            while at[g] < last[g]:
+                d = int(sd[at[g]])
+                at[g] += 1
+                if not md[d : d + low].any() and np.array_equal(item[i : i + low], doc[d : d + low]):
+                    mi[i : i + low] = md[d : d + low] = True
+                    found.append((i, d, low))
+                    free = i + low
+                    break
+        top = low - 1
+    return sorted(found, key=lambda t: (-t[2], t[0], t[1]))
 
 
 class Block:
@@ -103,8 +112,8 @@ class Block:
         self.names = [i for i, ws in listed if ws]
         self.vocab: dict[str, int] = {}
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64) for _, ws in listed if ws]
-        # Seeds by length: min_match for most, all words for shorter items.
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        # Seeds by length: min_match for most, all words for shorter items.  Of each: hash, item, places from .. to in that item.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by_len: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, ids in enumerate(self.items):
             k = min(min_match, len(ids))
@@ -112,8 +121,10 @@ class Block:
             by_len.setdefault(k, []).append((key, np.full(len(key), n), np.arange(len(key))))
         for k, parts in by_len.items():
             key, item, at = map(np.concatenate, zip(*parts))
-            order = np.argsort(key, kind="stable")
-            self.seeds[k] = key[order], item[order], at[order]
+            order = np.lexsort((at, item, key))
+            key, item, at = key[order], item[order], at[order]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(item) != 0)]))
+            self.seeds[k] = key[begin], item[begin], begin, np.append(begin[1:], len(key)), at
 
     @staticmethod
     def grams(ids: np.ndarray, k: int) -> np.ndarray:
@@ -138,27 +149,35 @@ class Block:
         ids = np.concatenate([*docs, np.empty(0, np.int64)])
         end = np.cumsum([len(d) for d in docs])
         zeros = np.concatenate([[0], np.cumsum(ids == 0)])
-        cand: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for k, (key, item, at) in self.seeds.items():
+        cand: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, (key, item, _, _, _) in self.seeds.items():
             if len(ids) < k:
                 continue
             start = np.flatnonzero(zeros[k:] == zeros[:-k])
             seen = self.grams(ids, k)[start]
-            lo, hi = np.searchsorted(key, seen, "left"), np.searchsorted(key, seen, "right")
+            known = np.isin(seen, key)
+            start, seen = start[known], seen[known]
+            row = np.searchsorted(end, start, "right")
+            held[k] = start, seen, row
+            # A seed counts once for a document and an item, however often they repeat it.
+            order = np.lexsort((seen, row))
+            once = order[np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(seen[order]) != 0)])] if len(order) else order
+            lo, hi = np.searchsorted(key, seen[once], "left"), np.searchsorted(key, seen[once], "right")
             n = hi - lo
-            hit = np.repeat(np.arange(len(start)), n)
             seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place, which, where = start[hit], item[seed], at[seed]
-            row = np.searchsorted(end, place, "right")
-            order = np.lexsort((place, which, row))
-            place, which, where, row = place[order], which[order], where[order], row[order]
+            row, which = np.repeat(row[once], n), item[seed]
+            order = np.lexsort((which, row))
+            which, row, seed = which[order], row[order], seed[order]
             cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(which) != 0)) + 1
             for p, q in zip([0, *cuts], [*cuts, len(row)]):
                 if q > p:
-                    cand[int(row[p]), int(which[p])] = place[p:q], where[p:q]
+                    cand[int(row[p]), int(which[p])] = seed[p:q]
         out = []
-        for (row, which), (place, where) in sorted(cand.items()):
+        for (row, which), seed in sorted(cand.items()):
             item, k = self.items[which], min(self.min_match, len(self.items[which]))
+            key, _, lo, hi, at = self.seeds[k]
+            where = np.concatenate([at[p:q] for p, q in zip(lo[seed], hi[seed])])
             span = np.zeros(len(item) + 1, np.int64)
             np.add.at(span, where, 1)
             np.add.at(span, where + k, -1)
@@ -168,6 +187,9 @@ class Block:
             if not self.leaks(len(item), len(docs[row]) - 1, int(under.sum()), int(longest)):
                 continue  # seeds cover all that tiles can
             begin = int(end[row]) - len(docs[row])
+            start, seen, of_row = held[k]
+            p, q = np.searchsorted(of_row, [row, row + 1])
+            place = start[p:q][np.isin(seen[p:q], key[seed])]
             near = np.unique((place[:, None] - begin + np.arange(k)).ravel())
             # The document's words that are in a shared seed; a 0 wherever others stood between.
             gap = np.concatenate([[0], np.cumsum(np.diff(near) > 1)])

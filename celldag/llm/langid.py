@@ -121,17 +121,22 @@ def build_model(counts: pa.Table, order: int) -> PpmModel | None:
     return PpmModel(langs, order, step, np.rint(-np.log2(p) * UNIT).astype(np.int32))
 
 
-def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_count: int = 24, max_contexts: int = 6000, max_langs: int = 24) -> PpmModel | None:
+def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_count: int = 24, max_contexts: int = 6000, max_cells: int = 144_000, max_langs: int | None = None) -> PpmModel | None:
     """Fit on at most docs_per_lang whole texts of each language, those of lowest id hash.
 
     labelled: doc_id, text, lang.  Rows with a null in any of the three, or without text, teach
-    nothing.  max_contexts and min_count bound the trees; contexts stay by falling count.  The
-    max_langs languages with most labelled rows are learned.  The model's size, and what comes to
-    the driver, follow from these parameters alone (some 25 MB a language while it is built).  None if there is nothing to learn from.
+    nothing.  Every language is learned.  max_contexts and min_count bound the trees; contexts
+    stay by falling count.  More languages share fewer contexts (max_cells contexts times
+    languages, but the empty context and 256 further ones always), so the model stays below
+    max_cells KB up to 560 languages and grows by 0.3 MB a language beyond.  max_langs, not used by
+    any query, asks for the languages with most labelled rows only.  None if there is nothing to learn from.
     """
-    most = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(most), "lang", "left_semi")
+    if max_langs is not None:
+        most = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+        labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(most), "lang", "left_semi")
     counts = context_counts(_sample(labelled, docs_per_lang), order).persist()
+    langs = counts.agg(F.count_distinct("lang")).first()[0]
+    max_contexts = min(max_contexts, max(257, max_cells // max(1, langs)))
     kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
     kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
     rows = counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
@@ -156,13 +161,13 @@ def letter_runs(text: str) -> bytes:
     return " ".join(LETTERS.findall(text)).lower().encode("utf-8", "replace")
 
 
-def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float = 0.999, docs_per_lang: int = 2000, least: int = 200) -> np.ndarray | None:
+def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float = 0.999, docs_per_lang: int = 2000, weight: int = 200) -> np.ndarray | None:
     """Bits a byte, by (LENGTHS, language), that letter runs of a language's own held-out texts stay within, and SLACK.
 
     held_out: doc_id, text, lang of rows that `model` has not learned from.  For each length the
-    runs' first bytes are coded under their own language.  A language with fewer than `least` such
-    texts takes the quantile of all languages; a length that no text has, that of the next shorter
-    one.  What comes to the driver is one row for each length and language.
+    runs' first bytes are coded under their own language.  A language's limit is the mean of its own
+    quantile, weighing as many texts as it has, and that of all languages, weighing `weight` texts; a
+    length that no text has takes that of the next shorter one.  What comes to the driver is one row for each length and language.
     """
     if model is None:
         return None
@@ -180,11 +185,15 @@ def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float =
 
     rated = _sample(held_out, docs_per_lang).mapInArrow(frugal(rates), "lang string, i int, rate double")
     found = rated.cube("lang", "i").agg(F.percentile("rate", F.lit(quantile)).alias("q"), F.count("*").alias("n")).where("i is not null").collect()
-    own = {(r["lang"], r["i"]): r["q"] for r in found if r["lang"] is None or r["n"] >= least}
+    own = {(r["lang"], r["i"]): (r["q"], r["n"]) for r in found}
     limits = np.full((len(LENGTHS), len(model.langs)), np.inf)
     for i in range(len(LENGTHS)):
         for j, lang in enumerate(model.langs):
-            limits[i, j] = own.get((lang, i), own.get((None, i), limits[i - 1, j] if i else np.inf))
+            if (None, i) in own:
+                (q, n), pooled = own.get((lang, i), (0.0, 0)), own[None, i][0]
+                limits[i, j] = (n * q + weight * pooled) / (n + weight)
+            elif i:
+                limits[i, j] = limits[i - 1, j]
     return limits + SLACK
 
 

@@ -16,6 +16,7 @@ texts and windows without any word of the cover hold no shingle of a notice.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,13 +84,15 @@ def bands(windowed: DataFrame, keys: list[str]) -> DataFrame:
     return windowed.select(*keys, F.posexplode(least).alias("band", "h"))
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 def word_cover(texts: list[str]) -> list[str]:
     """A few words of which each shingle of the texts holds one: again and again the word in most shingles left; longer ones before shorter."""
-    import re
-
     left = set()
     for t in texts:
-        ws = [w for w in re.split(r"[\W_]+", t.lower()) if w]
+        ws = _words(t)
         left |= {frozenset(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)}
     cover = []
     while left:
@@ -105,9 +108,11 @@ def scan(docs: DataFrame, notices=tuple(NOTICES), percent: int = 80) -> DataFram
 
     notice: its number in the list; first_word: where its first shingle begins, in words from 0.
     Null and empty texts match nothing; rows with equal id and text count once, a null id being one
-    more id; notices of fewer than 5 words have no shingle and are refused.  Further columns are ignored.
+    more id; notices of fewer than 5 words have no shingle and raise ValueError.  Further columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
+    if short := [name for name, t in notices if len(_words(t)) < SHINGLE]:
+        raise ValueError(f"notices of fewer than {SHINGLE} words can't be matched: {short}")
     cover = word_cover([t for _, t in notices])
     listed = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(notices)], "notice int, license_id string, text string")
     listed = listed.withColumn("words", words_column(F.col("text")))

@@ -798,3 +798,60 @@ def test_manifest_of_groups_with_a_long_common_name(spark, monkeypatch):
     names = [f"https://example.org/{'x' * (i % 4)}{i * 37 % 101}" for i in range(90)]
     ranks = {r["g"]: r["rank"] for r in manifest.group_ranks(spark.createDataFrame([(n,) for n in set(names)], "g string")).collect()}
     assert [ranks[n] for n in sorted(set(names))] == list(range(len(set(names))))
+
+
+def _greedy(a, b, least):
+    """Greedy string tiling by trying all pairs of places, the longest match first, then by place."""
+    ma, mb, out = [False] * len(a), [x <= 0 for x in b], []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = i, j, n
+        if best is None:
+            return out
+        i, j, n = best
+        ma[i : i + n] = mb[j : j + n] = [True] * n
+        out.append(best)
+
+
+def test_tiles_equal_plain_greedy_tiling():
+    rng = random.Random(8)
+    for _ in range(150):
+        letters, least = rng.randint(1, 4), rng.randint(1, 4)
+        a = [rng.randint(1, letters) for _ in range(rng.randint(1, 22))]
+        b = [rng.randint(0, letters) for _ in range(rng.randint(1, 34))]
+        assert decontaminate.tiles(np.array(a), np.array(b), least) == _greedy(a, b, least)
+
+
+def test_words_repeated_thousands_of_times_take_little_memory():
+    import tracemalloc
+
+    n = 20_000
+    texts = ["same " * n, "same " * (n - 7) + "other " + "same " * (n // 2), ("same " * 9 + "other ") * (n // 10), "nothing of it"]
+    block = decontaminate.Block([(1, "same " * n), (2, ("same " * 8 + "x ") * (n // 9)), (3, "same same")], 5, 0.6, 30)
+    tracemalloc.start()
+    got = {(row, block.names[which]) for row, which, _, _ in block.search(texts)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(0, 1), (1, 1), (2, 1), (0, 2), (1, 2), (2, 2)} <= got and not any(row == 3 for row, _ in got)
+    assert peak < 64 << 20
+
+
+def test_thirty_languages_are_all_predicted(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(40)] for i in range(30)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(80)), lang, None, None) for i, lang in enumerate(sorted(words) * 20)]
+    table = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(table, max_cells=9000).where("held_out").select("doc_id", "lang_pred").collect()
+    assert {r["lang_pred"] for r in got} == set(words) and np.mean([rows[r["doc_id"]][2] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_notice_too_short_for_a_shingle_is_refused(spark):
+    with pytest.raises(ValueError, match="fewer than 5 words"):
+        licenses.scan(docs(spark, ["x"]), [("short", "All rights reserved.")])
