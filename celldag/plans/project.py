@@ -8,8 +8,10 @@ import re
 from dataclasses import dataclass, field
 
 import yaml
+from pyspark.sql import DataFrame
 
 from celldag.functions.normalize import NormalizeError, validate_steps
+from celldag.operators import signatures
 from celldag.operators.dag import BLOCKS
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,63}")
@@ -63,6 +65,12 @@ class Project:
         return hashlib.sha256(json.dumps(parts, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def data_signature(project: Project, kept: DataFrame, keys: list[str], units_version: str) -> str:
+    """As `signature`, from the payloads' kept sums instead of a list of their names: one row comes to the driver, however many there are."""
+    total = signatures.overall(kept, keys).first()
+    return project.signature([f"{total['n']}:{total['signature']}"], units_version)
+
+
 def reusable(project: Project, signature: str, builds: list[dict], newest: int = 25) -> dict | None:
     """The newest build (of the last `newest`) of the same signature whose artifact is still there; only for chosen nodes."""
     if not project.sources.get("include_nodes"):
