@@ -71,6 +71,39 @@ def recrawl(mappings: DataFrame, proposals: DataFrame, mode: str = "fill") -> Da
     return held.unionByName(proposals.select(*held.columns).join(held.select("node").distinct(), "node", "left_anti"))
 
 
+def judged_documents(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """(run, document, error) of each requested document after its file was read; error null where all is well.
+
+    files: (document, found, error), a row per document: the id that the file's content has now, and what reading it raised.  A document without row has no file; one of another id was moved or renamed, which is an error and makes no new document.
+    """
+    seen = files.select("document", "found", F.col("error").alias("__e"), F.lit(True).alias("__file"))
+    both = requests.select("run", "document").distinct().join(seen, "document", "left")
+    error = F.when(F.col("__file").isNull(), "no file").when(F.col("__e").isNotNull(), F.col("__e")).when(~F.col("found").eqNullSafe(F.col("document")), "another document")
+    return both.select("run", "document", error.alias("error"))
+
+
+def recrawl_documents(mappings: DataFrame, proposals: DataFrame, judged: DataFrame, mode: str = "fill") -> DataFrame:
+    """mappings (document, node, concept, status) after the proposals of the documents that were read without error.
+
+    A document that failed, or that nobody asked for, keeps its mappings just as they were, whatever else failed: half of a document's changes are never seen.  node names a node across documents.
+    """
+    done = judged.where("error is null and document is not null").select("document").distinct().withColumn("__done", F.lit(True))
+    columns = mappings.columns
+    marked = mappings.join(done, "document", "left")
+    untouched = marked.where(F.col("__done").isNull()).select(*columns)
+    return untouched.unionByName(recrawl(marked.where("__done").select(*columns), proposals.join(done, "document", "left_semi"), mode))
+
+
+def recrawl_summary(before: DataFrame, after: DataFrame, judged: DataFrame) -> DataFrame:
+    """(run, status, documents, errors, reset, mapped) of each run: SUCCESS, PARTIAL or, if every document failed, FAILED; how many mappings went and came."""
+    key = ["document", "node", "concept", "status"]
+    count = lambda df, other, name: df.select(*key).exceptAll(other.select(*key)).groupBy("document").agg(F.count("*").alias(name))
+    each = judged.join(count(before, after, "reset"), "document", "left").join(count(after, before, "mapped"), "document", "left")
+    total = each.groupBy("run").agg(F.count("*").alias("documents"), F.count("error").alias("errors"), F.coalesce(F.sum("reset"), F.lit(0)).alias("reset"), F.coalesce(F.sum("mapped"), F.lit(0)).alias("mapped"))
+    status = F.when(F.col("errors") == 0, "SUCCESS").when(F.col("errors") < F.col("documents"), "PARTIAL").otherwise("FAILED")
+    return total.select("run", status.alias("status"), "documents", "errors", "reset", "mapped")
+
+
 def release_states(requests: DataFrame, readable: DataFrame, ingested: DataFrame) -> DataFrame:
     """requests (name, status) after a look at the files: REQUESTED becomes RELEASED once the file can be read, either becomes INGESTED once it is in.  Other states stay."""
     seen = lambda df, flag: df.select("name").where("name is not null").distinct().withColumn(flag, F.lit(True))

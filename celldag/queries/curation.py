@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from celldag.operators import curation, graph
 from celldag.queries.dag import read
+from celldag.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +176,23 @@ def ancestor_of_type(spark, sf_dir):
     kinds = [(customer, "c", "c_custkey", "CUSTOMER"), (nation, "n", "n_nationkey", "TABLE"), (region, "r", "r_regionkey", "REGION")]
     nodes = [df.select(key(letter, column).alias("node"), F.lit(kind).alias("type")) for df, letter, column, kind in kinds]
     return graph.ancestor_of_type(edges, nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), "TABLE")
+
+
+@register("""
+WITH d AS (SELECT o_custkey AS run, o_orderkey AS document, o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 13 = 0 AS bad FROM orders),
+n AS (SELECT l_orderkey AS document, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n, l_returnflag FROM lineitem),
+c AS (SELECT document, count(*) FILTER (n % 2 = 0 AND l_returnflag <> 'A') AS reset, count(*) FILTER (n % 2 = 1 OR l_returnflag <> 'A') AS mapped FROM n GROUP BY document)
+SELECT run, CASE count(*) FILTER (bad) WHEN 0 THEN 'SUCCESS' WHEN count(*) THEN 'FAILED' ELSE 'PARTIAL' END AS status, count(*) AS documents, count(*) FILTER (bad) AS errors,
+  CAST(coalesce(sum(reset) FILTER (NOT bad), 0) AS BIGINT) AS reset, CAST(coalesce(sum(mapped) FILTER (NOT bad), 0) AS BIGINT) AS mapped FROM d LEFT JOIN c USING (document) GROUP BY run
+""")
+def recrawl_runs(spark, sf_dir):
+    """A run per customer over its orders, of which some have no file, some can't be read and some have moved; half of the lines were mapped before."""
+    orders = read(spark, sf_dir, "orders")
+    files = orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("document"), F.expr("if(o_orderkey % 13 = 0, -o_orderkey, o_orderkey)").alias("found"), F.expr("if(o_orderkey % 5 = 0, 'not a workbook', null)").alias("error"))
+    judged = stored(curation.judged_documents(orders.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("document")), files))
+    lines = read(spark, sf_dir, "lineitem").withColumn("n", F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"))
+    nodes = lines.select(F.col("l_orderkey").alias("document"), F.concat_ws("/", "l_orderkey", "n").alias("node"), "n", F.expr("case l_returnflag when 'A' then 'APPROVED' when 'N' then 'AUTO_APPROVED' else 'REVIEW' end").alias("status"))
+    before = stored(nodes.where("n % 2 = 0").select("document", "node", F.lit("old").alias("concept"), "status"))
+    proposals = nodes.select("document", "node", F.lit("new").alias("concept"), F.lit("AUTO_APPROVED").alias("status"))
+    after = stored(curation.recrawl_documents(before, proposals, judged, "reset_auto"))
+    return curation.recrawl_summary(before, after, judged)

@@ -61,3 +61,21 @@ def test_the_nearest_ancestor_of_a_type_within_reach(spark):
     found = dict(rows(graph.ancestor_of_type(edges, nodes, "TABLE")))
     assert found["k0"] == "k3" and found["k3"] == "k3" and found["k4"] == "k14" and found["k13"] == "k14"
     assert dict(rows(graph.ancestor_of_type(edges, nodes.where("node != 'k3'"), "TABLE")))["k2"] is None
+
+
+def test_failed_documents_keep_their_mappings_and_stop_no_other(spark):
+    kind = "document string, node string, concept string, status string"
+    before = spark.createDataFrame([(d, f"{d}{i}", "x", s) for d in "abcdz" for i, s in enumerate(["APPROVED", "REVIEW"])], kind)
+    new = spark.createDataFrame([(d, f"{d}{i}", "y", "AUTO_APPROVED") for d in "abcdz" for i in range(3)], kind)
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, None), (3, "d")], "run int, document string")
+    files = spark.createDataFrame([("a", "a", None), ("b", "b", "not a workbook"), ("c", "q", None), ("d", "d", None), ("z", "z", None)], "document string, found string, error string")
+    judged = curation.judged_documents(asked, files)
+    assert rows(judged) == [(1, "a", None), (1, "b", "not a workbook"), (2, "c", "another document"), (2, None, "no file"), (3, "d", None)]
+    after = curation.recrawl_documents(before, new, judged, "reset_auto")
+    by = lambda d: rows(after.where(F.col("document") == d).drop("document"))
+    for d in "bcz":
+        assert by(d) == [(f"{d}0", "x", "APPROVED"), (f"{d}1", "x", "REVIEW")]
+    for d in "ad":
+        assert by(d) == [(f"{d}0", "x", "APPROVED"), (f"{d}1", "y", "AUTO_APPROVED"), (f"{d}2", "y", "AUTO_APPROVED")]
+    assert rows(curation.recrawl_summary(before, after, judged)) == [(1, "PARTIAL", 2, 1, 1, 2), (2, "FAILED", 2, 2, 0, 0), (3, "SUCCESS", 1, 0, 1, 2)]
+    assert curation.recrawl_documents(before.limit(0), new.limit(0), judged.limit(0)).count() == 0
