@@ -1,8 +1,11 @@
 """URL filter: explicit rules first, then gradient-boosted trees on lexical features.
 
 The trees (logistic loss, Newton leaf values) are grown in numpy from labelled URLs.
-They see lengths, path depth, digit ratios, entropy, parameter counts and how often the
-suffixes of the host and of its words were blocked in training.  Nothing but the URL is read.
+They see lengths, path depth, digit ratios, entropy, parameter counts and how often the host's
+suffixes and whole words were blocked in training.  Names run together are cut into words only where
+learned words cover them completely, or where the latter half or more is one learned word of four letters
+or more, as a compound's last word says what it is; so "winter" has no "win" in it and "hackney" no "hack".
+Nothing but the URL is read.
 
 The labelled URLs are put together by rule from the words and shapes below: hosts of either
 kind come with and without hyphens, digits and subdomains, so that none of these decides alone.
@@ -35,13 +38,16 @@ GOOD_WORDS = """
 news daily times post herald journal review library archive museum school college university institute academy research science nature garden river lake forest mountain city town
 village council county weather travel guide maps recipes kitchen food soup bread coffee music radio film theatre photo art design craft wood paper book books story poem history language
 math physics health clinic care family home house build tools code docs wiki forum help support team club sport run bike sail green blue red white old new north south east west
+my the best top online web shop store site get go pro plus live world
 """.split()
+#: Words to block that ordinary hosts have too (banks, shops, charities, schools); their shares are learned from both.
+SHARED_WORDS = "credit debt loan loans cash money free discount deals win winner lucky prize singles bonus bet coin seo hack traffic profit rich cheap".split()
 SYLLABLES = "ba be bi bo da de di do fa fe ga ha he in ing ka ke la le li lo ma me mi mo na ne no on ou pa per ra re ri ro sa se sha so sta ta te th tha the ti to tion tra un va ve ver vi wa we th th nd st sh ng ble wh".split()
 GOOD_SUFFIXES, BAD_SUFFIXES = ("com", "org", "net", "edu", "co.uk", "de", "fr", "example.com", "example.org", "example.net"), ("com", "net", "org", "info", "top", "xyz", "click", "biz", "example.com", "example.org", "example.net")
 LANGS = ("en", "de", "fr", "es", "it")
 
 
-def labelled_urls(n: int = 900, seed: int = 7, bad_words=tuple(BAD_WORDS), good_words=tuple(GOOD_WORDS)) -> tuple[list[str], list[int]]:
+def labelled_urls(n: int = 1800, seed: int = 7, bad_words=tuple(BAD_WORDS), good_words=tuple(GOOD_WORDS), shared_words=tuple(SHARED_WORDS)) -> tuple[list[str], list[int]]:
     """n URLs to block and n to allow, the same for the same seed."""
     rng = random.Random(seed)
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -50,14 +56,21 @@ def labelled_urls(n: int = 900, seed: int = 7, bad_words=tuple(BAD_WORDS), good_
     def named(words: list[str]) -> str:
         return rng.choice(("", "-", "-")).join(words)
 
+    def spoken() -> str:  # consonants and vowels in turn, as invented names have
+        return "".join(rng.choice(letters) + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s", "l", "t")) for _ in range(rng.randint(2, 4)))
+
     def good_host() -> str:
         kind = rng.random()
         if kind < 0.45:
             name = named(rng.sample(good_words, rng.randint(1, 3)))
+        elif kind < 0.6:
+            name = spoken()
         elif kind < 0.85:
             name = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 5)))
-        else:
+        elif kind < 0.89:
             name = named([rng.choice(good_words), "".join(rng.choice(SYLLABLES) for _ in range(2))])
+        else:
+            name = named(rng.sample([rng.choice(shared_words), rng.choice((rng.choice(good_words), spoken()))], 2))
         return rng.choice(("", "", "www.", "blog.", "m.", "docs.", "en.")) + name + (str(rng.randint(1, 99)) if rng.random() < 0.06 else "") + "." + rng.choice(GOOD_SUFFIXES)
 
     def bad_host() -> str:
@@ -65,7 +78,8 @@ def labelled_urls(n: int = 900, seed: int = 7, bad_words=tuple(BAD_WORDS), good_
         if kind < 0.6:
             name = named(rng.sample(bad_words, rng.randint(1, 3)))
         elif kind < 0.75:
-            name = named([rng.choice(bad_words), rng.choice(good_words)] if rng.random() < 0.5 else [rng.choice(good_words), rng.choice(bad_words)])
+            words = [rng.choice(bad_words), *rng.sample(good_words, rng.randint(1, 2))]
+            name = named(rng.sample(words, len(words)))
         elif kind < 0.9:
             name = text(rng.randint(7, 16), letters + digits)
         else:
@@ -79,7 +93,8 @@ def labelled_urls(n: int = 900, seed: int = 7, bad_words=tuple(BAD_WORDS), good_
         elif kind < 0.75:
             path = f"/{rng.randint(1999, 2024)}/{rng.randint(1, 12):02d}/" + "-".join(rng.sample(good_words, rng.randint(1, 5)))
         else:
-            path = "/" + "/".join(rng.sample(good_words, rng.randint(0, 3)))
+            dated = [str(rng.randint(1999, 2024)), f"{rng.randint(1, 12):02d}"] if rng.random() < 0.3 else []
+            path = "/" + "/".join(rng.sample(good_words, rng.randint(0, 3)) + dated) + rng.choice(("", "/"))
         return path + rng.choice(("", "", "", "?page=2&ref=x", "?utm_source=feed", "#top", f"?page={rng.randint(1, 30)}"))
 
     def busy_path() -> str:
@@ -109,31 +124,67 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-NAMES = ("length", "host_length", "labels", "depth", "path_length", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "word_rate", "ending_rate", "longest_consonants")
-ENDINGS = (3, 4, 5)  # letters of a word's ending or beginning that are counted
+NAMES = ("length", "host_length", "labels", "depth", "path_length", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "word_rate", "word_mean", "odd_pairs")
+SUPPORT = 3  # different hosts that a word must stand in, set off by other signs, before its share counts
+
+
+def cover(name: str, words) -> list[str]:
+    """The fewest learned words that make up a name completely, longer first ones before shorter; else its rest and the word that it ends in; else the name itself."""
+    best: list[list[str] | None] = [None] * len(name) + [[]]
+    for i in range(len(name) - 1, -1, -1):
+        for j in range(len(name), i, -1):
+            if best[j] is not None and name[i:j] in words and (best[i] is None or len(best[j]) + 1 < len(best[i])):
+                best[i] = [name[i:j], *best[j]]
+    if best[0]:
+        return best[0]
+    tail = next((name[i:] for i in range(2, len(name) // 2 + 1) if len(name) - i >= 4 and name[i:] in words), None)
+    return [name[: -len(tail)], tail] if tail else [name]
 
 
 @dataclass
 class Suffixes:
-    """Smoothed shares of blocked URLs by the host's suffixes, its words, and the beginnings and endings of these; unseen ones give the base rate."""
+    """Smoothed shares of blocked URLs by the host's suffixes and its words; unseen ones give the base rate."""
 
     rate: dict[str, float]
     base: float
+    words: frozenset[str] = frozenset()
+    pairs: frozenset[str] = frozenset()
 
     @staticmethod
-    def parts(host: str) -> tuple[list[str], list[str], list[str]]:
+    def pairs_of(host: str) -> list[str]:
+        """Neighbouring letters and digits of the host's labels but the last."""
+        return [x[i : i + 2] for x in host.split(".")[:-1] for i in range(len(x) - 1) if x[i : i + 2].isalnum()]
+
+    def odd(self, host: str) -> float:
+        """The share of pairs that allowed hosts don't have."""
+        pairs = self.pairs_of(host)
+        return sum(p not in self.pairs for p in pairs) / len(pairs) if pairs else 0.0
+
+    @staticmethod
+    def suffixes(host: str) -> list[str]:
         labels = [x for x in host.split(".") if x]
-        suffixes = [".".join(labels[-k:]) for k in range(1, min(3, len(labels)) + 1)]
-        words = [w for x in labels[:-1] for w in re.split(r"[^a-z]+", x) if w not in ("", "www", "m", "blog", "example")]
-        ends = [e for w in words for k in ENDINGS if len(w) >= k for e in (f"^{w[:k]}", f"{w[-k:]}$")]
-        return [f".{x}" for x in suffixes], words, ends
+        return ["." + ".".join(labels[-k:]) for k in range(1, min(3, len(labels)) + 1)]
+
+    @staticmethod
+    def names(host: str) -> list[str]:
+        return [w for x in host.split(".")[:-1] for w in re.split(r"[^a-z]+", x) if w not in ("", "www", "m", "blog", "example")]
+
+    def parts(self, host: str) -> list[str]:
+        return [w for name in self.names(host) for w in cover(name[:64], self.words)]
 
     @classmethod
     def count(cls, hosts: list[str], blocked: np.ndarray, weight: float = 3.0) -> tuple[Suffixes, list[Suffixes]]:
         """The table of all hosts, and for each the table that leaves that host's own URLs out."""
         base, n, b = float(blocked.mean()), Counter(), Counter()
+        seen = Counter(w for host in set(hosts) for w in set(cls.names(host)) if len(w) > 2)
+        whole = cls({}, base, frozenset(w for w, k in seen.items() if k >= SUPPORT))
+        allowed = {host for host, y in zip(hosts, blocked) if not y}
+        met = Counter(p for host in allowed for p in set(cls.pairs_of(host)))
+        whole.pairs = frozenset(p for p, k in met.items() if k >= SUPPORT)
+        rare = {p for p, k in met.items() if k == SUPPORT}
+        without = {host: whole.pairs - (rare & set(cls.pairs_of(host))) if host in allowed else whole.pairs for host in set(hosts)}
         own: dict[str, tuple[Counter, Counter]] = {}
-        keys = {host: {k for part in cls.parts(host) for k in part} for host in set(hosts)}
+        keys = {host: set(cls.suffixes(host)) | (set(whole.parts(host)) & whole.words) for host in set(hosts)}
         for host, y in zip(hosts, blocked):
             on, ob = own.setdefault(host, (Counter(), Counter()))
             for key in keys[host]:
@@ -142,15 +193,15 @@ class Suffixes:
                 on[key] += 1
                 ob[key] += y
         share = lambda b, n: (b + weight * base) / (n + weight)
-        whole = cls({k: share(b[k], n[k]) for k in n}, base)
-        rest = {host: cls({k: share(b[k] - own[host][1][k], n[k] - own[host][0][k]) for k in keys[host] if n[k] > own[host][0][k]}, base) for host in own}
+        whole.rate = {k: share(b[k], n[k]) for k in n}
+        rest = {host: cls({k: share(b[k] - own[host][1][k], n[k] - own[host][0][k]) for k in keys[host] if n[k] > own[host][0][k]}, base, whole.words, without[host]) for host in own}
         return whole, [rest[host] for host in hosts]
 
     def of(self, host: str) -> tuple[float, float, float]:
-        suffixes, words, ends = self.parts(host)
-        known = [self.rate[s] for s in suffixes if s in self.rate]
-        furthest = lambda keys: max((self.rate[k] for k in keys if k in self.rate), key=lambda r: abs(r - self.base), default=self.base)
-        return (known[-1] if known else self.base), furthest(words), furthest(ends)
+        """The longest known suffix's share, and of the words' shares the highest and the mean."""
+        known = [self.rate[s] for s in self.suffixes(host) if s in self.rate]
+        words = [self.rate.get(w, self.base) for w in self.parts(host)] or [self.base]
+        return (known[-1] if known else self.base), max(words), sum(words) / len(words)
 
 
 def features(url: str | None, suffixes: Suffixes) -> list[float]:
@@ -158,10 +209,9 @@ def features(url: str | None, suffixes: Suffixes) -> list[float]:
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
     share = lambda t: sum(c.isdigit() for c in t) / max(1, len(t))
-    runs = re.findall(r"[bcdfghjklmnpqrstvwxz0-9]+", host)
     return [
         len(url), len(host), host.count(".") + 1 if host else 0, sum(map(bool, path.split("/"))), len(path), share(path + query), share(host), entropy(url), entropy(host),
-        len([p for p in query.split("&") if p]), len(query), *suffixes.of(host), max(map(len, runs), default=0),
+        len([p for p in query.split("&") if p]), len(query), *suffixes.of(host), suffixes.odd(host),
     ]
 
 

@@ -264,12 +264,34 @@ def test_url_trees_on_hosts_they_have_not_seen():
     whole = np.mean((model.score(x) >= 0.5) == y)
     used = {url_filter.NAMES[n[0]] for tree in model.trees for n in tree if n[0] >= 0}
     assert whole > 0.96 and used >= {"length", "depth", "digits", "entropy", "parameters", "suffix_rate"}
-    shape = [url_filter.NAMES.index(n) for n in ("length", "depth", "path_length", "digits", "entropy", "parameters", "query_length", "longest_consonants", "host_entropy", "host_digits")]
+    shape = [url_filter.NAMES.index(n) for n in ("length", "depth", "path_length", "digits", "entropy", "parameters", "query_length", "odd_pairs", "host_entropy", "host_digits")]
     flat = x.copy()
     flat[:, shape] = np.median(x[~y][:, shape], axis=0)
     assert whole - np.mean((model.score(flat) >= 0.5) == y) > 0.03  # suffixes alone do not decide
 
 
+def test_url_words_are_whole_words():
+    model = url_filter.default_model()
+    score = lambda urls: model.score(np.array([url_filter.features(u, model.suffixes) for u in urls], float))
+    # Public sites; the names of the first ones begin with letters of words to block.
+    good = """https://www.winter-sports.de/ http://seoul.go.kr/main https://hackney.gov.uk/ https://www.winnipeg.ca/parks https://freedom.org/history https://adultlearning.org/ https://www.credit-suisse.com/
+    https://en.wikipedia.org/wiki/Betting https://docs.python.org/3/library/re.html https://www.bbc.co.uk/news/world-12345 https://stackoverflow.com/questions/11227809/why https://github.com/apache/spark
+    https://www.lemonde.fr/planete/article/2020/01/ https://www.nature.com/articles/s41586""".split()
+    bad = "https://casinobonus.com/ http://cheap-viagra-pills.biz/buy http://xxxporn.net/ http://payday-loans24.top/ http://warezkeygen.click/a http://onlinecasino777.com/".split()
+    assert (score(good) < 0.5).all() and (score(bad) >= 0.5).all()
+    words = {"win", "hack", "casino", "bonus", "sex", "pills", "poker"}
+    of = lambda name: url_filter.cover(name, words)
+    assert of("casinobonus") == ["casino", "bonus"] and of("winter") == ["winter"] and of("hackney") == ["hackney"] and of("spills") == ["spills"] and of("mypoker") == ["my", "poker"] and of("") == [""]
+
+
+def test_url_shares_leave_the_own_host_out():
+    hosts = [f"{w}-{i}.com" for i in range(4) for w in ("alpha", "omega")] + ["alpha.org"]
+    blocked = np.array([1, 0] * 4 + [0], float)
+    whole, rest = url_filter.Suffixes.count(hosts, blocked)
+    assert whole.words == {"alpha", "omega"} and whole.rate["alpha"] == (4 + 3 * whole.base) / 8 and rest[0].rate["alpha"] == (3 + 3 * whole.base) / 7
+    assert rest[8].rate["alpha"] == (4 + 3 * whole.base) / 7 and ".org" not in rest[8].rate and ".org" in whole.rate
+
+
 def test_url_edges(spark):
     df = spark.createDataFrame([(1, "http://a.test/x", "z"), (1, "http://a.test/x", "z"), (None, None, None)], "page_id long, url string, host string")
     got = url_filter.judge(df).collect()
