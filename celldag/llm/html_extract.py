@@ -8,6 +8,10 @@ trained here on the small labelled table of kinds of block below.  It is grown o
 that these leave mixed is split further by the surroundings, as a one-word paragraph and an
 advert's sentence have the counts of a menu entry and of an article's sentence.
 
+A name tells of an advert or the like only if all its parts do or say nothing: "comment-list" does, "category-comment" and
+"related-work" don't.  What stands around the whole page says nothing either: a form with menus, articles or most of the page's
+paragraphs in it isn't a form to fill in, and a main part, or the first article of a page, begins anew.
+
 The scanner reads a page once: a stray end tag is told by a count of open elements, and from the first
 quote on that is never closed, tags end at the next > whatever quotes say.
 """
@@ -30,33 +34,55 @@ from celldag.llm.common import slices, texts_of
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 PLAIN = re.compile(r"[^'\">]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-MAY_NEST = re.compile(r"<(?:noscript|template|svg|object|math)\b", re.I)
+MAY_NEST = re.compile(r"<(?:noscript|template|svg|object)\b", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
+PARTS = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
 
 #: Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "iframe"}
 #: Skipped too, but they nest, and one that is never closed does not run to the page's end.
-NESTED = {"noscript", "template", "svg", "object", "math"}
+NESTED = {"noscript", "template", "svg", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace"}
 #: Any of these ends an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Any of these ends an element of NESTED that is never closed.
 ENDS_NESTED = ENDS_P | {"body", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
-FURNITURE = {"nav", "menu", "header", "footer", "aside", "form", "button", "select", "dialog", "head"}
-#: Words in class, id or role names, cut at other signs than letters.
+FURNITURE = {"nav", "menu", "header", "footer", "aside", "button", "select", "dialog", "head"}
+#: Parts of class, id or role names, cut at other signs than letters and before capitals.
 HINTS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal",
     "comment", "comments", "disqus", "respond", "replies", "sidebar", "widget", "related", "recommended", "share", "social", "newsletter", "subscribe", "signup", "login", "search", "nav", "navbar", "navigation",
     "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead", "complementary", "contentinfo", "dialog", "toolbar", "copyright", "legal", "disclaimer", "tags", "toc",
 }
+#: Parts that say nothing beside one of HINTS.
+PLAIN_PARTS = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "center", "col", "column", "container", "content", "element", "entry", "field", "form", "global", "group", "header",
+    "inner", "input", "item", "items", "js", "label", "layer", "left", "link", "links", "list", "main", "meta", "mobile", "module", "outer", "overlay", "page", "panel", "post", "posts", "primary", "region", "reply",
+    "right", "row", "secondary", "section", "site", "slot", "small", "story", "stories", "sub", "text", "thread", "title", "top", "unit", "user", "wrap", "wrapper", "x", "zone",
+}
 BODY = {"article", "main"}
+#: A form around any of these holds the page.
+PAGE_PARTS = {"article", "main", "nav", "header", "footer", "aside", "h1"}
 BODY_HINTS = {"article", "content", "main", "post", "entry", "story", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+@dataclass
+class Form:
+    """A form that is open or was: does it hold parts of the page, and how many paragraphs and words."""
+
+    page_parts: bool = False
+    paragraphs: int = 0
+    words: int = 0
+
+    def holds_page(self, words: int) -> bool:
+        return self.page_parts or self.paragraphs > 1 and 2 * self.words > words
+
+
 @dataclass
 class Block:
     text: str
@@ -66,6 +92,7 @@ class Block:
     in_body: bool
     in_furniture: bool
     hinted: bool
+    form: Form | None = None
 
     @property
     def link_density(self) -> float:
@@ -79,6 +106,18 @@ class _Open:
     in_furniture: bool
     hinted: bool
     link: int
+    form: Form | None = None
+
+
+def telling(attributes: str) -> tuple[bool, bool]:
+    """Do class, id and role names tell of the page's body, and of adverts, notices, comments and the like."""
+    body = hinted = False
+    for found in NAMES.findall(attributes):
+        for name in "".join(found).split():
+            parts = {x.lower() for x in PARTS.findall(name)}
+            body |= bool(parts & BODY_HINTS)
+            hinted |= bool(parts & HINTS) and parts <= HINTS | PLAIN_PARTS
+    return body, hinted
 
 
 @dataclass
@@ -163,6 +202,7 @@ class Flattener:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     opened: Counter = field(default_factory=Counter)
+    begun: bool = False  # an article, or text of the page's body, was met
 
     def cut(self, at: int) -> None:
         """Close all elements from this place of the stack on."""
@@ -176,7 +216,12 @@ class Flattener:
         if text:
             top = self.stack[-1]
             tag = next((o.tag for o in reversed(self.stack) if o.tag not in INLINE), "")
-            self.blocks.append(Block(text, max(1, len(WORD.findall(text))), self.linked, tag, top.in_body, top.in_furniture, top.hinted))
+            block = Block(text, max(1, len(WORD.findall(text))), self.linked, tag, top.in_body, top.in_furniture, top.hinted, top.form)
+            self.blocks.append(block)
+            self.begun |= top.in_body and not (top.in_furniture or top.hinted)
+            if top.form:
+                top.form.words += block.words
+                top.form.paragraphs += tag == "p" and not block.linked
         self.pieces, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -225,13 +270,20 @@ class Flattener:
             return
         top = self.stack[-1]
         told = "=" in attributes and tag not in ("html", "body")  # names there speak of the whole page
-        names = {w for m in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(m).lower())} if told else set()
-        body = tag in BODY or bool(names & BODY_HINTS)
+        body, hinted = telling(attributes) if told else (False, False)
+        body |= tag in BODY
+        form = top.form
+        if form and tag in PAGE_PARTS:
+            form.page_parts = True
+        if tag == "form":
+            form = Form()
+        anew = tag == "main" or tag == "article" and not self.begun
+        self.begun |= tag in BODY
         own_title = tag == "header" and top.in_body
         furniture = (tag in FURNITURE or tag in NESTED) and not own_title
         self.opened[tag] += 1
         self.opened["nested"] += tag in NESTED
-        self.stack.append(_Open(tag, top.in_body or body, top.in_furniture or furniture, top.hinted or bool(names & HINTS) and not own_title, top.link + (tag == "a")))
+        self.stack.append(_Open(tag, top.in_body or body, top.in_furniture or furniture, (top.hinted and not anew) or hinted and not own_title and tag != "main", top.link + (tag == "a"), form))
 
     def run(self, page: str) -> list[Block]:
         ends = nested_ends(page) if MAY_NEST.search(page) else {}
@@ -251,6 +303,9 @@ class Flattener:
                 self.open(t.tag, t.attributes)
         self.text(page[at:])
         self.flush()
+        words = sum(b.words for b in self.blocks)
+        for b in self.blocks:
+            b.in_furniture |= b.form is not None and not b.form.holds_page(words)
         return self.blocks
 
 
@@ -278,14 +333,14 @@ KINDS = {
     "aside heading": (1, 5, 0.0, 0.0, 0, 1, 0, 1, 0, 0), "aside text": (4, 60, 0.0, 0.4, 0, 1, 0, 0, 0, 0), "aside link": (2, 9, 1.0, 1.0, 0, 1, 0, 0, 1, 0), "form": (1, 12, 0.0, 0.1, 0, 1, 0, 0, 0, 0),
     "footer": (3, 40, 0.0, 0.4, 0, 1, 0, 0, 0, 0), "footer link": (1, 3, 1.0, 1.0, 0, 1, 0, 0, 1, 0),
     "bare menu": (1, 5, 1.0, 1.0, 0, 0, 0, 0, 1, 0), "bare link": (1, 7, 0.7, 1.0, 0, 0, 0, 0, 0, 0), "bare title": (2, 14, 0.0, 0.0, 0, 0, 0, 1, 0, 1), "bare paragraph": (10, 160, 0.0, 0.3, 0, 0, 0, 0, 0, 1), "bare item": (6, 30, 0.0, 0.2, 0, 0, 0, 0, 1, 1),
-    "bare footer": (2, 9, 0.0, 0.6, 0, 0, 0, 0, 0, 0),
+    "bare short paragraph": (1, 9, 0.0, 0.7, 0, 0, 0, 0, 0, 1), "bare footer": (2, 9, 0.0, 0.6, 0, 0, 0, 0, 0, 0),
 }
 BODY_PARTS = ("paragraph", "paragraph", "paragraph", "short paragraph", "subheading", "list item", "list item", "linked paragraph", "linked item")
 #: What a page is made of, in order: kinds (one is taken for each block) and how many blocks at least and at most.
 LAYOUTS = [
     [(("site title",), 0, 1), (("tagline",), 0, 1), (("menu", "named menu"), 0, 7), (("breadcrumb",), 0, 1), (("notice", "notice form"), 0, 2), (("title",), 0, 1), (BODY_PARTS, 1, 6), (("advert inside", "aside inside", "form inside"), 0, 1), (BODY_PARTS, 0, 5),
      (("share links",), 0, 3), (("comment heading",), 0, 1), (("comment", "comment inside"), 0, 4), (("advert",), 0, 1), (("aside heading",), 0, 1), (("aside text", "aside link"), 0, 5), (("form",), 0, 2), (("footer link",), 0, 4), (("footer",), 0, 2)],
-    [(("bare menu", "bare link"), 0, 6), (("bare title",), 0, 1), (("bare paragraph", "bare item"), 1, 8), (("advert", "notice"), 0, 1), (("bare paragraph",), 0, 4), (("bare link",), 0, 3), (("bare footer",), 0, 1)],
+    [(("bare menu", "bare link"), 0, 6), (("bare title",), 0, 1), (("bare paragraph", "bare paragraph", "bare item"), 1, 4), (("bare short paragraph",), 0, 1), (("bare paragraph", "bare item"), 1, 4), (("advert", "notice"), 0, 1), (("bare paragraph",), 0, 4), (("bare link",), 0, 3), (("bare footer",), 0, 1)],
 ]
 
 
