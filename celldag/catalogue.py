@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from celldag.queries import builds, concepts, curation, dag, records, regions, relational
+from celldag.queries import builds, concepts, curation, dag, recipes, records, regions, relational
 
-QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES, **regions.QUERIES, **curation.QUERIES, **records.QUERIES, **concepts.QUERIES}
-ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES, **regions.ORACLES, **curation.ORACLES, **records.ORACLES, **concepts.ORACLES}
+QUERIES: dict = {**dag.QUERIES, **relational.QUERIES, **builds.QUERIES, **regions.QUERIES, **curation.QUERIES, **records.QUERIES, **concepts.QUERIES, **recipes.QUERIES}
+ORACLES: dict[str, str] = {**dag.ORACLES, **relational.ORACLES, **builds.ORACLES, **regions.ORACLES, **curation.ORACLES, **records.ORACLES, **concepts.ORACLES, **recipes.ORACLES}

@@ -12,9 +12,9 @@ def test_query_matches_sql(name, spark, sf_dir):
 
 
 def test_each_query_has_a_name_of_its_own():
-    from celldag.queries import builds, concepts, curation, dag, records, regions, relational
+    from celldag.queries import builds, concepts, curation, dag, recipes, records, regions, relational
 
-    assert len(QUERIES) == sum(len(m.QUERIES) for m in (builds, concepts, curation, dag, records, regions, relational))
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in (builds, concepts, curation, dag, recipes, records, regions, relational))
     assert set(ORACLES) <= set(QUERIES)
 
 
