@@ -146,8 +146,8 @@ def time_of_day(text: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """16 hex digits of the SHA-256 of the parts joined by |."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+    """16 hex digits of the SHA-256 of the parts as a JSON array, so that neither nulls nor separators in them make two lists of parts equal."""
+    return F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, 16)
 
 
 #: First bytes of known containers, in hex.

@@ -52,11 +52,3 @@ def survey_labels(observations: DataFrame, samples: int = 3) -> DataFrame:
     first = values.groupBy("norm").agg(F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("samples"))
     kind = F.when(F.col("n_auto") == F.col("n"), "known").when(F.col("top").isNull(), "unknown").otherwise("ambiguous")
     return per.join(first, "norm", "left").withColumn("kind", kind)
-
-
-def proposal(mappings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per concept: sources (approved), reviews, units and a note where units differ.  mappings: node, concept, status; nodes: node, unit."""
-    joined = mappings.join(nodes.select("node", "unit"), "node")
-    approved = F.col("status").isin("AUTO_APPROVED", "APPROVED")
-    out = joined.groupBy("concept").agg(F.count_if(approved).alias("sources"), F.count_if(F.col("status") == "REVIEW_REQUIRED").alias("reviews"), F.array_sort(F.collect_set(F.when(approved, F.col("unit")))).alias("units"))
-    return out.withColumn("note", F.when(F.size("units") > 1, F.concat(F.lit("units differ: "), F.array_join("units", ", "))))

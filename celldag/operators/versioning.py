@@ -65,18 +65,3 @@ def effective_mappings(template: DataFrame, overrides: DataFrame) -> DataFrame:
     """Template mappings (template, sheet, key, source), each replaced by its latest override of status APPROVED or CONFLICT."""
     ranked = overrides.where(F.col("status").isin("APPROVED", "CONFLICT")).groupBy("template", "sheet", "key").agg(F.max_by("source", F.struct("updated_at", "override_id")).alias("o"))
     return template.join(ranked, ["template", "sheet", "key"], "left").select("template", "sheet", "key", F.coalesce("o", "source").alias("source"), F.col("o").isNotNull().alias("overridden"))
-
-
-def apply_recipe(keys: DataFrame, exact: DataFrame, relaxed: DataFrame) -> DataFrame:
-    """(node, concept, confidence, status): exact keys first (human 1.0, else 0.9, dissent only for review), then relaxed keys that are unique, for review.
-
-    keys: node, exact_key, relaxed_key.  exact: exact_key, concept, human, support, total.  relaxed: relaxed_key, concept.
-    """
-    first = keys.join(exact, "exact_key", "left")
-    unique = relaxed.groupBy("relaxed_key").agg(F.count_distinct("concept").alias("n"), F.min("concept").alias("r")).where("n = 1").drop("n")
-    both = first.join(unique, "relaxed_key", "left")
-    dissent = F.col("support") < F.col("total")
-    hit = F.col("concept").isNotNull()
-    confidence = F.when(hit & dissent, F.col("support") / F.col("total")).when(hit & F.col("human"), 1.0).when(hit, 0.9).otherwise(0.6)
-    status = F.when(hit & ~dissent, "AUTO_APPROVED").otherwise("REVIEW_REQUIRED")
-    return both.where(hit | F.col("r").isNotNull()).select("node", F.coalesce("concept", "r").alias("concept"), confidence.alias("confidence"), status.alias("status"))

@@ -180,12 +180,15 @@ def graph_descendants(spark, sf_dir):
     return graph.descendants(_edges(spark, sf_dir), read(spark, sf_dir, "region").selectExpr("cast(r_regionkey as bigint) node"), 3)
 
 
-@register("SELECT CAST(r_regionkey AS BIGINT) AS child, 1000 + CAST(n_nationkey AS BIGINT) AS parent, n_regionkey = r_regionkey AS cycle FROM region, nation WHERE n_nationkey < 10")
+@register("""
+SELECT CAST(c_custkey % 5 AS BIGINT) AS child, 1000000 + CAST(c_custkey AS BIGINT) AS parent, n_regionkey = c_custkey % 5 AS cycle FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT CAST(n_nationkey % 5 AS BIGINT), 1000 + CAST(n_nationkey AS BIGINT), n_regionkey = n_nationkey % 5 FROM nation
+""")
 def graph_cycle(spark, sf_dir):
-    """Would an edge from a region up to a nation close a cycle?"""
-    nations = read(spark, sf_dir, "nation").where("n_nationkey < 10").selectExpr("cast(1000 + n_nationkey as bigint) parent")
-    proposed = read(spark, sf_dir, "region").selectExpr("cast(r_regionkey as bigint) child").crossJoin(F.broadcast(nations))  # 5 x 10 rows, fixed
-    return graph.would_cycle(_edges(spark, sf_dir), proposed, 4)
+    """Would an edge from a region up to each customer and nation close a cycle?"""
+    customers = read(spark, sf_dir, "customer").selectExpr("cast(c_custkey % 5 as bigint) child", "cast(1000000 + c_custkey as bigint) parent")
+    nations = read(spark, sf_dir, "nation").selectExpr("cast(n_nationkey % 5 as bigint) child", "cast(1000 + n_nationkey as bigint) parent")
+    return graph.would_cycle(_edges(spark, sf_dir), customers.unionByName(nations), 4)
 
 
 @register(f"SELECT node, direction, count(*) AS n FROM (SELECT child AS node, 'up' AS direction FROM ({_EDGES}) UNION ALL SELECT parent, 'down' FROM ({_EDGES})) GROUP BY ALL")
@@ -242,7 +245,7 @@ def pivot_long_wide(spark, sf_dir):
     return relational.pivot(read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.lit(1).alias("n")), ["o_custkey"], "o_orderstatus", "n", ["F", "O"])
 
 
-@register("SELECT p_partkey, substr(sha256(concat_ws('|', p_type, p_name, CAST(p_size AS VARCHAR))), 1, 16) AS id FROM part")
+@register("SELECT p_partkey, substr(sha256(CAST(to_json([p_type, p_name, CAST(p_size AS VARCHAR)]) AS VARCHAR)), 1, 16) AS id FROM part")
 def build_fingerprints(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", cells.stable_id(F.col("p_type"), F.col("p_name"), F.col("p_size").cast("string")).alias("id"))
 

@@ -19,10 +19,7 @@ def test_audit_and_status(spark):
     assert {r["run"]: r["status"] for r in templates.run_status(runs).collect()} == {1: "SUCCESS", 2: "FAILED", 3: "REVIEW_REQUIRED"}
 
 
-def test_survey_and_proposal(spark):
+def test_survey(spark):
     seen = spark.createDataFrame([("Temp", "℃", "1", "AUTO_APPROVED", "t", 0.9), ("temp.", "K", "2", "AUTO_APPROVED", "t", 0.9), ("x", None, None, "UNMAPPED", None, None), ("y", None, "5", "REVIEW_REQUIRED", "t", 0.4)], "label string, unit string, value string, status string, candidate string, score double")
     got = {r["norm"]: (r["n"], r["kind"], r["units"], r["samples"]) for r in templates.survey_labels(seen).collect()}
     assert got == {"temp": (2, "known", ["K", "℃"], ["1", "2"]), "x": (1, "unknown", [], None), "y": (1, "ambiguous", [], ["5"])}
-    m = spark.createDataFrame([("n1", "t", "APPROVED"), ("n2", "t", "AUTO_APPROVED"), ("n3", "t", "REVIEW_REQUIRED")], "node string, concept string, status string")
-    n = spark.createDataFrame([("n1", "K"), ("n2", "℃"), ("n3", "kg")], "node string, unit string")
-    assert [(r["sources"], r["reviews"], r["note"]) for r in templates.proposal(m, n).collect()] == [(2, 1, "units differ: K, ℃")]
