@@ -9,6 +9,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["region_adjacent_pairs"])
+@pytest.mark.parametrize("name", ["region_adjacent_pairs", "region_caption_groups", "region_forced_headers", "region_trailing_labels"])
 def test_cells_are_not_broadcast(name, spark, sf_dir):
     assert "BroadcastExchange" not in plan_of(QUERIES[name](spark, sf_dir))
