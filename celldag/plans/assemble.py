@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from celldag.frame import LINEAGE, META, LFrame, ln
 from celldag.functions.cells import CELL
 
+ROWS_A_TASK = 250_000
+
 
 def row_base_key() -> F.Column:
     """The row key, or @r and the digits of the cell's address, or @r and the row's index."""
@@ -23,7 +25,9 @@ def keyed_cells(selection: DataFrame, values: DataFrame) -> DataFrame:
     row_idx, row_key, value_num, value_text, cell_address.  A key that comes again in a region's
     column gets #1, #2 and so on.
     """
-    cells = selection.join(values, "payload_id").withColumn("base", row_base_key())
+    # All that follows is by region, whose rows are one frame: laid out once, they need no further shuffle.  More rows make more tasks, not larger ones.
+    parts = max(1, -(-values.count() // ROWS_A_TASK))
+    cells = selection.join(values, "payload_id").repartition(parts, "region").withColumn("base", row_base_key())
     seen = Window.partitionBy("region", "field", "base").orderBy("node_id", "row_idx", "payload_id")
     cells = cells.withColumn("n", F.row_number().over(seen) - 1)
     key = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("#", "base", F.col("n").cast("string")))
@@ -46,12 +50,14 @@ def scope_broadcast(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows whose key is base@x get the columns they lack from the region's rows of key base (or base#n); those rows then go."""
     scope = F.when(F.contains("key", F.lit("@")), F.substring_index("key", "@", 1))
     label = F.when(~F.contains("key", F.lit("@")), F.substring_index("key", "#", 1))
-    marked = rows.withColumns({"__scope": scope, "__label": label})
-    scopes = marked.where("__scope is not null").select("region", F.col("__scope").alias("__label")).distinct()
-    of_label = marked.where("__label is not null").groupBy("region", F.col("__label").alias("__scope")).agg(*[F.expr(f"min_by(`{f}`, pos) FILTER (WHERE `{f}` IS NOT NULL)").alias(f"__of_{f}") for f in fields])
-    kept = marked.join(scopes, ["region", "__label"], "left_anti").select("region", "key", "pos", "__scope", *fields)
-    filled = kept.join(of_label, ["region", "__scope"], "left")
-    return filled.select("region", "key", "pos", *[F.coalesce(f, f"__of_{f}").alias(f) for f in fields])
+    marked = rows.withColumns({"__scope": scope, "__label": label}).withColumn("__meet", F.coalesce("__scope", "__label"))
+    # Both kinds of rows meet in a window, which needs no shuffle where rows lie by region already.
+    both = Window.partitionBy("region", "__meet")
+    told = {f"__of_{f}": F.min_by(F.col(f"`{f}`"), F.when(F.col("__label").isNotNull() & F.col(f"`{f}`").isNotNull(), F.col("pos"))).over(both) for f in fields}
+    met = marked.withColumns({"__scoped": F.max(F.col("__scope").isNotNull()).over(both), **told})
+    kept = met.where(F.col("__scope").isNotNull() | ~F.col("__scoped") | F.col("region").isNull())
+    of_label = lambda f: F.when(F.col("__scope").isNotNull() & F.col("region").isNotNull(), F.col(f"`__of_{f}`"))
+    return kept.select("region", "key", "pos", *[F.coalesce(F.col(f"`{f}`"), of_label(f)).alias(f) for f in fields])
 
 
 def assemble(selection: DataFrame, values: DataFrame, fields: list[str], regions: DataFrame | None = None) -> LFrame:
