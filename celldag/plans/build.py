@@ -6,10 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from celldag.frame import LFrame, ln
 from celldag.functions.cells import is_cell, kind_of, text_of
 from celldag.plans.project import NAME
+from celldag.session import stored
 
 SOURCES = {"_source_document_id": "document_id", "_source_version_id": "version_id", "_source_sheet": "sheet", "_source_locator": "locator"}
 
@@ -18,10 +20,15 @@ def row_ids(df: DataFrame, order: list[str]) -> DataFrame:
     """`_row_id` 1..n in a total order without bringing all rows to one task.
 
     Rows are range-partitioned and sorted; each partition's count gives the next one's offset.  The
-    sorted rows are kept (memory, then disk), as counting and numbering both read them.
+    sorted rows are stored as Parquet, as counting and numbering both read them.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).persist()
+    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # Under numbers for names, as names may differ by case only; columns of nulls alone have no Parquet type.
+    held = [(i, f) for i, f in enumerate(inside.schema) if not isinstance(f.dataType, NullType)]
+    kept = stored(inside.toDF(*[f"c{i}" for i in range(len(inside.columns))]).select(*[f"c{i}" for i, _ in held]))
+    known = {i for i, _ in held}
+    inside = kept.select(*[F.col(f"c{i}").alias(c) if i in known else F.lit(None).alias(c) for i, c in enumerate(inside.columns)])
     counts = inside.groupBy("__part").agg(F.max("__n").alias("__c"))
     offset = counts.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__o"))  # one row per partition
     return inside.join(F.broadcast(offset), "__part").withColumn("_row_id", (F.col("__n") + F.col("__o")).cast("bigint")).drop("__part", "__n", "__o")
