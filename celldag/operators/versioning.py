@@ -33,16 +33,20 @@ def scd2(current: DataFrame, incoming: DataFrame, key: str, columns: list[str],
     rows whose key doesn't come again are closed; unchanged ones and history stay.
     """
     history = current.where("not is_current")
-    now = current.where("is_current")
-    digest = lambda: F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    old = now.withColumn("__h", digest())
-    new = incoming.select(key, *columns).withColumn("__g", digest())
-    met = old.join(new.select(key, "__g"), key, "left")
-    same = F.col("__h").eqNullSafe(F.col("__g"))
-    kept = met.select(key, *columns, "valid_from", F.when(same, F.col("valid_to")).otherwise(at).alias("valid_to"), same.alias("is_current"))
-    opened = new.join(old.select(key, "__h"), key, "left").where(~F.col("__h").eqNullSafe(F.col("__g")))
-    opened = opened.select(key, *columns, at.alias("valid_from"), F.lit(None).cast(current.schema["valid_to"].dataType).alias("valid_to"), F.lit(True).alias("is_current"))
-    return history.select(*kept.columns).unionByName(kept).unionByName(opened)
+    to = current.schema["valid_to"].dataType
+    plain = lambda c: F.to_json(c) if "map<" in current.schema[c.split(".")[1]].dataType.simpleString() else F.col(c)  # noqa: E731  maps can't be compared
+    old = current.where("is_current").select(key, F.struct(*columns).alias("__o"), "valid_from", "valid_to")
+    new = incoming.select(key, F.struct(*columns).alias("__n"))
+    # Both sides meet once: a pair tells what closes and what opens.
+    met = old.join(new, key, "full")
+    equal = F.col("__o").isNotNull() & F.col("__n").isNotNull()
+    for c in columns:
+        equal = equal & plain(f"__o.{c}").eqNullSafe(plain(f"__n.{c}"))
+    row = lambda side, since, until, now: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in columns], since.alias("valid_from"), until.alias("valid_to"), now.alias("is_current"))
+    kept = F.when(F.col("__o").isNotNull(), row("__o", F.col("valid_from"), F.when(equal, F.col("valid_to")).otherwise(at), equal))
+    opened = F.when(F.col("__n").isNotNull() & ~equal, row("__n", at, F.lit(None).cast(to), F.lit(True)))
+    out = met.select(key, F.explode(F.array_compact(F.array(kept, opened))).alias("__r")).select(key, "__r.*")
+    return history.select(*out.columns).unionByName(out)
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

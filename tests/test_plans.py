@@ -31,3 +31,8 @@ def test_scopes_of_null_regions_do_not_meet(spark):
     rows = spark.createDataFrame([(None, "a", 1, None, "x"), (None, "a@1", 2, 5.0, None), ("r", "a", 1, None, "y"), ("r", "a@1", 2, 6.0, None), ("r", None, 3, 7.0, None)], "region string, key string, pos int, qty double, label string")
     found = assemble.scope_broadcast(rows.withColumn("pos", F.struct("pos")), ["qty", "label"]).select("region", "key", "qty", "label").collect()
     assert {tuple(r) for r in found} == {(None, "a", None, "x"), (None, "a@1", 5.0, None), ("r", "a@1", 6.0, "y"), ("r", None, 7.0, None)}
+
+
+def test_old_and_new_records_meet_once(spark, sf_dir):
+    plan = plan_of(QUERIES["scd2_close_insert"](spark, sf_dir))
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan and "sha2" not in plan
