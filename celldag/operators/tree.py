@@ -2,7 +2,7 @@
 
 fields: document, sheet, block, title (the block's), region, region_type, pos, row, label, path (header texts, array), row_key, value (struct of num and text), unit.
 A node's id is a hash of what it is called from the document down, never of where it stands: blocks go by title, tables by kind and headers, both with the number of those
-before that are called alike.  All levels come from the same two windows, so no level waits for the one above.
+before that are called alike.  A table's headers are looked at together in one array; values are only ever grouped within their document.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from celldag.functions.cells import fmt_num
-from celldag.operators.relational import mode_first, representatives
 from celldag.operators.versioning import semantic_fingerprint
 
 SAMPLES = 4  # values that stand for a header's
@@ -23,62 +22,80 @@ def node_id(*parts: Column) -> Column:
     return F.substring(semantic_fingerprint(*parts), 1, 16)
 
 
-def tables(fields: DataFrame) -> DataFrame:
-    """(document, sheet, block, region, title, kind, block_no, table_no): every table with the numbers of blocks and tables before it that are called alike."""
-    heads = F.array_sort(F.collect_set(F.struct("path", "label")))
-    regions = fields.groupBy("document", "sheet", "block", "region").agg(F.first(F.when(F.col("title") != "", F.col("title"))).alias("t"), F.first("region_type").alias("region_type"), heads.alias("heads"))
-    # The headers without units and places: a table is the same one when rows are added or a unit is mended.
-    named = regions.select("document", "sheet", "block", "region", F.coalesce("t", "sheet").alias("title"), F.concat_ws(":", "region_type", F.substring(F.sha2(F.to_json("heads"), 256), 1, 10)).alias("kind"))
-    blocks = named.groupBy("document", "sheet", "block").agg(F.first("title").alias("title"))
-    number = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    numbered = blocks.withColumn("block_no", number(["document", "sheet", "title"], "block")).select("document", "sheet", "block", "block_no")
-    return named.withColumn("table_no", number(["document", "sheet", "block", "kind"], "region")).join(numbered, ["document", "sheet", "block"])
-
+def headers(fields: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(*also, document, sheet, block, region, path, label, t, region_type, raws, data_type, unit, samples, payload): one row per header; payload is a hash that doesn't depend on the rows' order.
 
-def headers(fields: DataFrame) -> DataFrame:
-    """(document, sheet, block, region, path, label, data_type, unit, samples, payload): one row per header, by grouping; payload is a hash that doesn't depend on the rows' order."""
-    keys = ["document", "sheet", "block", "region", "path", "label"]
+    raws: the paths as given, which are empty where the label stands alone.  Each step groups or numbers what the one before it did, so rows that lie by document already are never shuffled again.
+    """
+    keys = [*also, "document", "sheet", "block", "region", "path", "label"]
     shown = F.coalesce("value.text", fmt_num(F.col("value.num")))
-    given = fields.withColumns({"path": F.when(F.size("path") > 0, F.col("path")).otherwise(F.array("label")), "shown": shown, "unit": F.when(F.col("unit") != "", F.col("unit"))})
+    given = fields.withColumns({"raw": F.struct("path"), "path": F.when(F.size("path") > 0, F.col("path")).otherwise(F.array("label")), "shown": shown, "unit": F.when(F.col("unit") != "", F.col("unit"))})
     row = F.xxhash64(F.to_json(F.struct("row_key", "value")))
-    nums, texts = F.count("value.num"), F.count(F.when(F.col("value.num").isNull(), F.col("value.text")))
-    kind = F.when(nums + texts == 0, "empty").when(nums >= (nums + texts) * MOSTLY, "numeric").when(texts >= (nums + texts) * MOSTLY, "text").otherwise("mixed")
     # Sums of hashes can be kept per part of a table and added, so that a change needs the changed rows only.
-    total = F.concat_ws("|", F.count("shown").cast("string"), F.coalesce(F.sum(F.when(F.col("shown").isNotNull(), row).cast("decimal(38,0)")), F.lit(0)).cast("string"))
-    per = given.groupBy(*keys).agg(kind.alias("data_type"), total.alias("payload"))
-    units = mode_first(given, keys, "unit", F.col("pos")).select(*keys, "unit")
-    samples = representatives(given, keys, "shown", F.struct("row", "pos"), SAMPLES).select(*keys, F.col("values").alias("samples"))
-    return per.join(units, keys, "left").join(samples, keys, "left")
+    values = given.groupBy(*keys, "unit", "shown", "raw").agg(
+        F.first(F.when(F.col("title") != "", F.col("title"))).alias("t"), F.first("region_type").alias("region_type"), F.count("*").alias("n"), F.count("value.num").alias("nums"), F.count(F.when(F.col("value.num").isNull(), F.col("value.text"))).alias("texts"),
+        F.sum(F.when(F.col("shown").isNotNull(), row).cast("decimal(38,0)")).alias("hashes"), F.min("pos").alias("pos"), F.min(F.struct("row", "pos")).alias("at"),
+    )
+    of_unit, of_value = Window.partitionBy(*keys, "unit"), Window.partitionBy(*keys, "shown")
+    values = values.withColumns({"times": F.sum("n").over(of_unit), "since": F.min("pos").over(of_unit)})
+    # A value is a sample at its first place only.
+    values = values.withColumn("new", F.col("shown").isNotNull() & (F.row_number().over(of_value.orderBy("at", "unit", "raw")) == 1))
+    values = values.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("new"), "at", "shown")))
+    nums, texts = F.sum("nums"), F.sum("texts")
+    kind = F.when(nums + texts == 0, "empty").when(nums >= (nums + texts) * MOSTLY, "numeric").when(texts >= (nums + texts) * MOSTLY, "text").otherwise("mixed")
+    total = F.concat_ws("|", F.sum(F.when(F.col("shown").isNotNull(), F.col("n")).otherwise(0)).cast("string"), F.coalesce(F.sum("hashes"), F.lit(0)).cast("string"))
+    first = F.array_sort(F.collect_list(F.when(F.col("new") & (F.col("place") <= SAMPLES), F.struct("at", "shown"))))
+    samples = F.when(F.max("new"), F.array_join(F.transform(first, lambda x: x["shown"]), "|"))
+    unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.struct(-F.col("times"), "since", "unit")))
+    return values.groupBy(*keys).agg(F.first("t").alias("t"), F.first("region_type").alias("region_type"), F.collect_set("raw").alias("raws"), kind.alias("data_type"), unit.alias("unit"), samples.alias("samples"), total.alias("payload"))
+
+
+def tables(fields: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(*also, document, sheet, block, region, title, kind, block_no, table_no, heads): every table with its headers and the numbers of blocks and tables before it that are called alike."""
+    area = [*also, "document", "sheet", "block"]
+    head = F.struct("path", "label", "raws", "data_type", "unit", "samples", "payload")
+    regions = headers(fields, also).groupBy(*area, "region").agg(F.first("t").alias("t"), F.first("region_type").alias("region_type"), F.array_sort(F.collect_list(head)).alias("heads"))
+    # The headers without units and places: a table is the same one when rows are added or a unit is mended.
+    called = F.array_sort(F.array_distinct(F.flatten(F.transform("heads", lambda h: F.transform(h["raws"], lambda r: F.struct(r["path"].alias("path"), h["label"].alias("label")))))))
+    named = regions.withColumns({"title": F.coalesce("t", "sheet"), "kind": F.concat_ws(":", "region_type", F.substring(F.sha2(F.to_json(called), 256), 1, 10))})
+    titled = named.withColumn("of_block", F.first("title").over(Window.partitionBy(*area).orderBy("region")))
+    numbered = titled.withColumns({
+        "block_no": F.dense_rank().over(Window.partitionBy(*also, "document", "sheet", "of_block").orderBy("block")) - 1,
+        "table_no": F.row_number().over(Window.partitionBy(*area, "kind").orderBy("region")) - 1,
+    })
+    return numbered.select(*area, "region", "title", "kind", "block_no", "table_no", "heads")
 
 
-def build(fields: DataFrame) -> DataFrame:
-    """(node, parent, above, document, node_type, name, tree_path, data_type, unit, samples, semantic, content) of all documents.
+def build(fields: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(*also, node, parent, above, document, node_type, name, tree_path, data_type, unit, samples, semantic, content) of all documents.
 
     above: the ids from the document down to the parent.  semantic: the hash of what the node means (type, path, name, unit); content also covers its
-    values.  So a changed value calls for no new mapping.
+    values.  So a changed value calls for no new mapping.  also: further columns of fields, such as a version; each of their values has a tree of its own.
     """
-    named = tables(fields)
-    top = F.array(F.lit("doc"))
-    sheet_path = F.array(F.lit("doc"), F.col("sheet"))
-    table_path = F.concat(sheet_path, F.array(F.concat_ws("#", "title", F.col("block_no").cast("string")), F.concat_ws("#", "kind", F.col("table_no").cast("string"))))
-    ids = lambda *paths: F.array(*[node_id(F.col("document"), F.to_json(p)) for p in paths])
-    none = [F.lit(None).cast("string").alias(c) for c in ("data_type", "unit", "samples", "payload")]
-    documents = fields.select("document").distinct().select("document", F.lit("DOCUMENT").alias("node_type"), F.col("document").alias("name"), top.alias("p"), F.array().cast("array<string>").alias("above"), *none)
-    sheets = fields.select("document", "sheet").distinct().select("document", F.lit("SHEET").alias("node_type"), F.col("sheet").alias("name"), sheet_path.alias("p"), ids(top).alias("above"), *none)
-    of_tables = named.select("document", F.lit("TABLE").alias("node_type"), F.col("title").alias("name"), table_path.alias("p"), ids(top, sheet_path).alias("above"), *none)
-    heads = headers(fields).join(named.select("document", "sheet", "block", "region", table_path.alias("t")), ["document", "sheet", "block", "region"])
-    full = lambda n: F.concat(F.col("t"), F.slice("path", F.lit(1), n))
-    chain = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: node_id(F.col("document"), F.to_json(F.concat(F.col("t"), F.slice(F.col("path"), F.lit(1), n)))))
+    order = lambda *keys: Window.partitionBy(*also, *keys)
+    named = tables(fields, also).withColumns({
+        "of_document": F.row_number().over(order("document").orderBy("sheet", "block", "region")) == 1, "of_sheet": F.row_number().over(order("document", "sheet").orderBy("block", "region")) == 1,
+        "t": F.array(F.lit("doc"), F.col("sheet"), F.concat_ws("#", "title", F.col("block_no").cast("string")), F.concat_ws("#", "kind", F.col("table_no").cast("string"))),
+    })
+    facts = ("data_type", "unit", "samples", "payload")
+    node = lambda kind, name, p, of=None: F.struct(F.lit(kind).alias("node_type"), name.alias("name"), p.alias("p"), *[(F.lit(None).cast("string") if of is None else of[c]).alias(c) for c in facts])
+    if_first = lambda flag, x: F.when(F.col(flag), F.array(x)).otherwise(F.slice(F.array(x), F.lit(1), F.lit(0)))
     # The sub-headers' ids are hashes of their paths too, the header's own has its label besides.
-    above = F.concat(ids(top, sheet_path), chain)
-    of_heads = heads.select("document", F.lit("HEADER").alias("node_type"), F.col("label").alias("name"), F.concat(full(F.size("path")), F.array(F.concat(F.lit("="), F.col("label")))).alias("p"), above.alias("above"), "data_type", "unit", "samples", "payload")
-    subs = heads.where("size(path) > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.size("path") - 1)))
-    of_subs = subs.select("document", F.lit("SUB_HEADER").alias("node_type"), F.element_at("path", F.col("n")).alias("name"), full(F.col("n")).alias("p"), F.slice(above, F.lit(1), F.col("n") + 2).alias("above"), *none).distinct()
-    nodes = documents.unionByName(sheets).unionByName(of_tables).unionByName(of_subs).unionByName(of_heads)
+    upper = F.array_distinct(F.flatten(F.transform(F.filter("heads", lambda h: F.size(h["path"]) > 1), lambda h: F.transform(F.sequence(F.lit(1), F.size(h["path"]) - 1), lambda n: F.slice(h["path"], F.lit(1), n)))))
+    found = F.concat(
+        if_first("of_document", node("DOCUMENT", F.col("document"), F.array(F.lit("doc")))), if_first("of_sheet", node("SHEET", F.col("sheet"), F.slice("t", F.lit(1), F.lit(2)))), F.array(node("TABLE", F.col("title"), F.col("t"))),
+        F.transform(upper, lambda p: node("SUB_HEADER", F.element_at(p, F.lit(-1)), F.concat(F.col("t"), p))),
+        F.transform("heads", lambda h: node("HEADER", h["label"], F.concat(F.col("t"), h["path"], F.array(F.concat(F.lit("="), h["label"]))), h)),
+    )
+    nodes = named.select(*also, "document", F.explode(found).alias("x")).select(*also, "document", "x.*")
+    # A table's path is two steps longer than its sheet's, a header's two longer than its sub-header's.
+    last = F.size("p") - F.when(F.col("node_type") == "HEADER", 2).otherwise(1)
+    lengths = F.filter(F.sequence(F.lit(1), last), lambda n: n != 3)
+    above = F.when(F.size("p") > 1, F.transform(lengths, lambda n: node_id(F.col("document"), F.to_json(F.slice("p", F.lit(1), n))))).otherwise(F.array().cast("array<string>"))
     semantic = semantic_fingerprint(F.col("node_type"), F.to_json("p"), F.col("name"), F.col("unit"))
-    out = nodes.withColumns({"node": node_id(F.col("document"), F.to_json("p")), "semantic": semantic})
+    out = nodes.withColumns({"node": node_id(F.col("document"), F.to_json("p")), "semantic": semantic, "above": above})
     return out.select(
-        "node", F.try_element_at("above", F.lit(-1)).alias("parent"), "above", "document", "node_type", "name", F.array_join("p", "/").alias("tree_path"), "data_type", "unit", "samples", "semantic", semantic_fingerprint(F.col("semantic"), F.col("data_type"), F.col("samples"), F.col("payload")).alias("content")
+        *also, "node", F.try_element_at("above", F.lit(-1)).alias("parent"), "above", "document", "node_type", "name", F.array_join("p", "/").alias("tree_path"), "data_type", "unit", "samples", "semantic", semantic_fingerprint(F.col("semantic"), F.col("data_type"), F.col("samples"), F.col("payload")).alias("content")
     )
 
 

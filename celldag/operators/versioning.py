@@ -18,12 +18,26 @@ def diff(before: DataFrame, after: DataFrame, key: str, semantic: str, content:
     """
     b = before.select(key, F.col(semantic).alias("s0"), F.col(content).alias("c0"), F.col("status").alias("st"))
     a = after.select(key, F.col(semantic).alias("s1"), F.col(content).alias("c1"), F.lit(True).alias("here"))
-    both = b.join(a, key, "full")
-    action = (
+    return b.join(a, key, "full").select(key, _action().alias("action")).where("action is not null")
+
+
+def _action() -> Column:
+    return (
         F.when(F.col("st").isNull(), "added").when(F.col("here").isNull() & (F.col("st") == "ACTIVE"), "removed").when(F.col("here").isNull(), None)
         .when(F.col("st") == "REMOVED", "revived").when(~F.col("s0").eqNullSafe(F.col("s1")), "changed").when(~F.col("c0").eqNullSafe(F.col("c1")), "content").otherwise("unchanged")
     )
-    return both.select(key, action.alias("action")).where("action is not null")
+
+
+def diff_together(both: DataFrame, keys: list[str], after: Column, semantic: str, content: str) -> DataFrame:
+    """The same (keys, action) of nodes of two versions in one table, all of them active; after: whether a row is of the later one.
+
+    Rows that lie by one of the keys already are not shuffled for it.
+    """
+    first = lambda of, c: F.max(F.when(of, c))
+    seen = both.groupBy(*keys).agg(
+        first(~after, F.lit("ACTIVE")).alias("st"), first(after, F.lit(True)).alias("here"), first(~after, F.col(semantic)).alias("s0"), first(after, F.col(semantic)).alias("s1"), first(~after, F.col(content)).alias("c0"), first(after, F.col(content)).alias("c1")
+    )
+    return seen.select(*keys, _action().alias("action"))
 
 
 def scd2(current: DataFrame, incoming: DataFrame, key: str, columns: list[str], at: Column) -> DataFrame:

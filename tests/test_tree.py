@@ -53,3 +53,15 @@ def test_what_moves_stays_and_what_changes_is_told(spark):
     # Names with separators don't run into each other.
     a, b = build(spark, [field(0, 0, 1, ["a/b", "c"], 1.0)]), build(spark, [field(0, 0, 1, ["a", "b/c"], 1.0)])
     assert not {r["node"] for r in a.where("node_type = 'HEADER'").collect()} & {r["node"] for r in b.where("node_type = 'HEADER'").collect()}
+
+
+def test_versions_side_by_side_need_no_shuffle_within_documents(spark):
+    new = [field(0, 0, 1, ["m", "temp"], 7.0, unit="℃", key="a"), *BASE[1:4]]
+    both = spark.createDataFrame([(1, *r) for r in BASE] + [(2, *r) for r in new], "version int, " + FIELDS).repartition(3, "document")
+    nodes = tree.build(both, ("version",))
+    for version, rows in ((1, BASE), (2, new)):
+        assert sorted(map(str, nodes.where(F.col("version") == version).drop("version").collect())) == sorted(map(str, build(spark, rows).collect()))
+    found = versioning.diff_together(nodes, ["document", "node"], F.col("version") == 2, "semantic", "content")
+    plain = versioning.diff(build(spark, BASE).withColumn("status", F.lit("ACTIVE")), build(spark, new), "node", "semantic", "content")
+    assert {(r["node"], r["action"]) for r in found.collect()} == {(r["node"], r["action"]) for r in plain.collect()}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
