@@ -5,7 +5,7 @@ Every state is a table; each function takes tables and returns the next state or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from celldag.operators.relational import two_tier_vote
@@ -112,21 +112,26 @@ def release_states(requests: DataFrame, readable: DataFrame, ingested: DataFrame
     return both.select("name", status.alias("status"))
 
 
-def group_rollup(sources: DataFrame, overrides: DataFrame, recipes: DataFrame) -> DataFrame:
+def group_rollup(sources: DataFrame, overrides: DataFrame, recipes: DataFrame, tasks: int | None = None) -> DataFrame:
     """(root, documents, concepts, sources, n_values) of each group of documents under one root concept.
 
     sources: (root, document, concept, n) of each approved place.  overrides (root, document, state):
     EXCLUDED documents don't count, INCLUDED ones are members even without a source.  recipes (root):
-    groups that have only a recipe are listed with zeros.
+    groups that have only a recipe are listed with zeros.  tasks: over how many the documents are laid out, if Spark shall not choose.
     """
-    out = overrides.where("state = 'EXCLUDED'").select("root", "document").distinct()
-    kept = sources.where("root is not null").join(out, ["root", "document"], "left_anti")
-    places = kept.groupBy("root", "document", "concept").agg(F.count("*").alias("s"), F.sum("n").alias("n"))
+    places = sources.where("root is not null").select("root", "document", "concept", "n", F.lit(1).alias("s"), F.lit(None).cast("string").alias("state"))
     none = lambda name: F.lit(None).cast(places.schema[name].dataType).alias(name)
-    pinned = overrides.where("state = 'INCLUDED'").select("root", "document", none("concept"), F.lit(0).alias("s"), none("n"))
-    empty = recipes.select("root", none("document"), none("concept"), F.lit(0).alias("s"), none("n"))
-    parts = places.unionByName(pinned).unionByName(empty)
-    return parts.groupBy("root").agg(F.countDistinct("document").alias("documents"), F.countDistinct("concept").alias("concepts"), F.sum("s").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
+    told = overrides.where("state in ('EXCLUDED', 'INCLUDED')").select("root", "document", none("concept"), none("n"), F.lit(0).alias("s"), "state")
+    # A document's places and overrides meet once; after that only sums by concept are left.
+    both = places.unionByName(told)
+    laid = both.repartition(tasks, "root", "document") if tasks else both.repartition("root", "document")
+    of_document = Window.partitionBy("root", "document")
+    out = F.coalesce(F.max(F.col("state") == "EXCLUDED").over(of_document), F.lit(False)) & F.col("document").isNotNull()
+    kept = laid.withColumn("out", out).where("if(s = 1, not out, state = 'INCLUDED')")
+    first = F.col("document").isNotNull() & (F.row_number().over(of_document.orderBy("concept")) == 1)
+    sums = kept.withColumn("d", first.cast("int")).groupBy("root", "concept").agg(F.sum("d").alias("d"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+    empty = recipes.select("root", none("concept"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("s"), F.lit(None).cast(sums.schema["n"].dataType).alias("n"))
+    return sums.unionByName(empty).groupBy("root").agg(F.sum("d").alias("documents"), F.count_distinct("concept").alias("concepts"), F.sum("s").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
 
 
 def template_groups(templates: DataFrame, assignments: DataFrame, overrides: DataFrame) -> DataFrame:

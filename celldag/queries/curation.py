@@ -8,6 +8,8 @@ from celldag.operators import curation, graph
 from celldag.queries.dag import read
 from celldag.session import stored
 
+ROWS_A_TASK = 250_000
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -130,7 +132,8 @@ def group_rollup_overrides(spark, sf_dir):
     sources = read(spark, sf_dir, "lineitem").join(parts, "l_partkey").select("root", F.col("l_orderkey").alias("document"), "concept", F.col("l_quantity").alias("n"))
     state = F.when(F.col("o_orderstatus") == "F", "EXCLUDED").when(F.col("o_orderstatus") == "O", "INCLUDED")
     overrides = read(spark, sf_dir, "orders").select(F.lit("ECONOMY").alias("root"), F.col("o_orderkey").alias("document"), state.alias("state"))
-    return curation.group_rollup(sources, overrides, read(spark, sf_dir, "region").select(F.col("r_name").alias("root")))
+    tasks = max(spark.sparkContext.defaultParallelism, (read(spark, sf_dir, "lineitem").count() + read(spark, sf_dir, "orders").count()) // ROWS_A_TASK)
+    return curation.group_rollup(sources, overrides, read(spark, sf_dir, "region").select(F.col("r_name").alias("root")), tasks)
 
 
 @register("""

@@ -79,3 +79,13 @@ def test_failed_documents_keep_their_mappings_and_stop_no_other(spark):
         assert by(d) == [(f"{d}0", "x", "APPROVED"), (f"{d}1", "y", "AUTO_APPROVED"), (f"{d}2", "y", "AUTO_APPROVED")]
     assert rows(curation.recrawl_summary(before, after, judged)) == [(1, "PARTIAL", 2, 1, 1, 2), (2, "FAILED", 2, 2, 0, 0), (3, "SUCCESS", 1, 0, 1, 2)]
     assert curation.recrawl_documents(before.limit(0), new.limit(0), judged.limit(0)).count() == 0
+
+
+def test_rollup_meets_each_document_once(spark):
+    sources = spark.createDataFrame([("g", 1, "a", 2), ("g", 1, "b", 3), ("g", 1, None, 1), ("g", 2, "a", 4), ("g", None, "c", 5), (None, 3, "a", 6)], "root string, document int, concept string, n int")
+    overrides = spark.createDataFrame([("g", 1, "INCLUDED"), ("g", 2, "EXCLUDED"), ("g", 2, "EXCLUDED"), ("g", 4, "INCLUDED"), ("g", 4, "INCLUDED"), ("g", None, "EXCLUDED"), ("p", 7, "EXCLUDED")], "root string, document int, state string")
+    found = curation.group_rollup(sources, overrides, spark.createDataFrame([("e",)], "root string"), 3)
+    assert sorted(map(tuple, found.collect())) == [("e", 0, 0, 0, 0), ("g", 2, 3, 4, 11)]
+    # Rows aren't multiplied for each count, and documents lie in as many tasks as asked for.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "RepartitionByExpression [root" in plan
