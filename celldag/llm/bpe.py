@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import frugal, slices, texts_of
+from celldag.llm.common import frugal, kept, slices, texts_of
 
 NEVER = 1 << 40
 #: Fixed value: how the vocabulary's word pattern splits a text after lower-casing.
@@ -301,14 +301,9 @@ class WordBpe:
         return ids, stop[np.append(0, np.cumsum(list(map(len, listed)), dtype=np.int64))].astype(np.int32)
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def _tokenizer(path: str) -> WordBpe:
-    """One per worker and file; the path must be readable on every worker."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe.load(path)
-    return _loaded[path]
+    """One per worker and file, as long as it runs tasks of this operator; the path must be readable on every worker."""
+    return kept(path, lambda: WordBpe.load(path))
 
 
 def _joined(names: pa.Array, ids: pa.Array, begin: pa.Array) -> pa.Array:
@@ -333,7 +328,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
             yield pa.RecordBatch.from_pydict(cols | ({decoded: _joined(names, flat, begin)} if decoded else {}))
         bpe.forget()
 
-    return df.select(*keep, text).mapInArrow(frugal(run), f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return df.select(*keep, text).mapInArrow(frugal(run, keeps=path), f"{kinds}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import cut, frugal, slices, texts_of
+from celldag.llm.common import cut, frugal, frugal_group, slices, texts_of
 from celldag.llm.components import connected
 
 BITS = 8  # 64-bit words of the bit map
@@ -52,7 +52,7 @@ class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:  # some 15 MB
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -195,8 +195,8 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(own["ids"], t.schema.field("ids").type.value_type), "row": pa.array(own["keys"], pa.binary()), "n": pa.array(own["n"], pa.int32()), "shared": pa.array(shared, pa.int32()), "sig": pa.array(own["sigs"], pa.string())})
 
     sent = docs.select("doc_id", "row", "text").mapInArrow(frugal(send), f"fragment long, task string, once binary, owner binary, many binary, {head}")
-    met = sent.groupBy("fragment").applyInArrow(meet, f"task string, {head}, who binary, count binary")
-    return met.groupBy("task").applyInArrow(total, f"doc_id {kind}, row binary, n int, shared int, sig string")
+    met = sent.groupBy("fragment").applyInArrow(frugal_group(meet), f"task string, {head}, who binary, count binary")
+    return met.groupBy("task").applyInArrow(frugal_group(total), f"doc_id {kind}, row binary, n int, shared int, sig string")
 
 
 def row_key() -> Column:

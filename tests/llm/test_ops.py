@@ -915,3 +915,12 @@ def test_thirty_languages_are_all_predicted(spark):
 def test_notice_too_short_for_a_shingle_is_refused(spark):
     with pytest.raises(ValueError, match="fewer than 5 words"):
         licenses.scan(docs(spark, ["x"]), [("short", "All rights reserved.")])
+
+
+def test_workers_let_go_of_what_other_operators_keep():
+    from celldag.llm import common
+
+    words = bpe._tokenizer(VOCABULARY)
+    assert list(common.frugal(iter, keeps=VOCABULARY)([1])) == [1] and bpe._tokenizer(VOCABULARY) is words
+    assert list(common.frugal(iter)([1])) == [1] and bpe._tokenizer(VOCABULARY) is not words
+    assert common.frugal_group(lambda t: t)(1) == 1 and not common._kept
