@@ -18,19 +18,22 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import fold, frugal, slices, texts_of
+from celldag.llm.common import cut, fold, frugal, slices, texts_of
 
 UNKNOWN = "und"
 UNIT = 1 << 16
 CHUNK = 256
-#: Parts of a language that are ranked apart before its sample is chosen.
-SALTS = 64
+#: Training texts are counted in slices of about this many bytes; a task holds at most HELD counts (16 bytes each) and those of a slice.
+SLICE, HELD = 1 << 20, 2_000_000
+#: Rates of letter runs are told apart to 1 / STEP bit a byte where their quantiles are taken.
+STEP = 1024
 #: Bits a byte by which a text may exceed what held-out texts showed: quantiles of few texts are inexact, and texts quote names and notices.
 SLACK = 1.0
 #: Words of letters alone, as tokens with digits are codes; LENGTHS: bytes of letter runs for which limits are learned, each a power of two.
@@ -58,28 +61,78 @@ def _grams(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(code, return_inverse=True)
+    return found, np.bincount(at, n, minlength=len(found)).astype(np.int64)
+
+
+def _grams_of_all(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What `_grams` finds in each text for each k, 0 to order, summed over the texts.
+
+    The longest contexts are counted; what stands after shorter ones follows from them and from the first bytes of each text.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    code = data.copy()
+    for k in range(1, order + 1):
+        code[k:] |= data[:-k] << np.uint64(8 * k)
+    low = lambda k: np.uint64((1 << 8 * (k + 1)) - 1)
+    inside = np.ones(len(code), bool)
+    for k in range(order):
+        inside[begin[size > k] + k] = False
+    found, n = np.unique(code[inside] & low(order), return_counts=True)
+    out = [(found, n.astype(np.int64))]
+    for k in range(order - 1, -1, -1):
+        first = code[begin[size > k] + k]  # with k bytes before it in its text
+        found, n = _summed(np.concatenate([found, first]) & low(k), np.concatenate([n, np.ones(len(first), np.int64)]))
+        out.append((found, n))
+    return out[::-1]
+
+
 def context_counts(labelled: DataFrame, order: int) -> DataFrame:
-    """Rows (lang, text) to counts (lang, k, ctx, sym, n) of each byte after each context of k bytes."""
+    """Rows (lang, text) to counts (lang, k, ctx, sym, n) of each byte after each context of k bytes.
+
+    A task sums what it finds, and hands it on whenever there is much of it.
+    """
 
     def count(batches):
-        for batch in slices(batches):
-            by_lang: dict[str, list[np.ndarray]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting = 0
+
+        def merged() -> int:
+            for key, parts in held.items():
+                held[key] = [_summed(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def told():
+            for (lang, k), [(code, n)] in held.items():
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(code), np.int32))),
+                        "k": pa.array(np.full(len(code), k, np.int32)),
+                        "ctx": pa.array((code >> np.uint64(8)).astype(np.int64)),
+                        "sym": pa.array((code & np.uint64(255)).astype(np.int32)),
+                        "n": pa.array(n),
+                    }
+                )
+            held.clear()
+
+        for batch in slices(batches, SLICE):
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")):
-                by_lang.setdefault(lang, []).append(np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64))
+                by_lang.setdefault(lang, []).append(text.encode("utf-8", "replace"))
             for lang, parts in by_lang.items():
-                for k in range(order + 1):
-                    found = [_grams(p, k) for p in parts]
-                    code, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([c for _, c in found]), minlength=len(code)).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "lang": pa.array([lang] * len(code), pa.string()),
-                            "k": pa.array(np.full(len(code), k, np.int32)),
-                            "ctx": pa.array((code >> np.uint64(8)).astype(np.int64)),
-                            "sym": pa.array((code & np.uint64(255)).astype(np.int32)),
-                            "n": pa.array(n),
-                        }
-                    )
+                for k, found in enumerate(_grams_of_all(parts, order)):
+                    held.setdefault((lang, k), []).append(found)
+                    waiting += len(found[0])
+            if waiting > HELD:
+                waiting = merged()
+                if waiting > HELD // 2:
+                    yield from told()
+                    waiting = 0
+        merged()
+        yield from told()
 
     counted = labelled.select("lang", "text").mapInArrow(frugal(count), "lang string, k int, ctx long, sym int, n long")
     return counted.groupBy("lang", "k", "ctx", "sym").agg(F.sum("n").alias("n"))
@@ -91,12 +144,13 @@ def build_model(counts: pa.Table, order: int) -> PpmModel | None:
     if not langs:
         return None
     k, ctx, sym = (counts.column(c).to_numpy().astype(np.int64) for c in ("k", "ctx", "sym"))
-    lang = np.searchsorted(np.array(langs), np.array(counts.column("lang").to_pylist()))
-    known, place = np.unique(np.column_stack([np.append(k, 0), np.append(ctx, 0)]), axis=0, return_inverse=True)
-    nodes = [tuple(x) for x in known.tolist()]
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    lang = np.searchsorted(np.array(langs), np.array(coded.dictionary.to_pylist()))[coded.indices.to_numpy()]
+    known, place = np.unique(np.append(k << 56 | ctx, 0), return_inverse=True)  # a context has at most 7 bytes
+    nodes = [(x >> 56, x & ((1 << 56) - 1)) for x in known.tolist()]
     at = {x: i for i, x in enumerate(nodes)}
     n = np.zeros((len(nodes), 256, len(langs)))
-    np.add.at(n, (place.ravel()[:-1], sym, lang), counts.column("n").to_numpy())
+    np.add.at(n, (place[:-1], sym, lang), counts.column("n").to_numpy())
     children: dict[int, dict[int, int]] = {}
     for i, (k, ctx) in enumerate(nodes):
         if k and (parent := at.get((k - 1, ctx >> 8))) is not None:
@@ -121,8 +175,8 @@ def build_model(counts: pa.Table, order: int) -> PpmModel | None:
     return PpmModel(langs, order, step, np.rint(-np.log2(p) * UNIT).astype(np.int32))
 
 
-def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_count: int = 24, max_contexts: int = 6000, max_cells: int = 144_000, max_langs: int | None = None) -> PpmModel | None:
-    """Fit on at most docs_per_lang whole texts of each language, those of lowest id hash.
+def train(labelled: DataFrame, order: int = 4, min_count: int = 24, max_contexts: int = 6000, max_cells: int = 144_000, max_langs: int | None = None) -> PpmModel | None:
+    """Fit on all whole texts of each language.
 
     labelled: doc_id, text, lang.  Rows with a null in any of the three, or without text, teach
     nothing.  Every language is learned.  max_contexts and min_count bound the trees; contexts
@@ -134,26 +188,16 @@ def train(labelled: DataFrame, order: int = 4, docs_per_lang: int = 400, min_cou
     if max_langs is not None:
         most = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
         labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(most), "lang", "left_semi")
-    counts = context_counts(_sample(labelled, docs_per_lang), order).persist()
+    counts = cut(context_counts(_usable(labelled), order))
     langs = counts.agg(F.count_distinct("lang")).first()[0]
     max_contexts = min(max_contexts, max(257, max_cells // max(1, langs)))
     kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= min_count) | (F.col("k") == 0))
     kept = kept.orderBy(F.desc("c"), "k", "ctx").limit(max_contexts).select("k", "ctx")
-    rows = counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
-    counts.unpersist()
-    return build_model(rows, order)
+    return build_model(counts.join(F.broadcast(kept), ["k", "ctx"]).toArrow(), order)
 
 
-def _sample(labelled: DataFrame, docs_per_lang: int) -> DataFrame:
-    """Of each language the docs_per_lang usable texts of lowest id hash."""
-    usable = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
-    # Ids first: the windows shuffle no text.  A language may hold most rows, so each of its SALTS parts is ranked by itself before the parts' first are.
-    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SALTS)).alias("part"))
-    for keys in (("lang", "part"), ("lang",)):
-        ids = ids.withColumn("r", F.row_number().over(first.partitionBy(*keys))).where(F.col("r") <= docs_per_lang).drop("r")
-    ids = ids.select("doc_id").distinct()
-    return usable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most docs_per_lang ids a language
+def _usable(labelled: DataFrame) -> DataFrame:
+    return labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0")
 
 
 def letter_runs(text: str) -> bytes:
@@ -161,13 +205,23 @@ def letter_runs(text: str) -> bytes:
     return " ".join(LETTERS.findall(text)).lower().encode("utf-8", "replace")
 
 
-def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float = 0.999, docs_per_lang: int = 2000, weight: int = 200) -> np.ndarray | None:
+def first_letter_runs(text: str) -> bytes:
+    """Those that hold the first bytes of `letter_runs`, as many as the longest of LENGTHS at least where there are so many."""
+    words = (m[0] for m in LETTERS.finditer(text))
+    out = letter_runs(" ".join(islice(words, LENGTHS[-1] // 4)))
+    while len(out) < LENGTHS[-1] and (more := " ".join(islice(words, LENGTHS[-1] // 4))):
+        out += b" " + letter_runs(more)
+    return out
+
+
+def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float = 0.999, weight: int = 200) -> np.ndarray | None:
     """Bits a byte, by (LENGTHS, language), that letter runs of a language's own held-out texts stay within, and SLACK.
 
     held_out: doc_id, text, lang of rows that `model` has not learned from.  For each length the
     runs' first bytes are coded under their own language.  A language's limit is the mean of its own
     quantile, weighing as many texts as it has, and that of all languages, weighing `weight` texts; a
-    length that no text has takes that of the next shorter one.  What comes to the driver is one row for each length and language.
+    length that no text has takes that of the next shorter one.  All of the rows count, their rates to 1 / STEP bit a byte, so
+    quantiles are of counts of few different values.  What comes to the driver is one row for each length and language.
     """
     if model is None:
         return None
@@ -175,16 +229,16 @@ def letter_limits(held_out: DataFrame, model: PpmModel | None, quantile: float =
 
     def rates(batches):
         m = shared.value
-        for batch in slices(batches):
-            rows = [(l, letter_runs(t)) for l, t in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")) if l in m.langs]
+        for batch in slices(batches, 4 << 20):
+            rows = [(l, first_letter_runs(t)) for l, t in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")) if l in m.langs]
             for i, n in enumerate(LENGTHS):
                 part = [(l, r[:n]) for l, r in rows if len(r) >= n]
                 bits = code_lengths(m, [r for _, r in part])
-                own = [bits[j, m.langs.index(l)] / UNIT / n for j, (l, _) in enumerate(part)]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([l for l, _ in part], pa.string()), "i": pa.array([i] * len(part), pa.int32()), "rate": pa.array(own, pa.float64())})
+                own = [round(float(bits[j, m.langs.index(l)]) / UNIT / n * STEP) for j, (l, _) in enumerate(part)]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([l for l, _ in part], pa.string()), "i": pa.array([i] * len(part), pa.int32()), "rate": pa.array(own, pa.int64())})
 
-    rated = _sample(held_out, docs_per_lang).mapInArrow(frugal(rates), "lang string, i int, rate double")
-    found = rated.cube("lang", "i").agg(F.percentile("rate", F.lit(quantile)).alias("q"), F.count("*").alias("n")).where("i is not null").collect()
+    rated = _usable(held_out).mapInArrow(frugal(rates), "lang string, i int, rate long").groupBy("lang", "i", "rate").agg(F.count("*").alias("c"))
+    found = rated.cube("lang", "i").agg((F.percentile("rate", F.lit(quantile), F.col("c")) / STEP).alias("q"), F.sum("c").alias("n")).where("i is not null").collect()
     own = {(r["lang"], r["i"]): (r["q"], r["n"]) for r in found}
     limits = np.full((len(LENGTHS), len(model.langs)), np.inf)
     for i in range(len(LENGTHS)):

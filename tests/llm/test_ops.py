@@ -917,6 +917,36 @@ def test_notice_too_short_for_a_shingle_is_refused(spark):
         licenses.scan(docs(spark, ["x"]), [("short", "All rights reserved.")])
 
 
+def test_language_counts_all_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 30))) for _ in range(900)]
+    table = docs(spark, texts, {i: "xy"[i % 2] for i in range(900)})
+    monkeypatch.setattr(langid, "SLICE", 300)
+    seen = []
+    monkeypatch.setattr(langid, "build_model", lambda rows, order: seen.append(rows))
+    langid.train(table, order=2, min_count=0, max_contexts=10**6)
+    expected = Counter()
+    for i, t in enumerate(texts):
+        for k in range(3):
+            for code, n in zip(*(x.tolist() for x in langid._grams(np.frombuffer(t.encode(), np.uint8).astype(np.uint64), k))):
+                expected["xy"[i % 2], k, code >> 8, code & 255] += n
+    assert {(r["lang"], r["k"], r["ctx"], r["sym"]): r["n"] for r in seen[0].to_pylist()} == expected
+    # Tasks that hand on what they hold early find the same.
+    monkeypatch.setattr(langid, "HELD", 50)
+    assert {tuple(r)[:4]: r["n"] for r in langid.context_counts(table, 2).collect()} == expected
+
+
+def test_language_limits_take_all_held_out_texts(spark):
+    plain = "the cat sat on the mat and the dog ran to the old barn in the rain"
+    model = langid.train(docs(spark, [plain] * 30, {i: "en" for i in range(30)}))
+    odd = docs(spark, [plain] * 2500 + ["zq xv wj kq"], {i: "en" for i in range(2501)})
+    low, high = (langid.letter_limits(df, model, quantile=1.0)[3, 0] for df in (odd.where("doc_id < 2500"), odd))
+    assert high > low + 1
+    for t in ("", "a", "Ünder 3x " * 500, plain * 80, "ΣΑΣ " * 700):
+        whole = langid.letter_runs(t)
+        assert whole.startswith(langid.first_letter_runs(t)) and len(langid.first_letter_runs(t)) >= min(len(whole), langid.LENGTHS[-1])
+
+
 def test_workers_let_go_of_what_other_operators_keep():
     from celldag.llm import common
 
