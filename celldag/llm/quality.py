@@ -12,7 +12,9 @@ text is seen.  They are computed in numpy over whole texts.
 
 from __future__ import annotations
 
+import math
 import operator
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celldag.llm.common import fold, frugal, lowest_by_hash, slices, texts_of
+from celldag.llm.common import fold, frugal, frugal_group, shared_folder, slices, texts_of
 
 LETTER, UPPER, DIGIT, SPACE, LINE, STOP, SIGN = range(7)
 KINDS = 7
@@ -31,6 +33,10 @@ SHARED = 200.0  # characters
 WORD_RATES = ("shouted", "repeated", "tailed", "bare", "long")
 SIZE = KINDS**3 + 2 * len(WORD_RATES) + 4
 THRESHOLD = 0.3  # of the final score
+PAIRS_AT_ONCE = 2000
+GROUP = 1000  # texts of the rarer side that meet others
+BROADCAST_IDS = 500_000
+BINS, AT_ONCE = 1024, 100_000  # scores are counted in so many bins until so few are left
 
 
 @dataclass
@@ -99,18 +105,39 @@ def rates_of(x: np.ndarray, base: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt((counts + SHARED * base) / (counts.sum(1, keepdims=True) + SHARED)), x[:, KINDS**3 :]])
 
 
-def fit_pairs(x: np.ndarray, good: np.ndarray, poor: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> np.ndarray:
-    """Weights w of least mean log(1 + exp(-w.(x[good] - x[poor]))) + l2 / 2 |w|^2 over the pairs, by Adam."""
-    w = np.zeros(x.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        f = x @ w
-        pull = 1 / (1 + np.exp(np.clip(f[good] - f[poor], -40, 40))) / len(good)
-        on = np.bincount(poor, pull, minlength=len(x)) - np.bincount(good, pull, minlength=len(x))
-        g = on @ x + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate / (1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+def pair_sums(x: np.ndarray, good: np.ndarray, poor: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Number of pairs, and the sums over them of log(1 + exp(-w.d)), of its gradient and of its second derivatives, d = x[good] - x[poor]."""
+    loss, g, h = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in range(0, len(good), PAIRS_AT_ONCE):
+        d = x[good[i : i + PAIRS_AT_ONCE]] - x[poor[i : i + PAIRS_AT_ONCE]]
+        f = d @ w
+        pull = 1 / (1 + np.exp(np.clip(f, -40, 40)))
+        loss += float(np.logaddexp(0, -f).sum())
+        g -= pull @ d
+        h += (d * (pull * (1 - pull))[:, None]).T @ d
+    return len(good), loss, g, h
+
+
+def newton(sums, size: int, l2: float, steps: int) -> np.ndarray:
+    """Weights w of least mean loss + l2 / 2 |w|^2 by Newton's steps, halved where one leads up.  sums: w to what `pair_sums` gives over all pairs."""
+    w = best = np.zeros(size)
+    risk = np.inf
+    for _ in range(steps):
+        n, loss, g, h = sums(w)
+        now = loss / n + l2 / 2 * (w @ w)
+        if now > risk + 1e-12:
+            w = (w + best) / 2
+            continue
+        best, risk, slope = w, now, g / n + l2 * w
+        if np.abs(slope).max() < 1e-6:
+            break
+        w = w - np.linalg.solve(h / n + l2 * np.eye(size), slope)
+    return best
+
+
+def fit_pairs(x: np.ndarray, good: np.ndarray, poor: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.ndarray:
+    """Weights w of least mean log(1 + exp(-w.(x[good] - x[poor]))) + l2 / 2 |w|^2 over the pairs."""
+    return newton(lambda w: pair_sums(x, good, poor, w), x.shape[1], l2, steps)
 
 
 def quantile_between(scores: np.ndarray, weights: np.ndarray, level: float) -> float:
@@ -121,48 +148,158 @@ def quantile_between(scores: np.ndarray, weights: np.ndarray, level: float) -> f
     return float((scores[i] + scores[i + 1]) / 2) if len(scores) > 1 else float(scores[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_each: int = 4000, max_pairs: int = 40_000, seed: int = 1) -> QualityModel:
-    """Learn from labelled rows whose crc32(doc_id) mod folds is not 0.
-
-    docs: doc_id, text.  labels: doc_id, quality (1 good, 0 poor); a null or absent label is none.  At most max_each texts of either
-    label (lowest id hash) teach, of equal texts with one label only one; an id on several rows teaches by one of them.  Each text of the rarer side meets
-    as many of the other as max_pairs allows, drawn by `seed`.  Where a side is missing, every text gets the
+def quantile_of_all(scored: DataFrame, weight: tuple[float, float], level: float) -> float:
+    """`quantile_between` of rows (s, good) that weigh weight[good] each: bins are counted and the one that matters is cut again until few rows are left."""
+    below, above, rows = 0.0, None, scored
+    n, lo, hi = scored.agg(F.count("*"), F.min("s"), F.max("s")).first()
+    total = sum(weight[r["good"]] * r["count"] for r in scored.groupBy("good").count().collect())
+    before = None
+    while n > AT_ONCE and hi > lo:
+        at = F.least(F.lit(BINS - 1), F.floor((F.col("s") - lo) / (hi - lo) * BINS))
+        bins = sorted(rows.groupBy(at.alias("i"), "good").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect(), key=lambda r: r["i"])
+        sums = {}
+        for r in bins:
+            w, m, x, y = sums.get(r["i"], (0.0, 0, np.inf, -np.inf))
+            sums[r["i"]] = w + weight[r["good"]] * r["n"], m + r["n"], min(x, r["lo"]), max(y, r["hi"])
+        listed = list(sums.items())
+        for j, (i, (w, m, x, y)) in enumerate(listed):
+            if (below + w) / total >= level - 1e-9 or j == len(listed) - 1:
+                break
+            below, before = below + w, y
+        if j + 1 < len(listed):
+            above = listed[j + 1][1][2]
+        rows, n, lo, hi = rows.where(at == i), m, x, y
+    if hi == lo:  # all alike, so one and its number say enough
+        got = [(lo, below + sum(weight[r["good"]] * r["count"] for r in rows.groupBy("good").count().collect()))]
+        if n > 1 and (above is None or got[0][1] / total - max(weight) / total >= level - 1e-9):
+            return float(lo)
+    else:
+        got = sorted((r["s"], weight[r["good"]]) for r in rows.collect())
+        got = list(zip([x for x, _ in got], (below + np.cumsum([w for _, w in got])).tolist()))
+    edge = next((i for i, (_, w) in enumerate(got) if w / total >= level - 1e-9), len(got) - 1)
+    if edge + 1 < len(got):
+        return (got[edge][0] + got[edge + 1][0]) / 2
+    if above is not None:
+        return (got[edge][0] + above) / 2
+    last = got[edge - 1][0] if edge else before if before is not None else got[edge][0]
+    return (last + got[edge][0]) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, min_pairs: int = 40_000, seed: int = 1) -> QualityModel:
+    """Learn from all labelled rows whose crc32(doc_id) mod folds is not 0.
+
+    docs: doc_id, text.  labels: doc_id, quality (1 good, 0 poor); a null or absent label is none.  Of equal texts with one label
+    only one teaches; an id on several rows teaches by one of them.  Each text of the commoner side meets one of the other, drawn by `seed`, or as many as make
+    min_pairs; those of the rarer side meet several.  Texts meet in groups of bounded size, and groups send sums.  Where a side is missing, every text gets the
     share of good labels, or 0.5 without labels.
     """
     seen = labels.select("doc_id", "quality").where("quality in (0, 1)").where(fold("doc_id", folds) != 0)
     n = {r["quality"]: r["count"] for r in seen.groupBy("quality").count().collect()}
     share = n.get(0, 0) / max(1, sum(n.values()))
-    ids = None
-    for label in (0, 1):  # bounded by max_each
-        of_label = lowest_by_hash(seen.where(F.col("quality") == label), "doc_id", max_each, 3).select("id", F.lit(label).alias("good"))
-        ids = of_label if ids is None else ids.unionByName(of_label)
+    ids = seen.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("good")).distinct()
+    if sum(n.values()) <= BROADCAST_IDS:  # some 20 bytes each; beyond, the texts are shuffled
+        ids = F.broadcast(ids)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(fold("doc_id", folds) != 0)
-    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).withColumn("h", F.xxhash64("text"))
-    one = found.groupBy("id", "good").agg(F.min_by(F.struct("text", "h"), "h").alias("t"))
-    sample = one.groupBy("good", "t.h").agg(F.first("t.text").alias("text"))
+    found = texts.join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "good", F.xxhash64("text").alias("h"), "text")
 
     def run(batches):
         for batch in slices(batches):
-            x = np.array([features_of(t) for t in texts_of(batch, "text")], np.float32)
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "good": batch.column("good"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SIZE).cast(pa.list_(pa.float32()))})
-
-    rows = sample.select("h", "good", "text").mapInArrow(frugal(run), "h long, good int, x array<float>").collect()  # SIZE numbers each
-    rows.sort(key=lambda r: (r["good"], r["h"]))
-    good = np.array([r["good"] for r in rows], bool)
-    if good.all() or not good.any():
+            x = [features_of(t).astype(np.float32).tobytes() for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "good", "h")} | {"x": pa.array(x, pa.binary())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = found.mapInArrow(frugal(run), f"doc_id {kind}, good int, h long, x binary")
+    one = read.groupBy("doc_id", "good").agg(F.min_by(F.struct("h", "x"), "h").alias("t"))
+    rows = _written(one.groupBy("good", "t.h").agg(F.first("t.x").alias("x")))  # SIZE numbers each
+
+    def added(f, schema: str) -> list[np.ndarray]:
+        """Sums over all rows of what f says of a batch: by task, then here."""
+
+        def task(batches):
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    got = [np.asarray(v, float) for v in f(_matrix(batch.column("x").to_pylist()))]
+                    out = got if out is None else [a + b for a, b in zip(out, got)]
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({c: pa.array([v.tolist()], pa.list_(pa.float64())) for c, v in zip(schema.split(), out)})
+
+        got = rows.select("x").mapInArrow(frugal(task), ", ".join(f"{c} array<double>" for c in schema.split())).collect()
+        return [np.sum([np.array(r[c]) for r in got], 0) for c in schema.split()]
+
+    sides = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    if len(sides) < 2:
         return QualityModel(np.zeros(KINDS**3), np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 1 - share if n else 0.5)
-    x = np.array([r["x"] for r in rows], float)
-    base = x[:, : KINDS**3].sum(0) / max(1.0, x[:, : KINDS**3].sum())
-    x = rates_of(x, base)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.clip((x - mean) / scale, -8, 8)
-    sides = [np.flatnonzero(good), np.flatnonzero(~good)]
-    rng, few = np.random.default_rng(seed), min(map(len, sides))
-    pairs = [rng.permutation(np.resize(s, max_pairs // few * few if max_pairs > few else few)) for s in sides]
-    w = fit_pairs(z, *pairs)
-    # The sample holds both sides in other shares than the labels do.
-    weight = np.where(good, (1 - share) / good.sum(), share / (~good).sum())
-    return QualityModel(base, mean, scale, w, quantile_between(z @ w, weight, share), None)
+    (counts,) = added(lambda x: [x[:, : KINDS**3].sum(0)], "counts")
+    base = counts / max(1.0, counts.sum())
+    (total,) = added(lambda x: [rates_of(x, base).sum(0)], "total")
+    mean = total / sum(sides.values())
+    (square,) = added(lambda x: [((rates_of(x, base) - mean) ** 2).sum(0)], "square")
+    scale = np.maximum(np.sqrt(square / sum(sides.values())), 1e-3)
+    standard = lambda x: np.clip((rates_of(x, base) - mean) / scale, -8, 8)
+
+    # Groups of some GROUP texts of the rarer side, or all, and up to 4 GROUP of the other; each text of the rarer side is in all `parts` of its block.
+    rarer = min(sides, key=lambda g: (sides[g], g))
+    few, many = sides[rarer], sides[1 - rarer]
+    blocks = max(1, few // GROUP)
+    parts = max(1, -(-many // (4 * GROUP * blocks)))
+    each = max(1, min_pairs // many)
+    part = F.when(F.col("good") == rarer, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(parts)).cast("int")))
+    placed = rows.select("*", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(part).alias("part"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("good", "ascending"), ("h", "ascending")])
+        return pa.table({"block": t.column("block")[:1], "part": t.column("part")[:1], "good": pa.array([sum(t.column("good").to_pylist())], pa.int32()), "x": pa.array([b"".join(t.column("x").to_pylist())], pa.binary())})
+
+    groups = _written(placed.groupBy("block", "part").applyInArrow(frugal_group(meet), "block int, part int, good int, x binary"))
+    heads = max(1, math.isqrt(blocks * parts))
+
+    def sums(w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+        def packed(head, out):
+            return {"head": pa.array([head], pa.int32()), "sums": pa.array([np.concatenate([np.ravel(v).astype(float) for v in out]).tobytes()], pa.binary())}
+
+        def task(batches):
+            out, head = None, 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    z = standard(_matrix([r["x"]]))
+                    rng, poor = np.random.default_rng([seed, r["block"], r["part"]]), len(z) - r["good"]
+                    if not poor or poor == len(z):
+                        continue
+                    size = max(poor, r["good"]) * each
+                    pairs = [rng.permutation(np.resize(side, size)) for side in (np.arange(poor, len(z)), np.arange(poor))]
+                    got = pair_sums(z, *pairs, w)
+                    out, head = got if out is None else tuple(a + b for a, b in zip(out, got)), (r["block"] * parts + r["part"]) % heads
+            if out is not None:
+                yield pa.RecordBatch.from_pydict(packed(head, out))
+
+        def met(t: pa.Table) -> pa.Table:
+            return pa.table(packed(0, [sum(np.frombuffer(x) for x in t.column("sums").to_pylist())]))
+
+        of_tasks = groups.mapInArrow(frugal(task), "head int, sums binary")
+        found = [np.frombuffer(r["sums"]) for r in of_tasks.groupBy("head").applyInArrow(frugal_group(met), "head int, sums binary").collect()]
+        v = np.sum(found, 0)
+        return int(v[0]), float(v[1]), v[2 : 2 + SIZE], v[2 + SIZE :].reshape(SIZE, SIZE)
+
+    w = newton(sums, SIZE, 1e-3, 50)
+
+    def scores(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"s": pa.array(standard(_matrix(batch.column("x").to_pylist())) @ w if batch.num_rows else np.empty(0)), "good": batch.column("good")})
+
+    scored = _written(rows.mapInArrow(frugal(scores), "s double, good int"))
+    # Equal texts teach once, so sides have other shares here than among the labels.
+    return QualityModel(base, mean, scale, w, quantile_of_all(scored, (share / sides[0], (1 - share) / sides[1]), share), None)
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, SIZE).astype(float)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/quality-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def score_texts(texts: list[str], m: QualityModel) -> np.ndarray:

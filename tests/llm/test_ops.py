@@ -954,3 +954,36 @@ def test_workers_let_go_of_what_other_operators_keep():
     assert list(common.frugal(iter, keeps=VOCABULARY)([1])) == [1] and bpe._tokenizer(VOCABULARY) is words
     assert list(common.frugal(iter)([1])) == [1] and bpe._tokenizer(VOCABULARY) is not words
     assert common.frugal_group(lambda t: t)(1) == 1 and not common._kept
+
+
+def test_quality_learns_from_all_labelled_texts_in_groups(spark, monkeypatch):
+    df, labels, truth = quality_tables(spark, 300)
+    read = []
+    whole = quality._written
+    monkeypatch.setattr(quality, "_written", lambda d: read.append(whole(d)) or read[-1])
+    monkeypatch.setattr(quality, "GROUP", 10)
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    model = quality.train(df, labels)
+    teach = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    rows, groups, scored = read
+    assert rows.count() == len(teach) and groups.count() > 3
+    assert sum(len(r["x"]) // 4 // quality.SIZE - r["good"] for r in groups.collect()) >= sum(not truth[i] for i in teach)
+    assert sum(r["good"] for r in groups.collect()) == sum(truth[i] for i in teach)
+    s, good = np.array([(r["s"], r["good"]) for r in scored.collect()]).T
+    share = 1 - sum(truth[i] for i in teach) / len(teach)
+    assert np.isclose(model.threshold, quality.quantile_between(s, np.ones(len(s)), share))
+    held = {r["doc_id"]: r["predicted"] for r in quality.score(df, model).collect()}
+    assert sum(held[i] != truth[i] for i in truth if zlib.crc32(str(i).encode()) % 5 == 0) <= 1
+
+
+def test_quality_quantile_in_bins_equals_that_of_sorted_scores(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    monkeypatch.setattr(quality, "BINS", 4)
+    for case in range(5):
+        s = rng.integers(0, (2, 5, 30, 1000, 10**6)[case], 60).astype(float)
+        good = rng.integers(0, 2, 60)
+        scored = spark.createDataFrame(list(zip(s.tolist(), good.tolist())), "s double, good int").cache()
+        for level in (0.2, 0.7):
+            weight = (0.5, 1.5)
+            assert quality.quantile_of_all(scored, weight, level) == pytest.approx(quality.quantile_between(s, np.array(weight)[good], level))
