@@ -275,6 +275,11 @@ def _may_link(percent: int, a: str, b: str, first: bool) -> Column:
 
 def links(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v, and further columns) whose overlap reaches the threshold: partial overlaps of each fragment, summed per pair."""
+    pairs = cut(pairs)
+    used = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    if used.count() <= BROADCAST_IDS:  # beyond, they are shuffled
+        used = F.broadcast(used)
+    ordered = ordered.join(used, "key", "left_semi")  # late pairs are of few sets
     part = ordered.select("key", "n", F.posexplode("segments").alias("fragment", "tokens")).where(F.size("tokens") > 0)
     one = part.select(F.col("key").alias("u"), "fragment", F.col("n").alias("n_u"), F.col("tokens").alias("t_u"))
     two = part.select(F.col("key").alias("v"), "fragment", F.col("n").alias("n_v"), F.col("tokens").alias("t_v"))
@@ -329,7 +334,7 @@ def row_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     wanted = sets.select("row", "sig", "key")
     if wanted.count() <= BROADCAST_IDS:  # some 100 bytes each; beyond, the texts are shuffled
         wanted = F.broadcast(wanted)
-    ordered = cut(ordered_sets(sets_of(docs, wanted, k), percent))
+    ordered = cut(ordered_sets(cut(sets_of(docs, wanted, k)), percent))  # a plan reads the sets three times
     found = components(ordered, percent)
     named = sets.join(found, "key", "left").select("sig", "doc_id", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

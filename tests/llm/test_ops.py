@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from celldag.llm import bpe, chat, components, decontaminate, fill_middle, html_extract, jaccard_join, langid, licenses, manifest, quality, topk, toxicity, url_filter
+from celldag.llm import bpe, chat, common, components, decontaminate, fill_middle, html_extract, jaccard_join, langid, licenses, manifest, quality, topk, toxicity, url_filter
 from celldag.llm.queries import ORACLES, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -528,6 +529,18 @@ def test_pipeline_near_duplicates_go_by_row(spark, sf_dir):
     assert got == sorted([(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (4, texts[5]), (None, None), (4, None)], key=str)
 
 
+def test_a_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for x in [disk.getAllFiles()] for f in map(x.apply, range(x.size())) if f.getName().startswith("shuffle_")}
+    before, wide = files(), spark.range(2000).groupBy((F.col("id") % 97).alias("k")).agg(F.sum("id").alias("s"))
+    kept = common.cut(wide)
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, wide.collect())) and spark.conf.get(common.CLEANUP) == "false"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
