@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from celldag.functions.cells import container_kind
 from celldag.sources.packages import _path, exists
+from celldag.streaming.contents import contents
 
 SCAN = "scan long, path string, length long, modified timestamp, present boolean"
 EVENT = "kind string, path string, length long, modified timestamp"
@@ -97,15 +97,10 @@ def events(spark: SparkSession, scans: str, required: int = 2) -> DataFrame:
     return listed.groupBy("path").transformWithStateInPandas(_Stable(required), EVENT, "append", "none")
 
 
-def _contents(spark: SparkSession, paths: list[str], magics: dict[str, str] | None) -> DataFrame:
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), container_kind(F.col("content"), magics).alias("kind"), "content")
-
-
 def _handled(spark: SparkSession, paths: list[str], handle: Callable[[DataFrame], None], magics: dict[str, str] | None) -> list[tuple[str, str]]:
     """Runs `handle` on these files; where it fails, on either half of them, so that a failing file keeps no other from being read.  Returns the failing ones and why."""
     try:
-        handle(_contents(spark, paths, magics))
+        handle(contents(spark, paths, magics))
         return []
     except Exception as e:  # whatever a handler raises is that file's failure
         if len(paths) == 1:
@@ -128,7 +123,7 @@ def _ingest_batch(batch: DataFrame, log: str, handle: Callable[[DataFrame], None
         there = [p for p in chunk if exists(spark, p)]
         if not there:
             return
-        seen = _contents(spark, there, magics).drop("content")
+        seen = contents(spark, there, magics).drop("content")
         # A file that has changed since its release is released again by a later scan.
         seen = seen.join(came.withColumnsRenamed({"length": "l", "modified": "m"}), "path").where("length = l and modified = m").persist()
         done = latest(spark, log).where((F.col("parser") == parser) & (F.col("status") != "WAITING")).select("sha256").distinct()

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from celldag.streaming import stability
+from celldag.streaming import contents, stability
 
 
 def put(folder, name, content, mtime):
@@ -117,3 +117,31 @@ def test_events_equal_a_plain_watcher(spark, tmp_path):
             query = stability.events(spark, scans).writeStream.foreachBatch(lambda df, n: found.extend((r["path"].rsplit("/", 1)[1], r["kind"]) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
             query.awaitTermination()
     assert wanted and {n: [k for m, k in found if m == n] for n in "abcd"} == {n: [k for m, k in wanted if m == n] for n in "abcd"}
+
+
+def test_large_files_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    folder, state, rng = tmp_path / "in", f"{tmp_path}/state", random.Random(5)
+    folder.mkdir()
+    a = b"PK\x03\x04" + rng.randbytes(60_000).replace(b"ab", b"\n\n")
+    i, j = (a.index(b"\n", k) for k in (10_000, 40_000))
+    other = {"tail.zip": a + b"\n", "byte.zip": a[:500] + bytes([a[500] ^ 1]) + a[501:], "moved.zip": a[: i + 1] + a[j + 1 :] + b"\n" + a[i + 1 : j], "mark.zip": b"\xef\xbb\xbf" + a, "none.zip": b"PK\x03\x04" + b"x" * 60_000, "packed.gz": b"PK\x03\x04" + b"y" * 900}
+    for name, content in {"a b%20.zip": a, "copy.zip": a, "small.zip": b"PK\x03\x04s", **other}.items():
+        put(folder, name, content, 1e9)
+    paths = [str(p) for p in folder.glob("*.zip")]
+    monkeypatch.setattr(contents, "WHOLE", 1000)
+    seen = []
+    for size in ("1000b", "7000b", "128m"):  # where Spark cuts says nothing
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({r["name"]: r["sha256"] for r in contents.contents(spark, paths).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # no larger file can be read as one row
+    try:
+        for _ in range(2):
+            stability.watch_once(spark, str(folder), state, lambda df: df.select("path", "sha256").collect())
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength"):
+            spark.conf.unset(key)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 8 and len(set(seen[0].values())) == 7 and seen[0]["a b%20.zip"] == seen[0]["copy.zip"]
+    log = dict(log_of(spark, state))
+    assert sorted(log) == sorted(["a b%20.zip", "copy.zip", "small.zip", *other])
+    assert {log["a b%20.zip"], log["copy.zip"]} == {"SUCCESS", "DUPLICATE"} and log["mark.zip"] == "WAITING" and all(log[x] == "SUCCESS" for x in ("tail.zip", "byte.zip", "moved.zip", "none.zip", "small.zip", "packed.gz"))
