@@ -65,3 +65,26 @@ def test_versions_side_by_side_need_no_shuffle_within_documents(spark):
     plain = versioning.diff(build(spark, BASE).withColumn("status", F.lit("ACTIVE")), build(spark, new), "node", "semantic", "content")
     assert {(r["node"], r["action"]) for r in found.collect()} == {(r["node"], r["action"]) for r in plain.collect()}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_rows_in_another_order_are_no_change(spark):
+    turned = [field(0, 0, 2, ["m", "temp"], 1.0, unit="℃", key="a"), field(0, 0, 1, ["m", "temp"], 2.0, unit="℃", key="b"), *BASE[2:]]
+    assert actions(spark, turned) == []
+    assert [r["samples"] for r in build(spark, turned).where("name = 'temp'").collect()] == ["2.0|1.0"]
+
+
+def test_tables_that_hold_equal_lines_in_another_order_match_the_sql(spark, sf_dir, tmp_path):
+    """Order 1 goes, so order 2 takes its table's place; two lines have one number and lie by part."""
+    import duckdb
+
+    import __spark_entry__ as e
+    from tests.oracle import TABLES, assert_same, connect
+
+    for t in TABLES:
+        if t not in ("orders", "lineitem"):
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    duckdb.sql(f"COPY (SELECT * EXCLUDE k REPLACE (k::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey) FROM (SELECT * FROM '{sf_dir}/orders.parquet' LIMIT 1), (VALUES (1), (2)) v(k)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    lines = "(VALUES (1, 5, 'A', 3.0), (1, 6, 'N', 4.0), (2, 5, 'N', 4.0), (2, 6, 'A', 3.0)) v(k, part, flag, qty)"
+    duckdb.sql(f"COPY (SELECT * EXCLUDE (k, part, flag, qty) REPLACE (k::BIGINT AS l_orderkey, part::BIGINT AS l_partkey, 1::INT AS l_linenumber, flag AS l_returnflag, qty::DOUBLE AS l_quantity) FROM (SELECT * FROM '{sf_dir}/lineitem.parquet' LIMIT 1), {lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    found = e.queries()["tree_of_two_versions"](spark, str(tmp_path))
+    assert_same(found, connect(str(tmp_path)), e.oracle_sql()["tree_of_two_versions"])
