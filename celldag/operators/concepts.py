@@ -23,6 +23,7 @@ MEANING_HEADER = "(?i)의미|meaning"
 UNIT_HEADER = "(?i)단위|unit"
 SHEET_NAME = "(?i)코드|사전|dictionary|근거|master|code"
 NOTHING = ("", "-")
+MOST_SENT = 100_000  # names of a vocabulary that is sent to all tasks; a larger one is shuffled
 
 
 # Similar names
@@ -172,22 +173,28 @@ def dictionary_entries(cells: DataFrame) -> DataFrame:
     return rows.where("size(terms) > 0")
 
 
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    """For a join: sent to all tasks if it is small, else shuffled."""
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def dictionary_terms(entries: DataFrame, names: DataFrame, concepts: DataFrame) -> DataFrame:
     """(document, term, concept): normalised terms of entries in which some term names a concept.
 
     First the terms as they stand are tried in order, then normalised, then without what stands in brackets at their end.  Of several entries with one term, the first says what it is; of several concepts with one name, the vocabulary's first.
     """
+    few = names.count() <= MOST_SENT  # Spark tells a table's size by its files, where names are packed
     order = concepts.select("concept", "ord")
-    listed = names.where("length(name) > 0").join(order, "concept")
-    exact = listed.groupBy("name").agg(F.min_by("concept", "ord").alias("concept"))
-    loose = listed.withColumn("norm", normalize_label(F.col("name"))).where("length(norm) > 0").groupBy("norm").agg(F.min_by("concept", "ord").alias("concept"))
+    listed = names.where("length(name) > 0").join(_sent(order, few), "concept")
+    first = lambda of, key, exact: of.groupBy(F.col(key).alias("key")).agg(F.min_by("concept", "ord").alias("c")).withColumn("exact", F.lit(exact))
+    loose = listed.withColumn("norm", normalize_label(F.col("name"))).where("length(norm) > 0")
+    known = first(listed, "name", True).unionByName(first(loose, "norm", False))
     each = entries.select("document", "sheet", "row", F.posexplode("terms").alias("i", "term"))
     cut = F.trim(F.regexp_replace("term", r"\s*\([^)]*\)\s*$", ""))
-    tried = each.withColumns({"norm": normalize_label(F.col("term")), "cut": F.when((cut != "") & (cut != F.col("term")), cut)}).withColumn("cut_norm", normalize_label(F.col("cut")))
-    ways = (("term", exact, "name", 0), ("norm", loose, "norm", 1), ("cut", exact, "name", 2), ("cut_norm", loose, "norm", 3))
-    for c, table, key, way in ways:
-        tried = tried.join(table.select(F.col(key).alias(c), F.col("concept").alias(f"c{way}")), c, "left")
-    hit = F.array(*[F.when(F.col(f"c{w}").isNotNull(), F.struct(F.lit(min(w, 2)).alias("tier"), F.col("i").alias("i"), F.lit(w).alias("way"), F.col(f"c{w}").alias("c"))) for w in range(4)])
-    resolved = tried.groupBy("document", "sheet", "row").agg(F.min(F.array_min(F.array_compact(hit)))["c"].alias("concept")).where("concept is not null")
-    terms = tried.where("length(norm) > 0").select("document", "sheet", "row", "i", F.col("norm").alias("term")).join(resolved, ["document", "sheet", "row"])
+    each = each.withColumns({"norm": normalize_label(F.col("term")), "cut": F.when((cut != "") & (cut != F.col("term")), cut)}).withColumn("cut_norm", normalize_label(F.col("cut")))
+    ways = [F.when(F.length(c) > 0, F.struct(F.lit(w).alias("way"), F.lit(w % 2 == 0).alias("exact"), F.col(c).alias("key"))) for w, c in enumerate(("term", "norm", "cut", "cut_norm"))]
+    tries = each.select("document", "sheet", "row", "i", F.explode(F.array_compact(F.array(*ways))).alias("t")).select("document", "sheet", "row", "i", "t.*")
+    hit = F.when(F.col("c").isNotNull(), F.struct(F.least("way", F.lit(2)).alias("tier"), "i", "way", "c"))
+    found = tries.join(_sent(known, few), ["exact", "key"], "left").withColumn("concept", F.min(hit).over(Window.partitionBy("document", "sheet", "row"))["c"])
+    terms = found.where("way = 1 and concept is not null").withColumnRenamed("key", "term")
     return terms.groupBy("document", "term").agg(F.min_by("concept", F.struct("sheet", "row", "i")).alias("concept"))

@@ -69,5 +69,6 @@ def dictionary_terms(spark, sf_dir):
     row = F.col("p_partkey") + 1
     body = part.select(F.col("p_brand").alias("document"), F.lit("dictionary").alias("sheet"), row.alias("row"), F.explode(F.create_map(F.lit(1), F.concat(F.lit("T"), F.col("p_partkey").cast("string")), F.lit(2), meaning, F.lit(3), F.lit("kg"))).alias("col", "text"))
     heads = part.select(F.col("p_brand").alias("document")).distinct().select("document", F.lit("dictionary").alias("sheet"), F.lit(0).cast("long").alias("row"), F.explode(F.create_map(F.lit(1), F.lit("Tag"), F.lit(2), F.lit("Meaning"), F.lit(3), F.lit("Unit"))).alias("col", "text"))
-    _, vocabulary, known, _ = part_fields(spark, sf_dir)
-    return concepts.dictionary_terms(concepts.dictionary_entries(body.unionByName(heads)), known, vocabulary)
+    known = part.select(F.col("p_name").alias("concept"), F.col("p_name").alias("name")).distinct()
+    # The vocabulary is in the names' order, so the name tells a concept's place.
+    return concepts.dictionary_terms(concepts.dictionary_entries(body.unionByName(heads)), known, known.select("concept", F.col("name").alias("ord")))

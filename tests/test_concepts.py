@@ -116,6 +116,15 @@ def test_dictionary_sheets(spark):
     assert got == {"tt1": "temp", "t1": "temp", norm("온도(℃)"): "temp", "mass": "weight", "q": "weight", "wt": "weight"}
 
 
+def test_many_names_are_not_sent_to_all_tasks(spark):
+    n = concepts.MOST_SENT + 1
+    names = spark.range(n).selectExpr("concat('c', id) as concept", "concat('Name ', id) as name")
+    entries = spark.createDataFrame([("d", "s", 1, ["A", "name 7 (kg)"]), ("d", "s", 2, ["a", "Name 8"]), ("d", "s", 3, ["B", "none"])], "document string, sheet string, row int, terms array<string>")
+    found = concepts.dictionary_terms(entries, names, names.selectExpr("concept", "cast(substr(concept, 2) as int) as ord"))
+    assert {(r["term"], r["concept"]) for r in found.collect()} == {("a", "c7"), ("name7kg", "c7"), ("name8", "c8")}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_query_equals_the_plain_version(spark, sf_dir):
     from celldag.queries import concepts as queries
 
