@@ -80,17 +80,34 @@ def contents(spark: SparkSession, paths: list[str], magics: dict[str, str] | Non
 
     sha256 is that of the content up to WHOLE bytes and for PACKED names, else that of length and line digest.  The content is read where it is used.
     """
-    read = lambda names: spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(names)
-    facts = ["path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified")]
-    files, as_one = read(paths), [F.sha2("content", 256).alias("sha256"), container_kind(F.col("content"), magics).alias("kind"), "content"]
-    large = [r["path"] for r in files.where(F.col("length") > WHOLE).select("path").collect()]  # some of the paths that were named
-    found = files.where(F.col("length") <= WHOLE).select(*facts, *as_one)  # the reader passes over the others
+    return described(_named(spark, paths), magics)
+
+
+def _named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
+
+
+def whole(files: DataFrame, magics: dict[str, str] | None = None) -> DataFrame:
+    """The same of binary files, each hashed as one row."""
+    return files.select(*facts(), F.sha2("content", 256).alias("sha256"), container_kind(F.col("content"), magics).alias("kind"), "content")
+
+
+def facts() -> list:
+    """What a listing says of a file."""
+    return ["path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified")]
+
+
+def described(files: DataFrame, magics: dict[str, str] | None = None) -> DataFrame:
+    """The same of a table of binary files (not a stream), whose large ones are told by their names."""
+    spark = files.sparkSession
+    large = [r["path"] for r in files.where(F.col("length") > WHOLE).select("path").collect()]  # some of the paths
+    found = whole(files.where(F.col("length") <= WHOLE), magics)  # the reader passes over the others
     packed = [p for p in large if p.lower().endswith(PACKED)]
     plain = [p for p in large if not p.lower().endswith(PACKED)]
     if packed:
-        found = found.unionByName(read(packed).where(F.col("length") > WHOLE).select(*facts, *as_one))
+        found = found.unionByName(whole(_named(spark, packed).where(F.col("length") > WHOLE), magics))
     if plain:
         head = F.when(F.col("length") - F.col("bytes") >= 2, F.concat(F.unhex(F.lit("EFBBBF")), F.col("head"))).otherwise(F.col("head"))  # the reader of lines takes the mark away
-        told = read(plain).where(F.col("length") > WHOLE).select(*facts, _file(), "content").join(F.broadcast(line_digests(spark, plain)), "file")
+        told = _named(spark, plain).where(F.col("length") > WHOLE).select(*facts(), _file(), "content").join(F.broadcast(line_digests(spark, plain)), "file")
         found = found.unionByName(told.select("path", "name", "length", "modified", F.sha2(F.concat_ws(":", "length", "digest"), 256).alias("sha256"), container_kind(head, magics).alias("kind"), "content"))
     return found
